@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellweave.llm.gif_media import gif_digests
 from cellweave.llm.shared import table
 from cellweave.llm.suffix_dedup import suffix_dedup
 
@@ -13,4 +14,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup,)}
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_gif_media)}

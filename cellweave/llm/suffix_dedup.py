@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import kernels as K
-from cellweave.llm.shared import blob_groups, parts_for, text_bytes, utf8
+from cellweave.llm.shared import parts_for, text_bytes, utf8
 from cellweave.llm.suffixes import deep_shallow_sort
 
 LENGTH, GRAM = 50, 25
 #: Windows of a run at most: their flags fit 32 bits.
 RUN = 32
 #: Text bytes of a chunk, and of what numpy takes at once.
-CHUNK, PIECE = 8 << 20, 1 << 20
+CHUNK, PIECE = 4 << 20, 1 << 20
+#: Chunks and buckets at least, so that small inputs spread too.
+SPREAD = 48
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -301,10 +303,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep:
     """
     if gram < 2 or not 0 <= length - gram < RUN:
         raise ValueError(f"gram must be 2 to length and more than length - {RUN}")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    chunks = parts_for(text_bytes(docs, "text"), CHUNK, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = blob_groups(spark)
+    chunks = buckets = parts_for(text_bytes(docs, "text"), CHUNK, SPREAD)
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     text = docs.groupBy("chunk")
     shared = text.applyInArrow(_anchors(buckets, length, gram), "bucket long, chunk long, data binary").groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, data binary")
