@@ -1,3 +1,41 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, n: int) -> str:
+    words = _WORDS.format(_FOLD)
+    return f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM (SELECT {key}, {words} AS w FROM {table}))"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM d, unnest(range(1, length(h) // 2 - 48)) AS t(i) WHERE length(h) >= 100),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+dup AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m USING (s) WHERE m.low < w.doc_id),
+part AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM dup),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM part GROUP BY doc_id, k),
+piece AS (
+  SELECT doc_id, a AS pos, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since, a AS until, z - a AS gone, 1 AS spans FROM span
+  UNION ALL
+  SELECT d.doc_id, 1e15, coalesce(max(span.z), 1), max(length(d.h)) // 2 + 1, 0, 0 FROM d LEFT JOIN span ON span.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT p.doc_id, max(length(d.h)) // 2 AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(spans) AS BIGINT) AS n_spans,
+  sha256(unhex(string_agg(substr(d.h, CAST(2 * since - 1 AS BIGINT), CAST(2 * (until - since) AS BIGINT)), '' ORDER BY pos))) AS kept_sha256
+FROM piece p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id""",
+    "op4_ngram_jaccard_join": f"""
+WITH RECURSIVE s AS MATERIALIZED {_shingles("documents", "doc_id", 3)},
+n AS MATERIALIZED (SELECT doc_id, count(s.s) AS k FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT x.a, x.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS c FROM s l JOIN s r ON l.s = r.s AND l.doc_id <> r.doc_id GROUP BY l.doc_id, r.doc_id) x
+  JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * c >= 90 * (p.k + q.k - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+SELECT n.doc_id, n.k AS n_shingles, min(reach.other) AS component_id FROM n JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.k""",
+    "op8_benchmark_decontamination": f"""
+WITH d AS {_shingles("documents", "doc_id", 5)}, b AS {_shingles("benchmark", "item_id", 5)},
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b ON d.s = b.s GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
+}

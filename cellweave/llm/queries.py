@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cellweave.llm.decontaminate import contained_items
 from cellweave.llm.gif_media import gif_digests
+from cellweave.llm.jaccard_join import jaccard_components
+from cellweave.llm.quality import fit_quality, held_out, quality_scores
 from cellweave.llm.shared import table
 from cellweave.llm.suffix_dedup import suffix_dedup
 
@@ -18,4 +22,27 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_digests(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_gif_media)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return quality_scores(docs, forest).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup,
+        op2_gif_media,
+        op3_quality_classifier,
+        op4_ngram_jaccard_join,
+        op8_benchmark_decontamination,
+    )
+}
