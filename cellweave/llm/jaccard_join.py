@@ -36,6 +36,8 @@ MATCH = 40.0
 FLUSH, BUCKET = 4_000_000, 8 << 20
 #: Orders by which pivots are chosen; a signature's hash says which.
 PIVOTS = 3
+#: Words of 64 bits in a set's parity bitmap.
+MAP = 16
 
 
 @cache
@@ -157,15 +159,24 @@ def _copies(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return out[0], out[1]
 
 
+def parity(row: np.ndarray, h: np.ndarray, size: int) -> pa.Array:
+    """The parity bitmap of each set."""
+    x = K.mix(h ^ U(0xE7037ED1A0B428DB))
+    out = np.zeros(size * MAP, np.uint64)
+    np.bitwise_xor.at(out, row * MAP + (x >> U(6)).astype(np.int64) % MAP, U(1) << (x & U(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * MAP, pa.int32()), pa.array(out.view(np.int64)))
+
+
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, c1, c2): the size of each document's set and a 128-bit hash of it."""
+    """(id, n_shingles, c1, c2, map): the size of each document's set, a 128-bit hash and the parity bitmap of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, row, h, sizes in _sets(batches, n):
             c1, c2 = _copies(row, h, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.astype(np.int64), sizes.astype(np.int64), c1, c2)], ["id", "n_shingles", "c1", "c2"])
+            cols = [pa.array(x) for x in (ids.astype(np.int64), sizes.astype(np.int64), c1, c2)]
+            yield pa.RecordBatch.from_arrays([*cols, parity(row, h, len(ids))], ["id", "n_shingles", "c1", "c2", "map"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long")
+    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, map array<long>")
 
 
 def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -292,13 +303,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     one = cut(of.groupBy("sig", "c").agg(F.min("id").alias("low"), F.count("*").alias("k")).join(of.select("sig", "c", "id"), ["sig", "c"]), "members")
     groups = one.groupBy("sig").agg(F.count_distinct("c").alias("n_c")).where("n_c > 1").select("sig")
     many = one.join(groups, "sig").select("sig", "id", "c")
-    size = real.select("id", F.col("n_shingles").alias("s"))
+    size = real.groupBy("id").agg(F.max("n_shingles").alias("s"), F.max_by("map", "n_shingles").alias("m"))
     many = many.join(size, "id")
-    right = many.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
-    left = many.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
+    right = many.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("m").alias("mb"))
+    left = many.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("m").alias("ma"))
+    differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP)), F.lit(0))
+    can_link = (
+        (left["sig"] == right["sig"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
+        & (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
+        & (differ * (100 + percent) <= (F.col("sa") + F.col("sb")) * (100 - percent))
+    )
     cross = (
-        left.join(right, "sig")
-        .where("a > b and ca <> cb").where((F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent))
+        left.join(right, can_link)
         .select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = cut(verified(cross, keyed, n, percent).where("linked").select("a", "b"), "cross")
