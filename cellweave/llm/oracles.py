@@ -38,4 +38,25 @@ WITH d AS {_shingles("documents", "doc_id", 5)}, b AS {_shingles("benchmark", "i
 n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b ON d.s = b.s GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared, CAST(n_shared AS DOUBLE) / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item""",
+    "op5_arc_to_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS low FROM q)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND low < page_id THEN low END AS refers_to FROM m""",
+    "op10_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1.0::DOUBLE WHEN quality = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM labels GROUP BY doc_id),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 2 AS stop FROM s),
+r AS (SELECT *, stop / w AS ratio, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS every, sum(w) OVER () AS every_w FROM o),
+v AS (SELECT *, (every - coalesce(CAST(sum(stop) OVER b AS BIGINT), 0)) / (every_w - coalesce(sum(w) OVER b, 0)) AS lev FROM r
+  WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(lev, ratio) AS level FROM v WHERE lev <= ratio),
+t AS (SELECT source, source_size, least(coalesce(level * w, stop), CAST(stop AS DOUBLE)) AS target FROM v LEFT JOIN f ON true),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, CAST(round(e.target - e.epochs * e.source_size) AS BIGINT) AS rest,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / coalesce(l.w, 0.5), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(rest - ahead, 0), size) AS BIGINT) AS taken FROM k""",
 }

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from cellweave.llm.decontaminate import contained_items
 from cellweave.llm.gif_media import gif_digests
 from cellweave.llm.jaccard_join import jaccard_components
+from cellweave.llm.mixing import label_weights, mix
 from cellweave.llm.quality import fit_quality, held_out, quality_scores
 from cellweave.llm.shared import table
 from cellweave.llm.suffix_dedup import suffix_dedup
+from cellweave.llm.warc import convert_pages
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +34,19 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = convert_pages(table(spark, sf_dir, "pages"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -43,6 +54,8 @@ QUERIES = {
         op2_gif_media,
         op3_quality_classifier,
         op4_ngram_jaccard_join,
+        op5_arc_to_warc,
         op8_benchmark_decontamination,
+        op10_source_mixing,
     )
 }
