@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.shared import parts_for, shared_dir, text_bytes, utf8
+from cellweave.llm.shared import shared_dir, utf8
 
 #: Payloads of fewer bytes never become revisits.
 LEAST = 100
-#: Payload bytes of one archive file.
-ARCHIVE = 32 << 20
+#: Records of one archive file at most.
+RECORDS = 10_000
 # The field lines of ARC versions 1 and 2.
 ARC_FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
@@ -173,10 +173,11 @@ def with_refers_to(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, files: int) -> None:
-    """Gzip files of WARC records under path. Spark's text writer adds the newline that ends each record."""
-    spread = records.select(F.col("value").cast("string").alias("value"), F.xxhash64("value").alias("h")).repartition(files, "h")
-    spread.select("value").write.option("compression", "gzip").text(path)
+def write_archives(records: DataFrame, path: str) -> None:
+    """Gzip files of WARC records under path. Spark's text writer adds the newline that ends each record.
+
+    Records stay in the partitions they are in; RECORDS of them make a file at most."""
+    records.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -216,6 +217,5 @@ def convert_pages(pages: DataFrame, version: int = 1) -> DataFrame:
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
-    files = parts_for(text_bytes(pages, "html"), ARCHIVE, 4)
-    write_archives(through_arc(with_refers_to(pages), version), path, files)
+    write_archives(through_arc(with_refers_to(pages), version), path)
     return read_archives(spark, path)
