@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from cellweave.llm.decontaminate import contained_items
 from cellweave.llm.gif_media import gif_digests
 from cellweave.llm.jaccard_join import jaccard_components
+from cellweave.llm.language_crf import fit_language, predict_language
 from cellweave.llm.mixing import label_weights, mix
 from cellweave.llm.quality import fit_quality, held_out, quality_scores
+from cellweave.llm.secret_scan import scan_secrets
 from cellweave.llm.shared import table
 from cellweave.llm.suffix_dedup import suffix_dedup
+from cellweave.llm.token_counts import section_tokens
 from cellweave.llm.warc import convert_pages
 
 
@@ -39,10 +42,25 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = fit_language(docs, ~held_out("doc_id", 4, 2))
+    return predict_language(docs, field).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = section_tokens(table(spark, sf_dir, "documents"))
+    return counts.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")))
 
@@ -55,7 +73,10 @@ QUERIES = {
         op3_quality_classifier,
         op4_ngram_jaccard_join,
         op5_arc_to_warc,
+        op6_language_id_crf,
+        op7_token_counts,
         op8_benchmark_decontamination,
+        op9_secret_scan,
         op10_source_mixing,
     )
 }
