@@ -10,6 +10,7 @@ empty ones signs them too. So every linked pair shares a signature, and only suc
 Pairs within a signature's group are not listed. Each task links its members to local pivots, a bucket links
 local pivots to pivots of all, and each such pair is verified on the whole texts. Where a pair fails, pairs of
 the same group in different components are verified too, so no link between components is missed.
+Parity bitmaps of the sets rule out most pairs before texts are fetched.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ MATCH = 40.0
 FLUSH, BUCKET = 4_000_000, 8 << 20
 #: Orders by which pivots are chosen; a signature's hash says which.
 PIVOTS = 3
-#: Words of 64 bits in a set's parity bitmap.
+#: Words of 64 bits in a set's parity bitmap, at least; large sets have a bit a shingle.
 MAP = 16
+#: Signatures that a pair of one task or bucket carries along; of pairs with more, they are found again from the texts.
+CARRIED = 8
 
 
 @cache
@@ -120,8 +123,8 @@ def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate(rows), np.concatenate(out)
 
 
-def local_stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pivot (signature, id) of each group, and (member, pivot) of all others, distinct.
+def local_stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Pivot (signature, id) of each group, and distinct (member, pivot) of all others with their signatures.
 
     The pivot is the smallest id in one of PIVOTS orders, so that members meet few pivots but not one only."""
     order = (sig % U(PIVOTS)).astype(np.uint64)
@@ -130,9 +133,15 @@ def local_stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     sig, ids = sig[by], ids[by]
     start, end = K.runs(sig)
     pivot = np.repeat(ids[start], end - start)
-    other = ids != pivot
-    pairs = np.unique(np.stack([ids[other], pivot[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[start], ids[start], pairs[:, 0], pairs[:, 1]
+    other = np.flatnonzero(ids != pivot)
+    other = other[np.lexsort((sig[other], pivot[other], ids[other]))]
+    a, b, s = ids[other], pivot[other], sig[other]
+    turn = np.ones(len(a), bool)
+    turn[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(turn)
+    last = np.append(first[1:], len(a))[: len(first)]
+    carried = [s[i:j].tobytes() if j - i <= CARRIED else None for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+    return sig[start], ids[start], pa.table({"a": a[first], "b": b[first], "sig": pa.array(carried, pa.binary())})
 
 
 SENT = pa.schema([("bucket", pa.int64()), ("sig", pa.binary()), ("ids", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
@@ -159,52 +168,81 @@ def _copies(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return out[0], out[1]
 
 
-def parity(row: np.ndarray, h: np.ndarray, size: int) -> pa.Array:
-    """The parity bitmap of each set."""
+def parity(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The parity bitmap of each set: one of MAP words, and one that grows with the set by powers of two.
+
+    A bitmap folds to half its size by xor of its halves, so any two can be compared."""
     x = K.mix(h ^ U(0xE7037ED1A0B428DB))
-    out = np.zeros(size * MAP, np.uint64)
-    np.bitwise_xor.at(out, row * MAP + (x >> U(6)).astype(np.int64) % MAP, U(1) << (x & U(63)))
-    return pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * MAP, pa.int32()), pa.array(out.view(np.int64)))
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, MAP * 64) / 64)).astype(np.int64))
+    off = np.concatenate([[0], np.cumsum(width)])
+    wide = np.zeros(off[-1], np.uint64)
+    np.bitwise_xor.at(wide, off[row] + ((x >> U(6)).astype(np.int64) & (width[row] - 1)), U(1) << (x & U(63)))
+    out = np.zeros(len(sizes) * MAP, np.uint64)
+    who = np.repeat(np.arange(len(sizes)), width)
+    np.bitwise_xor.at(out, who * MAP + (np.arange(len(wide)) - off[who]) % MAP, wide)
+    return tuple(pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(m.view(np.int64))) for o, m in ((np.arange(len(sizes) + 1) * MAP, out), (off, wide)))
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, c1, c2, map): the size of each document's set, a 128-bit hash and the parity bitmap of it."""
+    """(id, n_shingles, c1, c2, map, wide): the size of each document's set, a 128-bit hash and the parity bitmaps of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, row, h, sizes in _sets(batches, n):
             c1, c2 = _copies(row, h, sizes)
             cols = [pa.array(x) for x in (ids.astype(np.int64), sizes.astype(np.int64), c1, c2)]
-            yield pa.RecordBatch.from_arrays([*cols, parity(row, h, len(ids))], ["id", "n_shingles", "c1", "c2", "map"])
+            yield pa.RecordBatch.from_arrays([*cols, *parity(row, h, sizes)], ["id", "n_shingles", "c1", "c2", "map", "wide"])
+
+    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, map array<long>, wide array<long>")
+
 
-    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, map array<long>")
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, ...) of unequal sets, and can: whether their sizes and bitmaps allow a link."""
+    names = pairs.columns
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(end), *(F.col(c).alias(c + end) for c in ("s", "c1", "c2", "wide"))), end)
+    unequal = pairs.where("c1a <> c1b or c2a <> c2b").select(*names, "sa", "sb", "widea", "wideb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sa, sb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sa", "sb"))
+            can = (100 * sa >= percent * sb) & (100 * sb >= percent * sa)
+            maps = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy().view(np.uint64)) for c in ("widea", "wideb")]
+            widths = [np.diff(off) for off, _ in maps]
+            for wa, wb in {*zip(*(w[can].tolist() for w in widths), strict=True)}:
+                rows = np.flatnonzero(can & (widths[0] == wa) & (widths[1] == wb))
+                least = min(wa, wb)
+                fold = [np.bitwise_xor.reduce(bits[off[rows][:, None] + np.arange(w)].reshape(len(rows), -1, least), axis=1) for (off, bits), w in zip(maps, (wa, wb), strict=True)]
+                differ = np.bitwise_count(fold[0] ^ fold[1]).sum(1).astype(np.int64)
+                can[rows] = differ * (100 + percent) <= (sa[rows] + sb[rows]) * (100 - percent)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(can)], [*names, "can"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema]
+    return unequal.mapInArrow(run, ", ".join([*kinds, "can boolean"]))
 
 
 def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Distinct (a, b): members of a signature's group and its pivots. One record a task and signature is shuffled."""
+    """Distinct (a, b, sigs, whole): members of a signature's group and its pivots. One record a task and signature is shuffled.
+
+    sigs: signatures for which a and b were paired; whole: these are all."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, ids, have, known = [], [], 0, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, who, a, b = local_stars(np.concatenate(sigs), np.concatenate(ids))
+            sig, who, pairs = local_stars(np.concatenate(sigs), np.concatenate(ids))
             bucket = ((sig >> U(40)) % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             bucket, sig, who = bucket[by], sig[by], who[by]
             rows = [(int(bucket[s]), sig[s:e].tobytes(), who[s:e].tobytes(), None, None) for s, e in zip(*K.runs(bucket), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SENT, strict=True)], schema=SENT)
-            none = pa.nulls(len(a), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - (a % buckets)), none, none, pa.array(a), pa.array(b)], schema=SENT)
+            a, b, carried = (pairs[c].combine_chunks() for c in ("a", "b", "sig"))
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - (a.to_numpy() % buckets)), carried, pa.nulls(len(a), pa.binary()), a, b], schema=SENT)
 
         for who, row, h, sizes in _sets(batches, n):
             copies = list(zip(*(x.tolist() for x in _copies(row, h, sizes)), strict=True))
-            twin = [(i, known[c]) for i, c in enumerate(copies) if sizes[i] and known.setdefault(c, int(who[i])) != who[i]]
-            if twin:  # a copy of a set this task has seen needs no signature of its own
-                i, first = (np.array(x, np.int64) for x in zip(*twin, strict=True))
-                a = who[i].astype(np.int64)
-                none = pa.nulls(len(a), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - (a % buckets)), none, none, pa.array(a), pa.array(first)], schema=SENT)
-                gone = np.zeros(len(sizes), bool)
-                gone[i] = True
+            # a copy of a set that this task has seen needs no signature of its own: copies are linked by their hash
+            gone = np.array([bool(sizes[i]) and known.setdefault(c, int(who[i])) != who[i] for i, c in enumerate(copies)], bool)
+            if gone.any():
                 h, row, sizes = h[~gone[row]], row[~gone[row]], np.where(gone, 0, sizes)
             r, s = signatures(row, h, sizes, percent)
             if len(s):
@@ -219,16 +257,26 @@ def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
 
     def meet(key: tuple, sent: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            pairs = np.unique(np.stack([sent["a"].to_numpy(), sent["b"].to_numpy()], 1), axis=0)
-            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            return sent.select(["a", "b", "sig"])
         sig = np.frombuffer(b"".join(sent["sig"].to_pylist()), np.uint64)
         ids = np.frombuffer(b"".join(sent["ids"].to_pylist()), np.int64)
-        _, _, a, b = local_stars(sig, ids)
-        return pa.table({"a": a, "b": b})
+        return local_stars(sig, ids)[2]
 
     sent = docs.mapInArrow(send, "bucket long, sig binary, ids binary, a long, b long")
-    pairs = sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, sig binary")
+    ends = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "sig")
+    return ends.groupBy("a", "b").agg(F.collect_list("sig").alias("sigs"), F.bool_and(F.col("sig").isNotNull()).alias("whole"))
+
+
+def unpacked(pairs: DataFrame) -> DataFrame:
+    """(sig) of the signatures that pairs carry, with repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b"".join(x for part in b.column(0).to_pylist() for x in part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(data, np.int64)))], ["sig"])
+
+    return pairs.select("sigs").mapInArrow(run, "sig long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -292,19 +340,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     real = sizes.where(F.col("id") != np.iinfo(np.int64).min)
     first = real.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("b"), F.count("*").alias("k")).where("k > 1")
     copies = real.join(first, ["c1", "c2"]).select(F.col("id").alias("a"), "b").where("a <> b")
-    stars = cut(star_pairs(keyed, n, percent, buckets).where("a <> b").join(copies.select("a", "b"), ["a", "b"], "left_anti"), "stars")
-    checked = cut(verified(stars, keyed, n, percent), "verified")
+    size = real.groupBy("id").agg(F.max("n_shingles").alias("s"), *(F.max_by(c, F.struct("n_shingles", "c1", "c2")).alias(c) for c in ("c1", "c2", "map", "wide")))
+    stars = cut(possible(star_pairs(keyed, n, percent, buckets).where("a <> b"), size, percent), "stars")
+    # a pair that cannot link goes on only if its signatures are not all known
+    checked = cut(verified(stars.where("can or not whole").select("a", "b"), keyed, n, percent), "verified")
     edges = copies.unionByName(checked.where("linked").select("a", "b"))
     parts = cut(connected_components(edges), "components")
     # groups in which a pair failed: their members may link to one another
-    broken = checked.where("not linked").select(F.explode("broken").alias("sig")).distinct()
+    broken = checked.where("not linked").select(F.explode("broken").alias("sig")).unionByName(unpacked(stars.where("not can and whole"))).distinct()
     members = signature_rows(keyed, n, percent).join(broken, "sig")
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     one = cut(of.groupBy("sig", "c").agg(F.min("id").alias("low"), F.count("*").alias("k")).join(of.select("sig", "c", "id"), ["sig", "c"]), "members")
     groups = one.groupBy("sig").agg(F.count_distinct("c").alias("n_c")).where("n_c > 1").select("sig")
     many = one.join(groups, "sig").select("sig", "id", "c")
-    size = real.groupBy("id").agg(F.max("n_shingles").alias("s"), F.max_by("map", "n_shingles").alias("m"))
-    many = many.join(size, "id")
+    many = many.join(size.select("id", "s", F.col("map").alias("m")), "id")
     right = many.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("m").alias("mb"))
     left = many.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("m").alias("ma"))
     differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP)), F.lit(0))
@@ -315,8 +364,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     )
     cross = (
         left.join(right, can_link)
-        .select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        .select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     )
+    cross = possible(cross, size, percent).where("can").select("a", "b")
     more = cut(verified(cross, keyed, n, percent).where("linked").select("a", "b"), "cross")
     if not more.isEmpty():
         parts = cut(connected_components(edges.unionByName(more)), "components")
