@@ -121,15 +121,15 @@ def fn_hex_rgb(spark, sf_dir):
 def fn_rgb_hsl(spark, sf_dir):
     """There and back again: the components, and the lightness on the way."""
     c = colors.rgb_hsl(F.col("r"), F.col("g"), F.col("b"))
-    back = colors.hsl_rgb(c["h"], c["s"], c["l"])
+    back = colors.hsl_rgb(c)
     return rgb(spark, sf_dir).select("p_partkey", *(back[x].alias(x) for x in "rgb"), F.round(c["l"], 9).alias("light"))
 
 
-@query(f"SELECT p_partkey, printf('%02X%02X%02X', CAST(floor(127.5::DOUBLE + r / 2.0::DOUBLE + 0.5::DOUBLE) AS INTEGER), CAST(floor(127.5::DOUBLE + r / 2.0::DOUBLE + 0.5::DOUBLE) AS INTEGER), CAST(floor(127.5::DOUBLE + r / 2.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)) AS lighter FROM {_RGB}")
+@query(f"SELECT p_partkey, printf('%02X%02X%02X', CAST(floor(102.5::DOUBLE + r * 0.6::DOUBLE) AS INTEGER), CAST(floor(102.5::DOUBLE + r * 0.6::DOUBLE) AS INTEGER), CAST(floor(102.5::DOUBLE + r * 0.6::DOUBLE) AS INTEGER)) AS lighter FROM {_RGB}")
 def fn_tint(spark, sf_dir):
-    """Half-way tints of greys."""
+    """Tints of greys; two fifths of the way to white."""
     r = F.col("r")
-    return rgb(spark, sf_dir).select("p_partkey", colors.tint(colors.rgb_hex(r, r, r), F.lit(0.5)).alias("lighter"))
+    return rgb(spark, sf_dir).select("p_partkey", colors.tint(colors.rgb_hex(r, r, r), F.lit(0.4)).alias("lighter"))
 
 
 @query("SELECT p_partkey, replace(replace(replace(replace(replace(t, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&apos;', '''') AS t FROM (SELECT p_partkey, '&quot;' || p_name || '&amp;lt;&gt;&apos;' AS t FROM part)")

@@ -256,15 +256,21 @@ def scan_ods(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     paragraphs = F.transform("c.p", lambda p: F.concat(F.coalesce(p["_VALUE"], F.lit("")), F.coalesce(p["a"]["_VALUE"], F.lit("")), F.array_join(F.transform(F.coalesce(p["span"], F.array()), lambda s: F.coalesce(s["_VALUE"], F.lit(""))), "")))
     text, kind = F.array_join(paragraphs, "\n"), F.col("c.`_value-type`")
     c = c.withColumn("text", text).withColumn("kind", kind).where("kind is not null or text <> '' or c._formula is not null or c.annotation is not null or c.`_number-columns-spanned` > 1 or c.`_number-rows-spanned` > 1")
+    # plain columns first: what the laid-out copies need of the cell
+    c = c.select(
+        "workbook_id", "sheet_idx", "first_row", "first_col", "times", "wide", "text", "kind", F.col("c._value").alias("num"), F.col("c.`_boolean-value`").alias("flag"),
+        F.col("c.`_date-value`").alias("date"), F.col("c.`_time-value`").alias("time"), ods_formula(F.col("c._formula")).alias("f"), F.col("c.`_style-name`").alias("style_name"),
+        F.coalesce("c.`_number-columns-spanned`", F.lit(1)).alias("colspan"), F.coalesce("c.`_number-rows-spanned`", F.lit(1)).alias("rowspan"),
+        F.get("c.p", F.lit(0))["a"]["_href"].alias("url"), F.array_join("c.annotation.p", "\n").alias("comment"),
+    )
     c = c.withColumn("row_idx", F.explode(F.sequence(F.col("first_row"), F.col("first_row") + F.col("times") - 1)))
     c = c.withColumn("col_idx", F.explode(F.sequence(F.col("first_col"), F.col("first_col") + F.col("wide") - 1)))
-    num = F.when(F.col("kind").isin("float", "percentage", "currency"), F.col("c._value"))
-    flag = F.when(F.col("kind") == "boolean", F.col("c.`_boolean-value`") == "true")
-    string = F.when(F.col("kind") == "date", F.col("c.`_date-value`")).when(F.col("kind") == "time", F.col("c.`_time-value`")).when(num.isNull() & flag.isNull(), F.col("text"))
-    f = F.when((F.col("col_idx") == F.col("first_col")) & (F.col("row_idx") == F.col("first_row")), ods_formula(F.col("c._formula")))
+    num = F.when(F.col("kind").isin("float", "percentage", "currency"), F.col("num"))
+    flag = F.when(F.col("kind") == "boolean", F.col("flag") == "true")
+    string = F.when(F.col("kind") == "date", F.col("date")).when(F.col("kind") == "time", F.col("time")).when(num.isNull() & flag.isNull(), F.col("text"))
+    f = F.when((F.col("col_idx") == F.col("first_col")) & (F.col("row_idx") == F.col("first_row")), F.col("f"))
     v_type = F.when(f.isNotNull(), "formula").when(num.isNotNull(), "number").when(flag.isNotNull(), "boolean").otherwise(by_text(string))
-    extra = [F.coalesce("c.`_number-columns-spanned`", F.lit(1)).alias("colspan"), F.coalesce("c.`_number-rows-spanned`", F.lit(1)).alias("rowspan"), F.col("c.`_style-name`").alias("style_name"), F.get("c.p", F.lit(0))["a"]["_href"].alias("url"), F.array_join("c.annotation.p", "\n").alias("comment")]
-    return cells(c, *extra, kind=v_type, text=string, num=num, flag=flag, formula=f)
+    return cells(c, "colspan", "rowspan", "style_name", "url", "comment", kind=v_type, text=string, num=num, flag=flag, formula=f)
 
 
 def ods_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
