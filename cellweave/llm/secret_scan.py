@@ -66,25 +66,47 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
 
+def let(value: Column, then) -> Column:
+    """then of a value that is computed once, not again for each character that a formula goes over."""
+    return F.transform(F.array(value), then)[0]
+
+
 def log_p(token: Column) -> Column:
     """Natural logarithm of the battery's p-value under uniform independent characters; padding doesn't count."""
-    body = F.regexp_replace(token, "=+$", "")
-    n = F.greatest(F.length(body), F.lit(2)).cast("double")
-    pick = F.coalesce(*(F.when(body.rlike(f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$"), F.lit(a)) for a in ALPHABETS.values()), F.lit(ALPHABETS["base64"]))
-    k = F.length(pick).cast("double")
-    chars = F.split(body, "")
-    x = F.transform(chars, lambda c: F.position(c, pick).cast("double"))
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi, df = squares * k / n - n, k - 1
-    z_chi = F.greatest((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), F.lit(0.0))
-    steps = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middle = (k + 1) / 2
-    changes = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + F.when((s["a"] > middle) != (s["b"] > middle), 1.0).otherwise(0.0))
-    z_runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = F.aggregate(steps, F.lit(0.0), lambda acc, s: acc + (s["a"] - middle) * (s["b"] - middle))
-    z_serial = serial / (F.sqrt(n - 1) * (k * k - 1) / 12)
-    total = z_chi * z_chi + z_runs * z_runs + z_serial * z_serial
-    return -total / 2 + F.log1p(total / 2)  # the upper tail of chi-squared with four degrees: more than three have, so cautious
+
+    def encoded(body: Column) -> Column:
+        pick = F.coalesce(*(F.when(body.rlike(f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$"), F.lit(a)) for a in ALPHABETS.values()), F.lit(ALPHABETS["base64"]))
+        return F.struct(body.alias("body"), pick.alias("pick"), F.split(body, "").alias("chars"))
+
+    def numbered(e: Column) -> Column:
+        x = F.transform(e["chars"], lambda c: F.position(c, e["pick"]).cast("double"))
+        n = F.greatest(F.length(e["body"]), F.lit(2)).cast("double")
+        return F.struct(e["body"].alias("body"), F.array_distinct(e["chars"]).alias("kinds"), x.alias("x"), n.alias("n"), F.length(e["pick"]).cast("double").alias("k"))
+
+    def tested(e: Column) -> Column:
+        n, k, x = e["n"], e["k"], e["x"]
+        squares = F.aggregate(e["kinds"], F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(e["body"], c, F.lit(""))), F.lit(2.0)))
+        chi, df = squares * k / n - n, k - 1
+        z_chi = F.greatest((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), F.lit(0.0))
+        steps = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        middle = (k + 1) / 2
+        start = F.struct(F.lit(0.0).alias("changes"), F.lit(0.0).alias("serial"))
+
+        def step(acc: Column, s: Column) -> Column:
+            changed = F.when((s["a"] > middle) != (s["b"] > middle), 1.0).otherwise(0.0)
+            return F.struct((acc["changes"] + changed).alias("changes"), (acc["serial"] + (s["a"] - middle) * (s["b"] - middle)).alias("serial"))
+
+        sums = F.aggregate(steps, start, step)
+        return let(F.struct(z_chi.alias("z"), sums.alias("s"), n.alias("n"), k.alias("k")), combined)
+
+    def combined(t: Column) -> Column:
+        z_runs = (t["s"]["changes"] - (t["n"] - 1) / 2) / F.sqrt((t["n"] - 1) / 4)
+        z_serial = t["s"]["serial"] / (F.sqrt(t["n"] - 1) * (t["k"] * t["k"] - 1) / 12)
+        total = t["z"] * t["z"] + z_runs * z_runs + z_serial * z_serial
+        # the upper tail of chi-squared with four degrees: more than three have, so cautious
+        return let(total, lambda x: -x / 2 + F.log1p(x / 2))
+
+    return let(let(let(F.regexp_replace(token, "=+$", ""), encoded), numbered), tested)
 
 
 def candidates(text: Column, base: Column) -> Column:
