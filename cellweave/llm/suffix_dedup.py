@@ -4,15 +4,18 @@ All positions of a corpus are too many to shuffle, so suffixes are sorted sparse
 A window is LENGTH bytes. The smallest hash of its GRAM-byte grams, its anchor, depends on its bytes only,
 so equal windows have equal anchors. Consecutive windows of one anchor form a run (one string). Steps:
 
-1. anchors: each chunk of documents sends its distinct anchors, packed by bucket, and learns which of them
-   other chunks hold too; all other windows are unique and drop out.
+1. anchors: each chunk of documents sends its distinct anchors, packed by bucket, with their numbers of
+   distinct runs, and learns which of them other chunks hold too; all other windows are unique and drop out.
+   It also learns which are hot, that is, of more than HOT distinct runs, summed over chunks.
 2. windows: runs of shared anchors go to the anchor's bucket with the smallest doc_id of their chunk. Equal
    runs fall together; where different runs share an anchor, their windows' suffixes are ordered by
-   deep-shallow sorting, and each window gets the smallest doc_id that holds it.
+   deep-shallow sorting, and each window gets the smallest doc_id that holds it. Runs of hot anchors are cut
+   into single windows, which go to the bucket of the window's own hash: equal windows still meet.
 3. cover: each chunk learns which windows of its runs start in an earlier document and removes their bytes.
 
-What one chunk sends to a bucket is distinct, so a string held by a third of all documents costs one record
-a chunk. Texts are shuffled once: the three steps name the same exchange, which Spark reuses.
+What one chunk sends to a bucket is distinct, so a window held by a third of all documents costs one record
+a chunk. Around such a passage the run strings differ by document while the anchor inside it is the same; cut
+into windows, these runs spread over all buckets, and no bucket gets over HOT runs of one anchor. Texts are shuffled once: the three steps name the same exchange, which Spark reuses.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ RUN = 32
 CHUNK, PIECE = 4 << 20, 1 << 20
 #: Chunks and buckets at least, so that small inputs spread too.
 SPREAD = 48
+#: Distinct runs of an anchor, summed over chunks, beyond which its windows go their own ways; 16 bits count them in a chunk.
+HOT = 1 << 15
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -93,6 +98,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(planes.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; starts ascend."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + PIECE)))
+        base = start[i]
+        out[i:j] = K.word_hashes(buf[base : end[i:j].max()], start[i:j] - base, end[i:j] - base, fold=False)
+        i = j
+    return out
+
+
 def by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket's places in values, in their order."""
     b = (values % U(buckets)).astype(np.int64)
@@ -117,11 +133,36 @@ class Chunk:
             parts.append((key, first + base, end + base, row + i))
         self.key, self.first, self.end, self.row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else anchored_runs(self.buf, self.off, length, gram)
 
+    def distinct_runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors and how many distinct runs each has."""
+        values, at, count = np.unique(self.key, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(count[at] > 1)
+        if len(many):
+            _, one = np.unique(span_hashes(self.buf, self.first[many], self.end[many] + length - 1), return_index=True)
+            count = np.where(count > 1, np.bincount(at[many[one]], minlength=len(values)), count)
+        return values, count
+
+    def cut_hot(self, hot: np.ndarray, length: int) -> None:
+        """Cut the runs of hot anchors into single windows, each by its own hash; anchor keeps what the runs had."""
+        is_hot = np.isin(self.key, hot)
+        self.anchor = self.key
+        if not is_hot.any():
+            return
+        n = np.where(is_hot, self.end - self.first, 1)
+        of = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        single = np.flatnonzero(is_hot[of])
+        self.first, self.end = self.first[of] + nth, self.end[of]
+        self.end[single] = self.first[single] + 1
+        self.anchor, self.row = self.anchor[of], self.row[of]
+        self.key = self.anchor.copy()
+        self.key[single] = span_hashes(self.buf, self.first[single], self.first[single] + length)
+
     def shared_here(self) -> np.ndarray:
         """Anchors that two documents of this chunk hold."""
         doc = self.order[self.row]
-        by = np.lexsort((doc, self.key))
-        key, doc = self.key[by], doc[by]
+        by = np.lexsort((doc, self.anchor))
+        key, doc = self.anchor[by], doc[by]
         return np.unique(key[1:][(key[1:] == key[:-1]) & (doc[1:] != doc[:-1])])
 
     def entries(self, shared: np.ndarray, buckets: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -129,8 +170,8 @@ class Chunk:
 
         Runs are in the order of doc_id, so that a string's first entry has the chunk's smallest doc_id."""
         every = np.union1d(shared, self.shared_here())
-        at = np.searchsorted(every, self.key) if len(every) else np.zeros(len(self.key), np.int64)
-        mine = np.flatnonzero(every[np.minimum(at, len(every) - 1)] == self.key) if len(every) else at[:0]
+        at = np.searchsorted(every, self.anchor) if len(every) else np.zeros(len(self.anchor), np.int64)
+        mine = np.flatnonzero(every[np.minimum(at, len(every) - 1)] == self.anchor) if len(every) else at[:0]
         data, known, count = self.buf.tobytes(), {}, {}
         tail = length - 1
         for run, s, e, b in zip(mine.tolist(), self.first[mine].tolist(), self.end[mine].tolist(), (self.key[mine] % U(buckets)).tolist(), strict=True):
@@ -143,42 +184,55 @@ class Chunk:
 
 
 def _anchors(buckets: int, length: int, gram: int):
-    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("runs", pa.binary())])
 
     def send(key: tuple, docs: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        values = np.unique(Chunk(docs, length, gram).key)
-        rows = [(b, chunk, pack(values[at])) for b, at in by_bucket(values, buckets)]
-        return pa.table([list(x) for x in zip(*rows, strict=True)] or [[], [], []], schema=schema)
+        values, runs = Chunk(docs, length, gram).distinct_runs(length)
+        runs = np.minimum(runs, np.iinfo(np.uint16).max).astype(np.uint16)
+        rows = [(b, chunk, pack(values[at]), runs[at].tobytes()) for b, at in by_bucket(values, buckets)]
+        return pa.table([list(x) for x in zip(*rows, strict=True)] or [[]] * 4, schema=schema)
 
     return send
 
 
-def _shared(key: tuple, sent: pa.Table) -> pa.Table:
-    """Back to each chunk: those of its anchors that another chunk sent too."""
-    chunks = sent["chunk"].to_numpy()
-    values = [unpack(x) for x in sent["data"].to_pylist()]
-    of = np.repeat(np.arange(len(chunks)), [len(v) for v in values])
-    v = np.concatenate(values)
-    by = np.lexsort((of, v))
-    v, of = v[by], of[by]
-    twin = np.zeros(len(v), bool)
-    twin[1:] = v[1:] == v[:-1]
-    twin[:-1] |= twin[1:]
-    v, of = v[twin], of[twin]
-    by = np.argsort(of, kind="stable")
-    v, of = v[by], of[by]
-    out = [(int(chunks[of[s]]), -1, pack(v[s:e])) for s, e in zip(*K.runs(of), strict=True)]
-    return pa.table([list(x) for x in zip(*out, strict=True)] or [[], [], []], schema=BACK)
+def _shared(hot: int):
+    def told(key: tuple, sent: pa.Table) -> pa.Table:
+        """Back to each chunk: those of its anchors that another chunk sent too, and which of these are hot."""
+        chunks = sent["chunk"].to_numpy()
+        values = [unpack(x) for x in sent["data"].to_pylist()]
+        of = np.repeat(np.arange(len(chunks)), [len(v) for v in values])
+        v = np.concatenate(values)
+        runs = np.frombuffer(b"".join(sent["runs"].to_pylist()), np.uint16)
+        by = np.lexsort((of, v))
+        v, of, runs = v[by], of[by], runs[by]
+        twin = np.zeros(len(v), bool)
+        twin[1:] = v[1:] == v[:-1]
+        twin[:-1] |= twin[1:]
+        v, of, runs = v[twin], of[twin], runs[twin]
+        s, e = K.runs(v)
+        many = np.repeat(np.add.reduceat(runs.astype(np.int64), s) > hot, e - s) if len(v) else twin[:0]
+        by = np.argsort(of, kind="stable")
+        v, of, many = v[by], of[by], many[by]
+        out = []
+        for s, e in zip(*K.runs(of), strict=True):
+            out.append((int(chunks[of[s]]), SHARED, pack(v[s:e])))
+            if many[s:e].any():
+                out.append((int(chunks[of[s]]), MANY, pack(v[s:e][many[s:e]])))
+        return pa.table([list(x) for x in zip(*out, strict=True)] or [[], [], []], schema=BACK)
+
+    return told
 
 
+#: In place of a bucket: anchors that other chunks share, and the hot ones of these.
+SHARED, MANY = -1, -2
 BACK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("strings", pa.binary())])
 
 
-def _told(back: pa.Table) -> np.ndarray:
-    """The anchors that other chunks share, of what came back."""
-    parts = [unpack(d) for b, d in zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True) if b < 0]
+def _told(back: pa.Table, what: int) -> np.ndarray:
+    """The anchors that came back as SHARED, or as MANY."""
+    parts = [unpack(d) for b, d in zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True) if b == what]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -187,7 +241,8 @@ def _windows(buckets: int, length: int, gram: int):
         if not len(docs):
             return SENT.empty_table()
         chunk, out = Chunk(docs, length, gram), {}
-        for run, b, k, text in chunk.entries(_told(back), buckets, length):
+        chunk.cut_hot(_told(back, MANY), length)
+        for run, b, k, text in chunk.entries(_told(back, SHARED), buckets, length):
             got = out.setdefault(b, ([], []))
             if k == len(got[0]):
                 got[0].append(run)
@@ -256,11 +311,12 @@ def _cover(buckets: int, length: int, gram: int, keep: bool):
         if not len(docs):
             return arrow.empty_table()
         chunk = Chunk(docs, length, gram)
+        chunk.cut_hot(_told(back, MANY), length)
         masks = {b: np.frombuffer(d, np.uint32).tolist() for b, d in zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True) if b >= 0}
         held: dict[tuple[int, int], int] = {}
         whole, some = [], []
         order, row = chunk.order.tolist(), chunk.row.tolist()
-        for run, b, k, _ in chunk.entries(_told(back), buckets, length):
+        for run, b, k, _ in chunk.entries(_told(back, SHARED), buckets, length):
             d = order[row[run]]
             if held.setdefault((b, k), d) < d:
                 whole.append(run)
@@ -292,22 +348,25 @@ def _cover(buckets: int, length: int, gram: int, keep: bool):
     return remove
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True, hot: int = HOT) -> DataFrame:
     """Per row of docs (doc_id, text): what is left without the bytes that any string of length bytes covers
     which also starts in a row of smaller doc_id. Strings are compared as UTF-8 bytes within rows, on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if keep, kept (the
     bytes left) and spans. Null text is empty. A null doc_id counts as larger than all others; rows of equal
     doc_id don't remove from each other. Repeated rows each give a row; extra columns are ignored; an empty
-    table gives no rows. Copies in longer texts cost no more than one record a chunk.
+    table gives no rows. Copies in longer texts cost no more than one record a chunk. hot is as HOT above, and
+    changes no result.
     """
+    if not 0 <= hot < 1 << 16:
+        raise ValueError("hot must be less than 65536")
     if gram < 2 or not 0 <= length - gram < RUN:
         raise ValueError(f"gram must be 2 to length and more than length - {RUN}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     chunks = buckets = parts_for(text_bytes(docs, "text"), CHUNK, SPREAD)
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     text = docs.groupBy("chunk")
-    shared = text.applyInArrow(_anchors(buckets, length, gram), "bucket long, chunk long, data binary").groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, data binary")
+    shared = text.applyInArrow(_anchors(buckets, length, gram), "bucket long, chunk long, data binary, runs binary").groupBy("bucket").applyInArrow(_shared(hot), "chunk long, bucket long, data binary")
     sent = text.cogroup(shared.groupBy("chunk")).applyInArrow(_windows(buckets, length, gram), "bucket long, chunk long, docs binary, keys binary, sizes binary, strings binary")
     early = sent.groupBy("bucket").applyInArrow(_earliest(length), "chunk long, bucket long, data binary")
     return text.cogroup(shared.unionByName(early).groupBy("chunk")).applyInArrow(_cover(buckets, length, gram, keep), RESULT)
