@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import colors, formulas, refs, text, units
 from cellweave.operators import relational as R
-from cellweave.plans.fixtures import binary_docs, table, text_docs
+from cellweave.plans.fixtures import binary_docs, rejoined, table, text_docs
 from cellweave.sources import binary, delimited, markup, zipped
 
 QUERIES: dict[str, Callable] = {}
@@ -181,13 +181,13 @@ def _scans() -> None:
         "scan_dif": ("dif", delimited.scan_dif, True), "scan_sylk": ("sylk", delimited.scan_sylk, True),
     }
     for name, (form, scan, typed) in texts.items():
-        query(_scan_sql(typed), name)(lambda spark, sf_dir, form=form, scan=scan: scan(text_docs(spark, sf_dir, form)).select(*_SHOWN))
+        query(_scan_sql(typed), name)(lambda spark, sf_dir, form=form, scan=scan: rejoined(scan(text_docs(spark, sf_dir, form))).select(*_SHOWN))
     files = {
         "scan_dbf": ("dbf", binary.scan_dbf, None), "scan_lotus": ("lotus", binary.scan_lotus, None), "scan_xls": ("xls", binary.scan_xls, "'=A' || (i + 1) || '+1'"),
         "scan_xlsx": ("xlsx", zipped.scan_xlsx, "'=SUM(A' || (i + 1) || ',1)'"), "scan_ods": ("ods", zipped.scan_ods, "'=SUM(A' || (i + 1) || ':B' || (i + 1) || ',1)'"),
     }
     for name, (form, scan, formula) in files.items():
-        query(_scan_sql(True, formula), name)(lambda spark, sf_dir, form=form, scan=scan: scan(binary_docs(spark, sf_dir, form)).select(*_SHOWN))
+        query(_scan_sql(True, formula), name)(lambda spark, sf_dir, form=form, scan=scan: rejoined(scan(binary_docs(spark, sf_dir, form))).select(*_SHOWN))
 
 
 _scans()
@@ -212,7 +212,7 @@ def scan_html_errors(spark, sf_dir):
 @query("SELECT c_nationkey AS workbook_id, 'A' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)) AS address, 2 AS colspan, 1 AS rowspan FROM customer")
 def scan_html_spans(spark, sf_dir):
     d = text_docs(spark, sf_dir, "html").withColumn("text", F.replace("text", F.lit("<tr><td>"), F.lit("<tr><td colspan=2>")))
-    return markup.merges(markup.scan_html(d, html="text")).select("workbook_id", "address", "colspan", "rowspan")
+    return markup.merges(rejoined(markup.scan_html(d, html="text"))).select("workbook_id", "address", "colspan", "rowspan")
 
 
 # transforms, over line items as sparse sheets: 16 workbooks, an order a row
@@ -334,7 +334,7 @@ def r15_bounding_box(spark, sf_dir):
 def r16_deleted_filter(spark, sf_dir):
     """Records of the dBase files: each customer once live, once deleted."""
     r = binary.dbf_records(binary_docs(spark, sf_dir, "dbf"))
-    return r.groupBy("workbook_id").agg(F.count_if(~F.col("deleted")).alias("n"), F.count_if("deleted").alias("n_deleted"))
+    return r.groupBy(F.shiftright("workbook_id", 32).alias("workbook_id")).agg(F.count_if(~F.col("deleted")).alias("n"), F.count_if("deleted").alias("n_deleted"))
 
 
 @query(f"SELECT workbook_id, CAST(c AS INTEGER) AS col_idx, chr(CAST(65 + c AS INTEGER)) AS title, CASE WHEN c = workbook_id % 5 THEN 55.5 ELSE 100.0 END::DOUBLE AS width_px FROM {_BOUNDS}, unnest(generate_series(0, max_col)) t(c)")

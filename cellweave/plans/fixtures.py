@@ -7,22 +7,39 @@ import struct
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a workbook at most, well under the 65,536 that Lotus and Excel 97-2003 can number: what a task holds stays small.
+PAGE = 1 << 12
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, rows): the customers of each nation, in order of their keys."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", F.struct("c_custkey", "c_name", "c_mktsegment").alias("r"))
-    return c.groupBy(F.col("c_nationkey").alias("doc_id")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    """(doc_id, rows): the customers of each nation, in order of their keys, at most PAGE a workbook.
+
+    doc_id has the nation in its upper 32 bits and the number of the workbook among the nation's in the lower."""
+    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    c = table(spark, sf_dir, "customer").select("c_nationkey", at.alias("at"), F.struct("c_custkey", "c_name", "c_mktsegment").alias("r"))
+    doc_id = F.shiftleft(F.col("c_nationkey").cast("long"), 32) + F.floor(F.col("at") / PAGE)
+    return c.groupBy(doc_id.alias("doc_id")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+
+
+def rejoined(cells: DataFrame) -> DataFrame:
+    """Cells scanned from the workbooks of customers(), under their nation: rows, also those in formulas, count on from workbook to workbook."""
+    before = (F.col("workbook_id").bitwiseAND(0xFFFFFFFF) * PAGE).cast("int")
+    row = "(?<=[A-Z])[0-9]+"
+    moved = F.transform(F.regexp_extract_all("formula", F.lit(row), F.lit(0)), lambda n: (n.cast("int") + before).cast("string"))
+    formula = F.array_join(F.zip_with(F.split("formula", row), moved, lambda text, n: F.concat(text, F.coalesce(n, F.lit("")))), "")
+    cells = cells.withColumns({"row_idx": F.col("row_idx") + before, "formula": formula})
+    return cells.withColumn("workbook_id", F.shiftright("workbook_id", 32))  # apart: within a lambda, the new column would be taken
 
 
 def text_docs(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """(doc_id, text) of customers in a text format."""
+    """(doc_id, text) of customers() in a text format."""
     t = customers(spark, sf_dir)
 
     def quoted(x):
@@ -152,7 +169,7 @@ ENCODERS = {"dbf": _dbf, "lotus": _lotus, "xls": _xls, "xlsx": _xlsx, "ods": _od
 
 
 def binary_docs(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """(doc_id, content) of customers as binary files."""
+    """(doc_id, content) of customers() as binary files."""
     encode = ENCODERS[form]
 
     @F.pandas_udf("binary")
