@@ -69,6 +69,12 @@ def border_dedup(cells: DataFrame, css: str = "css") -> DataFrame:
     return t.withColumn(css, F.when(F.col("_t"), without_property(F.col(css), "border-top")).otherwise(F.col(css))).drop("_l", "_t")
 
 
+def styled(cells: DataFrame, css: str = "css") -> tuple[DataFrame, DataFrame]:
+    """(styles, cells) of style_dictionary after border_dedup; a style text without properties is none."""
+    bare = border_dedup(cells, css)
+    return style_dictionary(bare.withColumn(css, F.nullif(css, F.lit(""))), css)
+
+
 def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], rank: str, bin_rows: int = 64) -> DataFrame:
     """points with rank of the first range (r1..r2, c1..c2; smallest rank) that holds them, or null.
 

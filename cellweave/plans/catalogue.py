@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.functions import colors, formulas, refs, text, units
+from cellweave.functions import colors, formulas, palettes, refs, text, units
 from cellweave.operators import relational as R
+from cellweave.plans import looks
 from cellweave.plans.fixtures import binary_docs, rejoined, table, text_docs
-from cellweave.sources import binary, delimited, markup, zipped
+from cellweave.plans.showcase import showcase
+from cellweave.sources import binary, delimited, markup, xlsx_parts, zipped
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable] = dict(looks.QUERIES)
+ORACLES: dict[str, str] = dict(looks.ORACLES)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -159,6 +161,39 @@ def ptg_decode(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", formulas.ptg_decode(F.unhex(tokens), zero, zero, zero, zero).alias("f"))
 
 
+#: Hexadecimal tokens of one formula each, and what they decompile to in the fifth row and third column.
+_TOKENS = {
+    "1E02001E0300215101": "POWER(2,3)", "1E01001E02001E0300213D00": "MIRR(1,2,3)", "211300": "PI()", "161E030022020400": "SUM(,3)", "1E010022017101": "FUNC369(1)",
+    "3A0100000000C01E010003": "SHEET2!A1+1", "3B00000000010000C001C0": "SHEET1!A1:B2", "3C000000000000": "#REF!", "23050000001E020005": "NAME5*2", "2A00000000": "#REF!", "2000000000000000": "{}",
+    "1F000000000000F07F": "#NUM!", "1F000000000000F83F": "1.5", "170300616263": '"abc"', "1702016100E700": '"aç"', "1C2A": "#N/A", "1D01": "TRUE", "1E070013": "-7", "1E070014": "7%", "1E070015": "(7)",
+    "2500000300004001C0": "C$1:D8", "2CFFFFFFC0": "B4", "440000000019100000": "SUM($A$1)", "1E07001E080011": "7:8", "1E01001E020010": "1,2", "1E01001E020009": "1<2", "1E01001E020008": "1&2", "03": "0+0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS tokens, '{v}' AS f" for k, v in _TOKENS.items()))
+def ptg_token_classes(spark, sf_dir):
+    """A formula of each class of tokens."""
+    one = F.explode(F.array(*map(F.lit, _TOKENS))).alias("tokens")
+    return table(spark, sf_dir, "region").where("r_regionkey = 0").select(one).select("tokens", formulas.ptg_decode(F.unhex("tokens"), F.lit(4), F.lit(2), F.lit(0), F.lit(0)).alias("f"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN '=B' || (p_size + 1) END AS a1 FROM part")
+def fn_r1c1_nulls(spark, sf_dir):
+    """A null place gives null."""
+    row = F.when(F.col("p_size") % 3 > 0, F.col("p_size"))
+    return part(spark, sf_dir).select("p_partkey", formulas.r1c1_to_a1(F.lit("=RC2"), row, F.lit(0)).alias("a1")).withColumn("a1", F.replace("a1", F.lit("$"), F.lit("")))
+
+
+@query("SELECT p_partkey, CASE p_size % 13 WHEN 0 THEN 'FFFFFF' WHEN 1 THEN '000000' WHEN 4 THEN '4472C4' WHEN 11 THEN '954F72' END AS theme, CASE p_size % 3 WHEN 0 THEN 'ED7D31' WHEN 1 THEN '44546A' END AS scheme, CASE p_size WHEN 8 THEN '000000' WHEN 2 THEN 'FF0000' WHEN 10 THEN 'FF0000' WHEN 22 THEN 'C0C0C0' END AS indexed FROM part")
+def fn_theme_colors(spark, sf_dir):
+    """Colours by theme number, theme name and index; only those that the SQL lists."""
+    n = F.col("p_size") % 13
+    name = F.get(F.array(F.lit("accent2"), F.lit("tx2"), F.lit("other")), F.col("p_size") % 3)
+    return part(spark, sf_dir).select(
+        "p_partkey", F.when(n.isin(0, 1, 4, 11, 12), palettes.theme_color(n)).alias("theme"), palettes.scheme_color(name).alias("scheme"), F.when(F.col("p_size").isin(2, 8, 10, 22), palettes.indexed_color(F.col("p_size"))).alias("indexed"),
+    )
+
+
 # scans: customers of each nation as a workbook, read back
 
 
@@ -245,23 +280,27 @@ def r3_pivot(spark, sf_dir):
     return R.grid(t, "v").select("workbook_id", "row_idx", F.array_join("cells", "|").alias("cells"))
 
 
-@query(f"SELECT workbook_id, sheet_idx, count(*) AS n FROM {_CELLS} GROUP BY ALL")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS workbook_id, i AS sheet_idx, CASE WHEN i = 0 THEN 7 ELSE 1 END AS n, CASE WHEN i = 0 THEN 'Main' ELSE 'Hid' END AS sheet_name FROM nation, (SELECT unnest([0, 1]) AS i)")
 def r4_sheet_groups(spark, sf_dir):
-    return sparse(spark, sf_dir).groupBy("workbook_id", "sheet_idx").agg(F.count("*").alias("n"))
+    """Cells of the sheets of workbooks, by sheet."""
+    d = showcase(spark, sf_dir, "xlsx")
+    n = zipped.scan_xlsx(d).groupBy("workbook_id", "sheet_idx").agg(F.count("*").alias("n"))
+    return n.join(zipped.xlsx_worksheets(d).select("workbook_id", "sheet_idx", "sheet_name"), ["workbook_id", "sheet_idx"])
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name AS text FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+@query("SELECT c_nationkey AS workbook_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS row_idx, c_mktsegment AS v_str FROM customer")
 def r5_sst_lookup(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text"))
-    return table(spark, sf_dir, "lineitem").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", "text")
+    """Cells whose text is a number of the string table."""
+    return rejoined(zipped.scan_xlsx(binary_docs(spark, sf_dir, "xlsx"))).where("col_idx = 2").select("workbook_id", "row_idx", "v_str")
 
 
-@query("""SELECT c_custkey, 'font: ' || n_name || '; fill: ' || r_name || '; format: ' || c_mktsegment AS css FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS workbook_id, r AS row_idx, c AS col_idx, CASE x WHEN 1 THEN '0.000 "k"' WHEN 2 THEN 'mm-dd-yy' ELSE 'General' END AS number_format
+FROM nation, (VALUES (0, 0, 1), (0, 1, 1), (1, 0, 2), (1, 1, 0), (1, 2, 0), (1, 3, 0), (3, 0, 0)) v(r, c, x)""")
 def r6_style_join(spark, sf_dir):
-    """A style index looked up in two small dimensions; Spark broadcasts them by their size."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.select("c_custkey", F.concat_ws("; ", F.concat(F.lit("font: "), "n_name"), F.concat(F.lit("fill: "), "r_name"), F.concat(F.lit("format: "), "c_mktsegment")).alias("css"))
+    """Cells with the number format of their style index."""
+    d = showcase(spark, sf_dir, "xlsx")
+    cells = zipped.scan_xlsx(d).where("sheet_idx = 0").join(xlsx_parts.xlsx_styles(d), ["workbook_id", "xf"], "left")
+    return cells.select("workbook_id", "row_idx", "col_idx", "number_format")
 
 
 @query("SELECT c_custkey, o.target FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS target FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")

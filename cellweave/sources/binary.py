@@ -13,6 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from cellweave.functions.formulas import ERRORS, f64_le, ptg_decode
 from cellweave.functions.text import with_equals
+from cellweave.operators.relational import range_join
 from cellweave.sources.model import cells
 
 # Label marks and what they mean for alignment.
@@ -86,6 +87,35 @@ def scan_dbf(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     return cells(t, F.col("name").alias("title"), kind=v_type, text=string, num=number, flag=flag)
 
 
+# Names of dBase versions by their first byte.
+DBF_VERSIONS = {
+    0x02: "FoxBASE", 0x03: "dBASE III", 0x04: "dBASE IV", 0x05: "dBASE V", 0x30: "Visual FoxPro", 0x31: "Visual FoxPro with AutoIncrement", 0x43: "dBASE IV SQL table",
+    0x63: "dBASE IV SQL system", 0x83: "dBASE III+ with memo", 0x8B: "dBASE IV with memo", 0x8E: "dBASE IV SQL table with memo", 0xF5: "FoxPro 2.x with memo", 0xFB: "FoxPro without memo",
+}
+
+
+def dbf_meta(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, version, updated, n_records, header_bytes, record_bytes, transaction, encrypted, indexed, language): each table's header."""
+    c = F.col(content)
+    day = F.concat_ws("-", 1900 + unsigned(c, 1, 1), F.lpad(unsigned(c, 2, 1).cast("string"), 2, "0"), F.lpad(unsigned(c, 3, 1).cast("string"), 2, "0"))
+    code = unsigned(c, 0, 1)
+    names = F.create_map(*(F.lit(x) for p in DBF_VERSIONS.items() for x in p))
+    version = F.coalesce(F.element_at(names, code.cast("int")), F.concat(F.lit("Unknown (0x"), F.lower(F.lpad(F.hex(code), 2, "0")), F.lit(")")))
+    return docs.where(F.length(c) >= 32).select(
+        F.col(key).alias("workbook_id"), version.alias("version"), day.alias("updated"), unsigned(c, 4, 4).alias("n_records"), unsigned(c, 8, 2).alias("header_bytes"), unsigned(c, 10, 2).alias("record_bytes"),
+        (unsigned(c, 14, 1) != 0).alias("transaction"), (unsigned(c, 15, 1) != 0).alias("encrypted"), (unsigned(c, 28, 1) != 0).alias("indexed"), unsigned(c, 29, 1).cast("int").alias("language"),
+    )
+
+
+def dbf_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, col_idx, title, type, width_px, mask): a column for each field; numbers and currency have masks, dates and times formats."""
+    kind, places = F.col("type"), F.col("decimals").cast("int")
+    shown = F.when(kind.isin("C", "M"), "text").when(kind.isin("N", "F", "I", "B", "Y", "O", "+"), "numeric").when(kind.isin("D", "T", "@"), "calendar").when(kind == "L", "checkbox")
+    mask = F.when(kind.isin("N", "F") & (places > 0), F.concat(F.lit("#,##0."), F.repeat(F.lit("0"), places))).when(kind == "Y", "$#,##0.00").when(kind == "D", "YYYY-MM-DD").when(kind.isin("T", "@"), "YYYY-MM-DD HH:mm:ss")
+    f = dbf_fields(docs, key, content)
+    return f.select("workbook_id", F.col("field_idx").alias("col_idx"), F.col("name").alias("title"), shown.alias("type"), F.greatest(F.col("length") * 10, F.lit(100)).cast("int").alias("width_px"), mask.alias("mask"))
+
+
 # records of a type, a length and a payload
 
 
@@ -117,9 +147,11 @@ def scan_lotus(docs: DataFrame, key: str = "doc_id", content: str = "content") -
     good = r.where("n = 0 and type = 0").select("workbook_id")
     over = W.partitionBy("workbook_id").orderBy("n")
     r = r.join(good, "workbook_id", "left_semi").withColumn("next", F.when(F.lead("type").over(over) == 51, F.lead("data").over(over)))
-    # 12 blank, 13 integer, 14 number, 15 label, 16 formula, 51 string
-    r = r.where(F.col("type").isin(12, 13, 14, 15, 16)).withColumn("sheet_idx", F.lit(0))
     d, t = F.col("data"), F.col("type")
+    # a sheet's name (141) comes before its cells, with its number
+    r = r.withColumn("sheet_idx", F.coalesce(F.last(F.when(t == 141, unsigned(d, 0, 2)), True).over(over.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
+    # 12 blank, 13 integer, 14 number, 15 label, 16 formula, 51 string
+    r = r.where(t.isin(12, 13, 14, 15, 16))
     r = r.withColumn("col_idx", unsigned(d, 1, 2)).withColumn("row_idx", unsigned(d, 3, 2))
     mark = latin(F.substring(d, 6, 1))
     label = F.replace(latin(F.substring(d, 7, 1 << 16)), F.lit("\x00"), F.lit(""))
@@ -131,6 +163,19 @@ def scan_lotus(docs: DataFrame, key: str = "doc_id", content: str = "content") -
     return cells(r, align.alias("align"), (unsigned(d, 0, 1) >= 128).alias("protected"), kind=v_type, text=string, num=num)
 
 
+def lotus_css(align: Column, protected: Column) -> Column:
+    """CSS of a Lotus cell's label mark and protection; null for none."""
+    css = F.concat_ws("; ", F.when(align.isNotNull() & (align != "fill"), F.concat(F.lit("text-align: "), align)), F.when(protected, F.lit("pointer-events: none")))
+    return F.nullif(css, F.lit(""))
+
+
+def lotus_sheets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_idx, sheet_name) of sheet name records; a file without one has no rows here."""
+    r = records(docs, key, content).where("type = 141")
+    d = F.col("data")
+    return r.select("workbook_id", unsigned(d, 0, 2).cast("int").alias("sheet_idx"), F.replace(latin(F.substring(d, 4, 1 << 10)), F.lit("\x00"), F.lit("")).alias("sheet_name"))
+
+
 def lotus_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, col_idx, width_px, visible) of column width records; width 0 hides."""
     r = records(docs, key, content).where("type = 8")
@@ -270,20 +315,20 @@ def scan_xls(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     # one row for each column of the records that hold several
     count = F.when(t == 0xBD, ((F.length(d) - 6) / 6).cast("int")).when(t == 0xBE, ((F.length(d) - 6) / 2).cast("int")).otherwise(1)
     c = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)))
-    at = F.when(t == 0xBD, 4 + F.col("j") * 6).when(t == 0xBE, 4 + F.col("j") * 2).otherwise(4)
-    c = c.withColumn("row_idx", unsigned(d, 0, 2)).withColumn("col_idx", unsigned(d, 2, 2) + F.col("j")).withColumn("xf", unsigned(d, at, 2))
+    place = F.when(t == 0xBD, 4 + F.col("j") * 6).when(t == 0xBE, 4 + F.col("j") * 2).otherwise(4)
+    c = c.withColumn("row_idx", unsigned(d, 0, 2)).withColumn("col_idx", unsigned(d, 2, 2) + F.col("j")).withColumn("xf", unsigned(d, place, 2))
     c = c.withColumn("sst", F.when(t == 0xFD, unsigned(d, 6, 4))).join(sst, ["workbook_id", "sst"], "left")
     size = unsigned(d, 20, 2).cast("int")
     c = c.withColumn("tokens", F.when(t == 6, F.substring(d, F.lit(23), size)))
     shared = r.where("type = 1212").join(sheets, ["workbook_id", "bof"]).select(
-        F.col("workbook_id").alias("sw"), F.col("sheet_idx").alias("ss"), F.col("n").alias("sn"), unsigned(d, 0, 2).alias("r1"), unsigned(d, 2, 2).alias("r2"), unsigned(d, 4, 1).alias("c1"), unsigned(d, 5, 1).alias("c2"),
+        "workbook_id", "sheet_idx", F.col("n").alias("sn"), unsigned(d, 0, 2).alias("r1"), unsigned(d, 2, 2).alias("r2"), unsigned(d, 4, 1).alias("c1"), unsigned(d, 5, 1).alias("c2"),
         F.substring(d, F.lit(11), unsigned(d, 8, 2).cast("int")).alias("st"),
     )
     is_shared = F.hex(F.substring("tokens", 1, 1)) == "01"
-    inside = (F.col("workbook_id") == F.col("sw")) & (F.col("sheet_idx") == F.col("ss")) & F.col("row_idx").between(F.col("r1"), F.col("r2")) & F.col("col_idx").between(F.col("c1"), F.col("c2"))
-    some = c.where(is_shared).select("workbook_id", "sheet_idx", "row_idx", "col_idx").join(shared, inside)
-    first = some.groupBy("workbook_id", "sheet_idx", "row_idx", "col_idx").agg(F.min_by(F.struct("st", "r1", "c1"), "sn").alias("g"))
-    c = c.join(first, ["workbook_id", "sheet_idx", "row_idx", "col_idx"], "left").withColumn("is_shared", is_shared)
+    at = ["workbook_id", "sheet_idx", "row_idx", "col_idx"]
+    first = range_join(c.where(is_shared).select(*at).distinct(), shared, at[:2], "sn")
+    first = first.join(shared.select(*at[:2], "sn", F.struct("st", "r1", "c1").alias("g")), [*at[:2], "sn"]).drop("sn")
+    c = c.join(first, at, "left").withColumn("is_shared", is_shared)
     # the explicit token list of a shared formula holds offsets from its cell
     tokens = F.when(F.col("is_shared"), F.col("g.st")).otherwise(F.col("tokens"))
     formula = F.when(tokens.isNotNull(), with_equals(ptg_decode(tokens, "row_idx", "col_idx", F.coalesce("g.r1", "row_idx"), F.coalesce("g.c1", "col_idx"))))
@@ -292,7 +337,7 @@ def scan_xls(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
     error_code = F.when((t == 0x205) & (unsigned(d, 7, 1) == 1), unsigned(d, 6, 1)).when(tag == 2, unsigned(d, 8, 1))
     error = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in ERRORS.items() for x in p)), error_code.cast("int")), F.when(error_code.isNotNull(), F.concat(F.lit("#ERROR"), error_code)))
     flag = F.when((t == 0x205) & (unsigned(d, 7, 1) == 0), unsigned(d, 6, 1) != 0).when(tag == 1, unsigned(d, 8, 1) != 0)
-    rk = F.when(t == 0x27E, unsigned(d, 6, 4)).when(t == 0xBD, unsigned(d, at + 2, 4))
+    rk = F.when(t == 0x27E, unsigned(d, 6, 4)).when(t == 0xBD, unsigned(d, place + 2, 4))
     num = F.when(rk.isNotNull(), rk_number(rk)).when((t == 0x203) | ((t == 6) & ~tagged), f64_le(F.substring(d, 7, 8)))
     nd = F.col("next")
     later = F.when(unsigned(nd, 2, 1) % 2 == 1, F.decode(F.substring(nd, 4, 1 << 16), "UTF-16LE")).otherwise(latin(F.substring(nd, 4, 1 << 16)))
@@ -316,5 +361,5 @@ def xls_columns(docs: DataFrame, key: str = "doc_id", content: str = "content")
     r = biff_records(docs, key, content)
     m = r.where("type = 125").join(biff_sheets(r).select("workbook_id", "bof", "sheet_idx"), ["workbook_id", "bof"])
     d = F.col("data")
-    m = m.select("workbook_id", "sheet_idx", "data", F.explode(F.sequence(unsigned(d, 0, 2), unsigned(d, 2, 2))).cast("int").alias("col_idx"))
+    m = m.select("workbook_id", "sheet_idx", "data", F.explode(F.sequence(unsigned(d, 0, 2).cast("int"), unsigned(d, 2, 2).cast("int"))).alias("col_idx"))
     return m.select("workbook_id", "sheet_idx", "col_idx", (unsigned(d, 4, 2) / 256 * 8.43).alias("width_px"), (unsigned(d, 8, 2) % 2 == 0).alias("visible"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from cellweave.functions.formulas import r1c1_to_a1
 from cellweave.functions.refs import cell_name
 from cellweave.functions.text import with_equals
+from cellweave.operators.relational import style_dictionary
 from cellweave.sources.model import by_text, cells
+from cellweave.sources.xmltext import bare_xml
 
 _TAGS = "table_idx int, section int, part int, tr int, is_td int, pos int, value string, formula string, colspan int, rowspan int, css string, comment string"
 
@@ -55,6 +57,8 @@ class _Tables(HTMLParser):
             self.open.pop()
         elif tag in ("td", "th") and self.open:
             self.open[-1]["cell"] = None
+        elif tag in ("thead", "tfoot") and self.open:
+            self.open[-1]["s"], self.open[-1]["part"] = 1, 0
 
     def handle_data(self, data):
         for t in self.open if not self.mute else ():
@@ -126,17 +130,15 @@ def merges(t: DataFrame) -> DataFrame:
 
 _CELL = "struct<_Index:int,_Formula:string,_MergeAcross:int,_MergeDown:int,_StyleID:string,_HRef:string,Data:struct<_Type:string,_VALUE:string>,Comment:struct<_Author:string,Data:string>>"
 _TABLE = f"struct<_DefaultColumnWidth:double,_DefaultRowHeight:double,Column:array<struct<_Index:int,_Width:double,_Span:int,_Hidden:string>>,Row:array<struct<_Index:int,_Height:double,_Hidden:string,Cell:array<{_CELL}>>>>"
-_OPTIONS = "struct<FreezePanes:string,SplitHorizontal:int,SplitVertical:int,DoNotDisplayGridlines:string,Visible:string,ProtectObjects:string>"
-_STYLE = "struct<_ID:string,_Name:string,Alignment:struct<_Horizontal:string,_Vertical:string,_WrapText:string>,Font:struct<_FontName:string,_Size:double,_Bold:string,_Italic:string,_Underline:string,_Color:string>,Interior:struct<_Color:string,_Pattern:string>,NumberFormat:struct<_Format:string>>"
+_OPTIONS = "struct<FreezePanes:string,SplitHorizontal:int,SplitVertical:int,DoNotDisplayGridlines:string,Visible:string,ProtectObjects:string,ProtectScenarios:string,EnableSelection:string>"
+_STYLE = "struct<_ID:string,_Name:string,Alignment:struct<_Horizontal:string,_Vertical:string,_WrapText:string>,Borders:struct<Border:array<struct<_Position:string,_LineStyle:string,_Weight:string,_Color:string>>>,Font:struct<_FontName:string,_Size:double,_Bold:string,_Italic:string,_Underline:string,_Color:string>,Interior:struct<_Color:string,_Pattern:string>,NumberFormat:struct<_Format:string>>"
 _NAMES = "struct<NamedRange:array<struct<_Name:string,_RefersTo:string>>>"
 _BOOK = f"Styles struct<Style:array<{_STYLE}>>, Names {_NAMES}, Worksheet array<struct<_Name:string,_Visible:string,Table:{_TABLE},WorksheetOptions:{_OPTIONS}>>"
 
 
 def xml_books(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     """(workbook_id, b): each SpreadsheetML text as a nested value. Prefixes go first, as texts may not declare them."""
-    bare = F.regexp_replace(F.col(xml), r"(</?)[A-Za-z][\w]*:", "$1")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"(\s)[A-Za-z]\w*:(\w+=)", "$1$2")
-    bare = F.regexp_replace(bare, r"<\?[^>]*\?>", "")
+    bare = bare_xml(F.col(xml))
     return docs.select(F.col(key).alias("workbook_id"), F.from_xml(bare, _BOOK, {"rowTag": "Workbook", "ignoreSurroundingSpaces": "false"}).alias("b"))
 
 
@@ -175,9 +177,40 @@ def xml_worksheets(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> Da
     return s.select(
         "workbook_id", "sheet_idx", F.coalesce("w._Name", F.lit("Sheet1")).alias("sheet_name"), state.alias("state"), F.when(frozen, F.col(f"{o}.SplitHorizontal")).alias("freeze_rows"), F.when(frozen, F.col(f"{o}.SplitVertical")).alias("freeze_cols"),
         F.col(f"{o}.DoNotDisplayGridlines").isNull().alias("gridlines"), F.col("w.Table._DefaultColumnWidth").alias("default_width"), F.col("w.Table._DefaultRowHeight").alias("default_height"),
+        (F.lower(f"{o}.ProtectObjects") == "true").alias("protect_objects"), (F.lower(f"{o}.ProtectScenarios") == "true").alias("protect_scenarios"), F.col(f"{o}.EnableSelection").alias("enable_selection"),
     )
 
 
+def xml_columns(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """(workbook_id, sheet_idx, col_idx, width, visible): an index jumps ahead, a span repeats; columns between have no row here."""
+    c = xml_books(docs, key, xml).select("workbook_id", F.posexplode("b.Worksheet").alias("sheet_idx", "w")).select("workbook_id", "sheet_idx", F.posexplode("w.Table.Column").alias("p", "c"))
+    c = c.withColumn("i", F.col("c._Index")).withColumn("times", F.coalesce("c._Span", F.lit(0)) + 1)
+    c = _placed_by_index(c, ["workbook_id", "sheet_idx"], "p", "i", "first", "times")
+    c = c.withColumn("col_idx", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("times") - 1)))
+    return c.select("workbook_id", "sheet_idx", F.col("col_idx").cast("int").alias("col_idx"), F.coalesce("c._Width", F.lit(100.0)).alias("width"), (F.coalesce("c._Hidden", F.lit("0")) != "1").alias("visible"))
+
+
+def xml_rows(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """(workbook_id, sheet_idx, row_idx, height, visible) of stored rows; height is null where none is stored."""
+    r = xml_books(docs, key, xml).select("workbook_id", F.posexplode("b.Worksheet").alias("sheet_idx", "w")).select("workbook_id", "sheet_idx", F.posexplode("w.Table.Row").alias("p", "r"))
+    r = _placed_by_index(r.withColumn("i", F.col("r._Index")), ["workbook_id", "sheet_idx"], "p", "i", "row_idx")
+    return r.select("workbook_id", "sheet_idx", "row_idx", F.col("r._Height").alias("height"), (F.coalesce("r._Hidden", F.lit("0")) != "1").alias("visible"))
+
+
+# Formats that have a mask of their own, and CSS lines of border styles.
+MASKS = {
+    "yyyy-mm-dd": "YYYY-MM-DD", "dd/mm/yyyy": "DD/MM/YYYY", "mm/dd/yyyy": "MM/DD/YYYY", "dd-mmm-yy": "DD-MMM-YY", "dddd, mmmm dd, yyyy": "dddd, MMMM DD, YYYY",
+}
+LINES = {"Continuous": "solid", "Dash": "dashed", "Dot": "dotted", "DashDot": "dashed", "DashDotDot": "dashed", "SlantDashDot": "dashed", "Double": "double"}
+
+
+def format_mask(stored: Column) -> Column:
+    """A number format as a mask: dates by MASKS, else without currency codes, escapes and quotes; scientific ones in upper case."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(stored, r"\[\$[^\]]+\]", ""), "_;", ""), r"[\\\"]", "")
+    bare = F.nullif(F.trim(bare), F.lit(""))
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in MASKS.items() for x in p)), stored), F.when(bare.rlike(r"(?i)^0\.0+E\+00$"), F.upper(bare)).otherwise(bare))
+
+
 def xml_names(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     """(workbook_id, name, refers_to) of named ranges, without internal prefixes and equals signs."""
     n = xml_books(docs, key, xml).select("workbook_id", F.explode("b.Names.NamedRange").alias("n"))
@@ -185,17 +218,31 @@ def xml_names(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFra
 
 
 def xml_styles(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """(workbook_id, style_id, css, mask) of the styles."""
+    """(workbook_id, style_id, css, mask) of the styles; a border of weight 0 is a pixel wide, one of style None isn't drawn."""
     s = xml_books(docs, key, xml).select("workbook_id", F.explode("b.Styles.Style").alias("s"))
 
     def prop(name: str, value) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value))
 
     font, at = "s.Font", "s.Alignment"
+
+    def edge(position: str) -> Column:
+        b = F.get(F.filter("s.Borders.Border", lambda x: F.lower(x["_Position"]) == position), F.lit(0))
+        line = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in LINES.items() for x in p)), b["_LineStyle"]), F.lit("solid"))
+        width = F.greatest(F.coalesce(b["_Weight"].try_cast("int"), F.lit(1)), F.lit(1))
+        return F.when(b.isNotNull() & (F.coalesce(b["_LineStyle"], F.lit("")) != "None"), F.concat(F.lit(f"border-{position}: "), width, F.lit("px "), line, F.lit(" "), F.coalesce(b["_Color"], F.lit("#000000"))))
+
+    upright = F.lower(f"{at}._Vertical")
     parts = [
         prop("font-family", F.col(f"{font}._FontName")), prop("font-size", F.concat(F.regexp_replace(F.col(f"{font}._Size").cast("string"), r"\.0$", ""), F.lit("pt"))),
         F.when(F.col(f"{font}._Bold") == "1", F.lit("font-weight: bold")), F.when(F.col(f"{font}._Italic") == "1", F.lit("font-style: italic")),
-        F.when(F.col(f"{font}._Underline").isNotNull(), F.lit("text-decoration: underline")), prop("color", F.col(f"{font}._Color")), prop("background-color", F.col("s.Interior._Color")),
-        prop("text-align", F.lower(f"{at}._Horizontal")), prop("vertical-align", F.regexp_replace(F.lower(f"{at}._Vertical"), "^center$", "middle")),
+        F.when(F.col(f"{font}._Underline").isNotNull(), F.lit("text-decoration: underline")), prop("color", F.col(f"{font}._Color")), prop("background-color", F.col("s.Interior._Color")), *(edge(p) for p in ("left", "right", "top", "bottom", "diagonal")),
+        prop("text-align", F.lower(f"{at}._Horizontal")), prop("vertical-align", F.when(upright.isin("top", "bottom"), upright).when(upright.isNotNull(), "middle")), F.when(F.col(f"{at}._WrapText") == "1", F.lit("white-space: pre-wrap")),
     ]
-    return s.select("workbook_id", F.col("s._ID").alias("style_id"), F.concat_ws("; ", *parts).alias("css"), F.col("s.NumberFormat._Format").alias("mask"))
+    return s.select("workbook_id", F.col("s._ID").alias("style_id"), F.concat_ws("; ", *parts).alias("css"), format_mask(F.col("s.NumberFormat._Format")).alias("mask"))
+
+
+def xml_styled_cells(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(styles, cells): cells with css, mask and style_idx, styles numbered by first appearance."""
+    cells = scan_xml2003(docs, key, xml).join(xml_styles(docs, key, xml), ["workbook_id", "style_id"], "left")
+    return style_dictionary(cells.withColumn("css", F.nullif("css", F.lit(""))))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import re
+import struct
+import zipfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cellweave.operators.relational import grid
 from cellweave.sources import binary, delimited, markup, zipped
+from cellweave.sources.encodings import decoded_as, dif_encoding_of, encoding_of
 
 #: Scan of each extension; text formats get a decoded column, others bytes.
 TEXT = {"csv", "tsv", "tab", "txt", "dif", "slk", "sylk", "xml", "html", "htm"}
@@ -38,40 +44,90 @@ def scan_text(docs: DataFrame, ext: str, key: str, delimiter: str = ",", table_i
     return markup.scan_html(docs, key, "text", table_index, first_row_as_header)
 
 
-def scan_files(files: DataFrame, exts: set[str], encoding: str = "UTF-8", worksheet_index: int | None = None, **options) -> DataFrame:
-    """Cells of files (path, content), each scanned by its extension; columns that only one format has are null elsewhere."""
-    files = files.select(F.col("path").alias("doc_id"), "content", F.lower(F.element_at(F.split("path", r"\."), -1)).alias("ext"))
+def path_extension(path: Column) -> Column:
+    """extension() of a column of paths."""
+    name = F.element_at(F.split(path, r"[/\\\\]"), -1)
+    return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
+
+
+@F.pandas_udf(StringType())
+def damage(ext: pd.Series, content: pd.Series) -> pd.Series:
+    """What keeps a binary file from being scanned, or null: no archive, no compound file, no such workbook, a wrong start."""
+
+    def one(kind: str, data: bytes | None) -> str | None:
+        data = bytes(data or b"")
+        if kind in ("xlsx", "ods"):
+            try:
+                names = set(zipfile.ZipFile(io.BytesIO(data)).namelist())
+            except (zipfile.BadZipFile, ValueError):
+                return "Not a zip archive"
+            return None if ("xl/workbook.xml" if kind == "xlsx" else "content.xml") in names else "No workbook in the archive"
+        if kind == "xls":
+            try:
+                return None if binary.stream(data, ("Workbook", "Book")) else "No workbook stream"
+            except (struct.error, IndexError):
+                return "A damaged compound file"
+        if kind == "dbf":
+            return None if len(data) >= 32 else "Too short for a table header"
+        return None if data[:2] == b"\0\0" else "Not a worksheet of this kind"
+
+    return pd.Series([one(k, c) for k, c in zip(ext, content, strict=True)], dtype=object)
+
+
+def scan_files(files: DataFrame, exts: set[str], encoding: str | None = "UTF-8", worksheet_index: int | None = None, **options) -> DataFrame:
+    """Cells of files (path, content), each scanned by its extension; columns that only one format has are null elsewhere.
+
+    encoding None: each text's own, as detected; DIF tries the code pages that its writers used."""
+    files = files.select(F.col("path").alias("doc_id"), "content", path_extension(F.col("path")).alias("ext"))
     out = []
     for ext in sorted(exts):
         some = files.where(F.col("ext") == ext)
         if ext in TEXT:
-            text = F.regexp_replace(F.decode("content", encoding), "^﻿", "")
+            if encoding is None:
+                text = decoded_as("content", dif_encoding_of("content") if ext == "dif" else encoding_of("content"))
+            else:
+                text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
             out.append(scan_text(some.select("doc_id", text.alias("text")), ext, "doc_id", **options))
         else:
-            out.append(BINARY[ext](some, "doc_id", "content"))
+            whole = some.where(damage("ext", "content").isNull())
+            out.append(BINARY[ext](whole, "doc_id", "content"))
     cells = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
     return cells if worksheet_index is None else cells.where(F.col("sheet_idx") == worksheet_index)
 
 
-def read_workbook(spark: SparkSession, path: str, **options) -> DataFrame:
+def file_errors(files: DataFrame) -> DataFrame:
+    """(path, message) of files (path, content) that have no scan or are damaged."""
+    f = files.select("path", "content", path_extension(F.col("path")).alias("ext"))
+    unknown = f.where(~F.col("ext").isin(*TEXT, *BINARY)).select("path", F.concat(F.lit("Unsupported file type: "), "ext").alias("message"))
+    broken = f.where(F.col("ext").isin(*BINARY)).select("path", damage("ext", "content").alias("message")).where("message is not null")
+    return unknown.unionByName(broken)
+
+
+def read_workbook(spark: SparkSession, path: str, onload: Callable[[DataFrame], None] | None = None, onerror: Callable[[Exception], None] | None = None, **options) -> DataFrame | None:
     """Cells of the file at path. Options: delimiter, table_index, first_row_as_header, encoding, worksheet_index.
 
-    ValueError: no path, or an extension without a scan."""
-    if not isinstance(path, str) or not path:
-        raise ValueError("Invalid file")
-    ext = extension(path)
-    if ext not in TEXT and ext not in BINARY:
-        raise ValueError(f"Unsupported file type: {ext}")
-    return scan_files(spark.read.format("binaryFile").load(path), {ext}, **options)
+    onload gets the cells. ValueError, or a call of onerror with it and None: no path, or an extension without a scan."""
+    try:
+        if not isinstance(path, str) or not path:
+            raise ValueError("Invalid file")
+        ext = extension(path)
+        if ext not in TEXT and ext not in BINARY:
+            raise ValueError(f"Unsupported file type: {ext}")
+    except ValueError as e:
+        if onerror is None:
+            raise
+        onerror(e)
+        return None
+    cells = scan_files(spark.read.format("binaryFile").load(path), {ext}, **options)
+    if onload is not None:
+        onload(cells)
+    return cells
 
 
 def read_folder(spark: SparkSession, path: str, exts: set[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(cells, errors) of every file under a folder; errors (path, message) has those without a scan."""
+    """(cells, errors) of every file under a folder; errors (path, message) has those without a scan and those damaged."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    known = TEXT | set(BINARY)
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    errors = files.select("path").where(~ext.isin(*known)).select("path", F.concat(F.lit("Unsupported file type: "), ext).alias("message"))
-    return scan_files(files, exts or known, **options), errors
+    return scan_files(files, exts or TEXT | set(BINARY), **options), file_errors(files)
 
 
 def workbook_json(cells: DataFrame) -> DataFrame:

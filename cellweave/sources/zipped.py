@@ -16,6 +16,7 @@ from cellweave.functions.refs import column_index, range_coords
 from cellweave.functions.text import clean_formula, with_equals
 from cellweave.functions.units import length_px, width_px
 from cellweave.sources.model import by_text, cells
+from cellweave.sources.xmltext import bare_names
 
 # Built-in number formats.
 NUMBER_FORMATS = {
@@ -27,16 +28,20 @@ NUMBER_FORMATS = {
 VALIDATION_TYPES = {"whole": "number", "decimal": "number", "list": "list", "date": "date", "time": "time", "textLength": "textLength", "custom": "formula"}
 OPERATORS = {"between": "between", "notBetween": "not between", "equal": "=", "notEqual": "!=", "greaterThan": ">", "lessThan": "<", "greaterThanOrEqual": ">=", "lessThanOrEqual": "<="}
 BORDERS = {"thin": "1px solid", "medium": "2px solid", "thick": "3px solid", "dotted": "1px dotted", "dashed": "1px dashed", "double": "3px double", "mediumDashed": "2px dashed"}
-#: Local names keep their prefix only where it tells things apart.
-_PREFIX = re.compile(rb"(</?)[A-Za-z_][\w.-]*:")
-_ATTRIBUTE = re.compile(rb"(\s)(?!xmlns)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*=)")
-_DECLARED = re.compile(rb"\sxmlns(:[\w.-]+)?=(\"[^\"]*\"|'[^']*')|<\?xml[^>]*\?>")
 
 
 def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for p in values.items() for x in p))
 
 
+def decoded(data: bytes) -> str:
+    """A part's text by its byte-order mark; without one it is UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if data.startswith(mark):
+            return data[len(mark) :].decode(name, "replace")
+    return data.decode("utf-8", "replace")
+
+
 def parts(docs: DataFrame, pattern: str, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, part, xml): the parts of each archive whose name matches; prefixes of names are dropped.
 
@@ -52,8 +57,7 @@ def parts(docs: DataFrame, pattern: str, key: str = "doc_id", content: str = "co
                     with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
                         for name in z.namelist():
                             if wanted.fullmatch(name):
-                                xml = _ATTRIBUTE.sub(rb"\1\2", _PREFIX.sub(rb"\1", _DECLARED.sub(b"", z.read(name))))
-                                out.append((k, name, xml.decode("utf-8", "replace")))
+                                out.append((k, name, bare_names(decoded(z.read(name)))))
                 except zipfile.BadZipFile:
                     pass
                 yield pd.DataFrame(out, columns=["workbook_id", "part", "xml"])
@@ -97,7 +101,7 @@ def xlsx_strings(docs: DataFrame, key: str = "doc_id", content: str = "content")
 _CELL = f"struct<_r:string,_t:string,_s:int,v:string,f:string,is:struct<t:string,r:{_T}>>"
 _SHEET = f"""sheetData struct<row:array<struct<_r:int,_ht:double,_hidden:string,c:array<{_CELL}>>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>,
 mergeCells struct<mergeCell:array<struct<_ref:string>>>, hyperlinks struct<hyperlink:array<struct<_ref:string,_id:string,_location:string>>>,
-sheetViews struct<sheetView:array<struct<_showGridLines:string,pane:struct<_xSplit:double,_ySplit:double,_state:string>>>>, sheetProtection struct<_sheet:string>, protectedRanges struct<protectedRange:array<struct<_sqref:string,_name:string>>>,
+dimension struct<_ref:string>, sheetViews struct<sheetView:array<struct<_showGridLines:string,_topLeftCell:string,pane:struct<_xSplit:double,_ySplit:double,_state:string>>>>, sheetProtection struct<_sheet:string>, protectedRanges struct<protectedRange:array<struct<_sqref:string,_name:string>>>,
 dataValidations struct<dataValidation:array<struct<_type:string,_operator:string,_sqref:string,_allowBlank:string,_errorStyle:string,_prompt:string,formula1:string,formula2:string>>>,
 conditionalFormatting array<struct<_sqref:string,cfRule:array<struct<_type:string,_operator:string,_text:string,_dxfId:int,_priority:int,formula:array<string>>>>>"""
 
@@ -155,18 +159,14 @@ def xlsx_protected(docs: DataFrame, key: str = "doc_id", content: str = "content
 
 
 def xlsx_validations(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, range, type, action, criteria, value, allow_blank): data validations, and conditional formats as action format."""
+    """(workbook_id, range, type, action, criteria, value, allow_blank): data validations; xlsx_parts has the conditional formats."""
     s = xlsx_sheets(docs, key, content)
     sheet = F.col("sheet_name")
     d = s.select("workbook_id", "sheet_name", F.explode("x.dataValidations.dataValidation").alias("d"))
     listed = F.transform(F.split(F.regexp_replace("d.formula1", '^"|"$', ""), ","), lambda v: F.trim(v))
     values = F.when((F.col("d._type") == "list") & F.col("d.formula1").startswith('"'), listed).otherwise(F.filter(F.array("d.formula1", "d.formula2"), lambda v: v.isNotNull()))
     d = d.select("workbook_id", F.concat(sheet, F.lit("!"), F.col("d._sqref")).alias("range"), F.element_at(literal_map(VALIDATION_TYPES), F.col("d._type")).alias("type"), F.when(F.col("d._errorStyle") == "warning", "warning").otherwise("reject").alias("action"), F.when(F.col("d._type").isin("list", "custom"), None).otherwise(F.element_at(literal_map(OPERATORS), F.coalesce("d._operator", F.lit("between")))).alias("criteria"), values.alias("value"), (F.coalesce("d._allowBlank", F.lit("0")) == "1").alias("allow_blank"))
-    c = s.select("workbook_id", "sheet_name", F.explode("x.conditionalFormatting").alias("f")).select("workbook_id", "sheet_name", "f", F.explode("f.cfRule").alias("r"))
-    criteria = F.when(F.col("r._type") == "cellIs", F.element_at(literal_map(OPERATORS), F.col("r._operator"))).when(F.col("r._type").isin("containsBlanks"), "empty").when(F.col("r._type") == "notContainsBlanks", "notEmpty").otherwise(F.col("r._type"))
-    kind = F.when(F.col("r._text").isNotNull(), "text").when(F.col("r._type") == "cellIs", "number").when(F.col("r._type") == "expression", "formula").otherwise(F.col("r._type"))
-    c = c.select("workbook_id", F.concat(sheet, F.lit("!"), F.col("f._sqref")).alias("range"), kind.alias("type"), F.lit("format").alias("action"), criteria.alias("criteria"), F.when(F.col("r._text").isNotNull(), F.array("r._text")).otherwise(F.col("r.formula")).alias("value"), F.lit(None).cast("boolean").alias("allow_blank"))
-    return d.unionByName(c)
+    return d
 
 
 def xlsx_names(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -176,46 +176,6 @@ def xlsx_names(docs: DataFrame, key: str = "doc_id", content: str = "content") -
     return n.select("workbook_id", F.regexp_replace("n._name", r"^_\d*(xlnm|xleta|xlfn|xll|xlws|xlpm)\.", "").alias("name"), F.col("n._VALUE").alias("refers_to"))
 
 
-def xlsx_comments(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, part, address, text) of comments; the part tells the sheet through its relationships."""
-    p = parsed(parts(docs, r"xl/comments[^/]*\.xml", key, content), "comments", f"commentList struct<comment:array<struct<_ref:string,_authorId:string,text:struct<t:string,r:{_T}>>>>")
-    c = p.select("workbook_id", "part", F.explode("x.commentList.comment").alias("c"))
-    return c.select("workbook_id", "part", F.col("c._ref").alias("address"), text_of("c.text").alias("text"))
-
-
-_SIDE = "struct<_style:string,color:struct<_rgb:string,_theme:int>>"
-_STYLES = f"""numFmts struct<numFmt:array<struct<_numFmtId:int,_formatCode:string>>>, fonts struct<font:array<struct<b:struct<_val:string>,i:struct<_val:string>,u:struct<_val:string>,strike:struct<_val:string>,sz:struct<_val:string>,name:struct<_val:string>,color:struct<_rgb:string,_theme:int>>>>,
-fills struct<fill:array<struct<patternFill:struct<_patternType:string,fgColor:struct<_rgb:string,_theme:int>>>>>, borders struct<border:array<struct<left:{_SIDE},right:{_SIDE},top:{_SIDE},bottom:{_SIDE}>>>,
-cellXfs struct<xf:array<struct<_numFmtId:int,_fontId:int,_fillId:int,_borderId:int,alignment:struct<_horizontal:string,_vertical:string,_wrapText:string>>>>"""
-
-
-def xlsx_styles(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, xf, css, number_format): each style index looked up in fonts, fills and borders; index 0 has no CSS."""
-    p = parsed(parts(docs, r"xl/styles\.xml", key, content), "styleSheet", _STYLES)
-    s = p.select("workbook_id", "x", F.posexplode("x.cellXfs.xf").alias("xf", "s"))
-    font, fill, border = (F.get(F.col(f"x.{a}.{b}"), F.coalesce(F.col(f"s._{b}Id"), F.lit(0))) for a, b in (("fonts", "font"), ("fills", "fill"), ("borders", "border")))
-    custom = F.filter("x.numFmts.numFmt", lambda n: n["_numFmtId"] == F.col("s._numFmtId"))
-
-    def colour(c: Column) -> Column:
-        return F.when(c["_rgb"].startswith("FF"), F.concat(F.lit("#"), F.substring(c["_rgb"], 3, 6)))
-
-    def on(x: Column) -> Column:
-        return x.isNotNull() & (F.coalesce(x["_val"], F.lit("1")) != "0")
-
-    def prop(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value))
-
-    edges = [F.when(border[e]["_style"].isNotNull(), F.concat_ws(" ", F.lit(f"border-{e}:"), F.coalesce(F.element_at(literal_map(BORDERS), border[e]["_style"]), F.lit(BORDERS["thin"])), F.coalesce(colour(border[e]["color"]), F.lit("#000000")))) for e in ("top", "right", "bottom", "left")]
-    texts = [
-        prop("font-family", font["name"]["_val"]), prop("font-size", F.concat(font["sz"]["_val"], F.lit("pt"))), F.when(on(font["b"]), F.lit("font-weight: bold")), F.when(on(font["i"]), F.lit("font-style: italic")),
-        F.when(on(font["u"]), F.lit("text-decoration: underline")).when(on(font["strike"]), F.lit("text-decoration: line-through")), prop("color", colour(font["color"])),
-        F.when(fill["patternFill"]["_patternType"] == "solid", prop("background-color", colour(fill["patternFill"]["fgColor"]))),
-        prop("text-align", F.col("s.alignment._horizontal")), prop("vertical-align", F.regexp_replace("s.alignment._vertical", "^center$", "middle")), *edges,
-    ]
-    css = F.when(F.col("xf") == 0, F.lit("")).otherwise(F.concat_ws("; ", *texts))
-    return s.select("workbook_id", "xf", css.alias("css"), F.coalesce(F.get(custom, F.lit(0))["_formatCode"], F.element_at(literal_map(NUMBER_FORMATS), F.col("s._numFmtId"))).alias("number_format"))
-
-
 # OpenDocument
 
 _ODS_CELL = "struct<`_number-columns-repeated`:int,`_number-columns-spanned`:int,`_number-rows-spanned`:int,`_value-type`:string,_value:double,`_boolean-value`:string,`_date-value`:string,`_time-value`:string,_formula:string,`_style-name`:string,p:array<struct<_VALUE:string,a:struct<_href:string,_VALUE:string>,span:array<struct<_VALUE:string>>>>,annotation:struct<creator:string,date:string,p:array<string>>>"
@@ -274,9 +234,9 @@ def scan_ods(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
 
 
 def ods_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, sheet_idx, col_idx, width_px): repeats laid out, widths by style."""
+    """(workbook_id, sheet_idx, col_idx, width_px): repeats laid out up to the last column that has a style or a cell, widths by style."""
     t = ods_tables(docs, key, content).select("workbook_id", "sheet_idx", F.posexplode("t.table-column").alias("k", "c")).withColumn("times", F.coalesce(F.col("c.`_number-columns-repeated`"), F.lit(1)))
-    t = t.withColumn("from", F.coalesce(F.sum("times").over(W.partitionBy("workbook_id", "sheet_idx").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("name", F.col("c.`_style-name`")).where("name is not null or times <= 100")
+    t = t.withColumn("from", F.coalesce(F.sum("times").over(W.partitionBy("workbook_id", "sheet_idx").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("name", F.col("c.`_style-name`"))
     s = parsed(parts(docs, r"content\.xml", key, content), "document-content", _ODS_STYLES).select("workbook_id", F.explode("x.automatic-styles.style").alias("s"))
     s = s.select("workbook_id", F.col("s._name").alias("name"), F.col("s.table-column-properties.`_column-width`").alias("width")).where("width is not null")
     t = t.join(s, ["workbook_id", "name"], "left")

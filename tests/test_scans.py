@@ -160,3 +160,73 @@ def test_arrivals(spark, tmp_path):
     q = write_cells(arrivals(spark, str(tmp_path / "in"), "*.csv"), {"csv"}, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_delimiter_of_several_characters(spark):
+    assert grid_of(delimited.scan_csv(docs(spark, "a||b\nc"), delimiter="||")) == [["a||b"], ["c"]]
+
+
+def test_names_lose_prefixes_in_tags_only():
+    from cellweave.sources.xmltext import bare_names
+
+    xml = "<x:a xmlns:x='u' x:b=\"c:d=1\" y:b='2'>ratio x:y=3 use xmlns=\"q\" <![CDATA[<q:z>]]><!-- <x:n> --><x:e c='>'/></x:a>"
+    assert bare_names(xml) == "<a b=\"c:d=1\">ratio x:y=3 use xmlns=\"q\" <![CDATA[<q:z>]]><e c='>'/></a>"
+
+
+def test_formula_text_never_fails():
+    import random
+
+    from cellweave.functions.formulas import ptg, r1c1
+
+    rng = random.Random(2)
+    assert r1c1("=RC", None, 1) is None and r1c1("=RC", 0, None) is None
+    for _ in range(3000):
+        assert isinstance(ptg(bytes(rng.randrange(256) for _ in range(rng.randrange(40))), 3, 3), str)
+
+
+def test_detected_encodings():
+    from cellweave.sources.encodings import detect, detect_dif
+
+    assert [detect(x) for x in ("é".encode(), "é".encode("latin1"), b"\xef\xbb\xbfa", b"", None, "abcd".encode("utf-16-be"))] == ["utf-8", "latin1", "utf-8", "utf-8", "utf-8", "utf-16be"]
+    assert detect_dif("20 °C".encode("cp850")) == "cp850" and detect_dif(b"plain") == "utf-8"
+
+
+def test_paths_and_call_backs(spark, tmp_path):
+    from cellweave.sources import reader
+
+    (tmp_path / "a.b").mkdir()
+    (tmp_path / "a.b" / "c").write_text("x")
+    (tmp_path / "a.b" / "t.csv").write_text("1,2\n")
+    cells, errors = reader.read_folder(spark, str(tmp_path), encoding=None)
+    assert [r.message for r in errors.collect()] == ["Unsupported file type: "]
+    assert [r.v_str for r in cells.orderBy("col_idx").collect()] == ["1", "2"]
+    seen = []
+    assert reader.read_workbook(spark, "x.pdf", onerror=lambda e: seen.append(str(e))) is None
+    reader.read_workbook(spark, str(tmp_path / "a.b" / "t.csv"), onload=lambda c: seen.append(c.count()))
+    assert seen == ["Unsupported file type: pdf", 2]
+
+
+def test_command_line(tmp_path, capsys):
+    from cellweave.__main__ import main
+
+    assert main([]) == 1 and main([str(tmp_path / "none.csv")]) == 1
+    assert "Usage" in capsys.readouterr().out
+
+
+def test_compound_file_with_a_small_stream():
+    """A stream under the cut-off lies in the mini stream."""
+    import struct
+
+    from cellweave.sources.binary import stream
+
+    def entry(title, kind, child, start, size):
+        raw = title.encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII36xIII", len(raw) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child, start, size, 0)
+
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH6xIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, 1, 0, 4096, 2, 1, 0xFFFFFFFE, 0)
+    head = head.ljust(76, b"\0") + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    fat = struct.pack("<128I", 0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFE, *[0xFFFFFFFF] * 124)
+    directory = entry("Root Entry", 5, 1, 3, 128) + entry("book", 2, 0xFFFFFFFF, 0, 70) + bytes(256)
+    mini_fat = struct.pack("<128I", 1, 0xFFFFFFFE, *[0xFFFFFFFF] * 126)
+    store = bytes(range(70)).ljust(512, b"\0")
+    assert stream(head + fat + directory + mini_fat + store, ("Workbook", "Book")) == bytes(range(70))
