@@ -1,16 +1,15 @@
 """GIF media columns: lossless storage of bytes as timed frames, LZW decoding, and colour histograms.
 
-The writer stores one byte a pixel. It emits a clear code before the code width can grow, so that its LZW
-streams are fixed-width and numpy can write them; the reader decodes any LZW stream, interlacing, local
-palettes, disposal and transparency. Decoding copies earlier output (an LZW entry is a range of what is already
-written), so all bytes of a stretch between clear codes resolve at once by pointer doubling.
+The writer stores one byte a pixel, as table-coded LZW whose codes grow from 9 to 12 bits. Index 0 (padding) is
+transparent; every second frame is interlaced and brings a palette of its own; disposal changes from frame to
+frame. The reader decodes any LZW stream, interlacing, local palettes, disposal and transparency. Decoding copies
+earlier output (an LZW entry is a range of what is already written), so all bytes of a stretch between clear codes
+resolve at once by pointer doubling.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.shared import cut
+
 #: Pixels of a row, rows of a frame at most, and hundredths of a second that a frame shows.
 WIDTH, ROWS, DELAY = 64, 1024, 10
-CLEAR, LITERALS = 256, 254
+CLEAR, FULL = 256, 4096
 #: Levels of each colour channel in a histogram.
 LEVELS = 4
 
@@ -30,24 +31,41 @@ def grey_palette() -> np.ndarray:
     return np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
 
 
-def lzw_literals(pixels: np.ndarray) -> bytes:
-    """An LZW stream (minimum code size 8) of literal codes of nine bits, with a clear code before each 254."""
-    n = len(pixels)
-    parts = -(-n // LITERALS)
-    codes = np.empty(n + parts + 1, np.uint16)
-    at = np.arange(n)
-    codes[at + at // LITERALS + 1] = pixels
-    codes[np.arange(parts) * (LITERALS + 1)] = CLEAR
-    codes[-1] = CLEAR + 1
-    full = np.zeros(-(-len(codes) // 8) * 8, np.uint16)
-    full[: len(codes)] = codes
-    c = full.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 255)
-    out[:, 8] = c[:, 7] >> 1
-    return out.reshape(-1)[: -(-9 * len(codes) // 8)].tobytes()
+def warm_palette() -> np.ndarray:
+    """The palette of every second frame: from blue to red over equal greens."""
+    x = np.arange(256, dtype=np.uint8)
+    return np.stack([x, np.minimum(x, 255 - x), 255 - x], 1)
+
+
+def lzw_encode(pixels: bytes) -> bytes:
+    """An LZW stream of minimum code size 8; a clear code follows each full table."""
+    codes, table, entry, prefix = [CLEAR], {}, CLEAR + 2, pixels[0]
+    for c in pixels[1:]:
+        k = prefix << 8 | c
+        known = table.get(k)
+        if known is not None:
+            prefix = known
+            continue
+        codes.append(prefix)
+        if entry < FULL:
+            table[k] = entry
+            entry += 1
+        else:
+            codes.append(CLEAR)
+            table, entry = {}, CLEAR + 2
+        prefix = c
+    codes += [prefix, CLEAR + 1]
+    x = np.array(codes)
+    after = np.flatnonzero(x == CLEAR)
+    number = np.arange(len(x)) - 1  # of a code after its clear code
+    number[1:] -= after[np.searchsorted(after, np.arange(1, len(x)), "left") - 1]
+    width = np.minimum(np.frexp(np.maximum(257 + number, 257))[1], 12)
+    at = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), np.uint8)
+    for k in range(12):
+        live = width > k
+        bits[at[live] + k] = (x[live] >> k) & 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -58,16 +76,25 @@ def sub_blocks(data: bytes) -> bytes:
     return out + (bytes([len(data) - n]) + data[n:] if len(data) > n else b"") + b"\0"
 
 
+def interlaced(h: int) -> np.ndarray:
+    """The order in which an interlaced image of h rows is stored."""
+    return np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
+
+
 def encode_gif(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY) -> bytes:
     """A GIF whose frames hold payload, a byte a pixel; its length must be a positive multiple of width."""
-    pixels = np.frombuffer(payload, np.uint8)
-    height = min(rows, len(pixels) // width)
+    pixels = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    height = min(rows, len(pixels))
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), grey_palette().tobytes()]
-    for k in range(0, len(pixels), width * height):
-        part = pixels[k : k + width * height]
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 4, delay, 0, 0))
-        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part) // width, 0))
-        out.append(b"\x08" + sub_blocks(lzw_literals(part)))
+    for k in range(0, len(pixels), height):
+        part, odd = pixels[k : k + height], k // height % 2
+        disposal = 1 + k // height % 3
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | 1, delay, 0, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part), 0xC7 if odd else 0))
+        if odd:
+            out.append(warm_palette().tobytes())
+            part = part[interlaced(len(part))]
+        out.append(b"\x08" + sub_blocks(lzw_encode(part.tobytes())))
     return b"".join(out) + b"\x3b"
 
 
@@ -76,37 +103,12 @@ def bit_codes(bits: np.ndarray, start: int, count: int, width: int) -> np.ndarra
     return bits[start : start + count * width].reshape(count, width) @ (1 << np.arange(width))
 
 
-def nine_bit_codes(data: bytes) -> np.ndarray:
-    """All whole codes of nine bits; eight of them are nine bytes."""
-    n = len(data) * 8 // 9
-    b = np.zeros(-(-len(data) // 9) * 9, np.uint16)
-    b[: len(data)] = np.frombuffer(data, np.uint8)
-    b = b.reshape(-1, 9)
-    out = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        out[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    return out.reshape(-1)[:n]
-
-
 def lzw_decode(data: bytes, least: int, size: int) -> np.ndarray:
     """The first size bytes that an LZW stream of minimum code size least stands for; a short stream gives fewer.
 
     Between clear codes the width of each code depends on its number only; so a stretch is read at once."""
     clear, out, have, at = 1 << least, [], 0, 0
-    if least == 8:  # stretches that end before the width grows, all at once
-        codes = nine_bit_codes(data)
-        stops = np.flatnonzero(codes >= clear)
-        if len(stops) and codes[stops[0]] == clear and stops[0] == 0:
-            gaps = np.diff(stops)
-            odd = np.flatnonzero((gaps > LITERALS + 1) | (codes[stops[:-1]] != clear))
-            n = int(odd[0]) if len(odd) else len(gaps)
-            n -= codes[stops[n]] > clear + 1  # a stretch with table codes is read below, from its clear code on
-            if n > 0:
-                part = codes[: stops[n]]
-                part = part[part < clear][:size]
-                out.append(part.astype(np.uint8))
-                have, at = len(part), int(stops[n]) * 9
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little") if have < size else None
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
     while have < size:
         codes, end = [], None
         low, width = clear + 2, least + 1
@@ -225,8 +227,7 @@ def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
                     raise ValueError("an image has too few pixels")
                 pixels = pixels.reshape(h, w)
                 if packed & 0x40:
-                    rows = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
-                    pixels = pixels[np.argsort(rows)]
+                    pixels = pixels[np.argsort(interlaced(h))]
                 frames.append(Frame(left, top, pixels, own, *control))
                 control = (0, 0, None)
             else:
@@ -262,17 +263,10 @@ def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
 def frame_histograms(width: int, height: int, frames: list[Frame]) -> list[np.ndarray]:
     """Counts of each frame's visible colours, in LEVELS levels a channel; clear pixels don't count."""
     step = 256 // LEVELS
-    if all(f.clear is None and f.disposal < 2 and f.indices.shape == (height, width) and not f.left and not f.top for f in frames):
-        out = []  # each frame hides all before it: its palette indices say enough
-        for f in frames:
-            cell = (f.palette // step).astype(np.int64) @ [LEVELS * LEVELS, LEVELS, 1]
-            hits = np.bincount(f.indices.reshape(-1), minlength=256)[: len(cell)]
-            out.append(np.bincount(cell, weights=hits, minlength=LEVELS**3).astype(np.int64))
-        return out
     out = []
     for shown in composed(width, height, frames):
         seen = shown[shown[..., 3] > 0][:, :3] // step
-        out.append(np.bincount(seen.astype(np.int64) @ [LEVELS * LEVELS, LEVELS, 1], minlength=LEVELS**3))
+        out.append(np.bincount(seen[:, 0].astype(np.int64) * (LEVELS * LEVELS) + seen[:, 1] * LEVELS + seen[:, 2], minlength=LEVELS**3))
     return out
 
 
@@ -332,28 +326,18 @@ def store_gif(df: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFra
 
 
 def gif_digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Store, read back and describe in one pass: no media crosses between processes.
+    """Digests of what store_gif writes to the shared folder and gif_columns reads back from there.
 
     Per row: key, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of the pixels read back, media_bytes,
-    media_sha256, n_frames, duration_cs and feature (frames, then the colour cells that hold most pixels)."""
-    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_cs", "feature"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for data in b.column(1):
-                data = data.as_py() or b""
-                media = encode_gif(data + bytes(-len(data) % WIDTH or (0 if data else WIDTH)))
-                w, h, frames = read_gif(media)
-                back = b"".join(f.indices.tobytes() for f in frames)
-                total = np.sum(frame_histograms(w, h, frames), axis=0)
-                top = sorted(np.flatnonzero(total).tolist(), key=lambda c: (-total[c], c))[:4]
-                feature = f"{len(frames)}x{w}x{h};" + ",".join(f"{c}:{total[c]}" for c in top)
-                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(frames), sum(f.delay for f in frames), feature))
-            cols = list(zip(*rows, strict=True)) or [[]] * 9
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
-
-    kind = df.schema[key].dataType.simpleString()
-    out = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, duration_cs long, feature string"
-    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("data")).mapInArrow(run, f"key {kind}, {out}").withColumnRenamed("key", key)
+    media_sha256, feature (frames, screen and pixels by colour cell over all frames as shown), frames, error."""
+    stored = cut(store_gif(df, key, text), "media")
+    of = F.struct(F.col(key).alias("id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    back = gif_columns(stored.select(of.alias("of"), "media"), "of", "media")
+    total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), LEVELS**3), lambda acc, f: F.zip_with(acc, f["histogram"], lambda x, y: x + y))
+    cells = F.filter(F.transform(total, lambda n, i: F.when(n > 0, F.concat_ws(":", i, n))), lambda x: x.isNotNull())
+    first = F.get("frames", F.lit(0))
+    feature = F.concat(F.concat_ws("x", F.size("frames"), first["width"], first["height"]), F.lit(";"), F.array_join(cells, ","))
+    return back.select(
+        F.col("of.id").alias(key), "of.n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), "of.media_bytes", "of.media_sha256", feature.alias("feature"), "frames", "error",
+    )
