@@ -1,9 +1,10 @@
 """Language of each word by a linear-chain conditional random field, for text that switches languages.
 
-A line is a chain of words. A word's score for a label sums the weights of its features (prefixes, suffixes,
+A line is a chain of words; a longer one than CHAIN words is several chains. A word's score for a label sums the weights of its features (prefixes, suffixes,
 byte n-grams, and itself if the lexicon has it), hashed into a fixed table; transitions between labels are
-learned too. Forward-backward gives each word's label probabilities, and a document's language is the label of
-the largest expected number of words.
+learned too: a fit strings MIXED pieces of up to PIECE words, of neighbouring documents, into one chain, so that
+languages switch within it. Forward-backward gives each word's label probabilities (label_words), and a document's
+language is the label of the largest expected number of words.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.llm import kernels as K
 from cellweave.llm.shared import utf8
 
-#: Documents that a fit may use at most, whole: a documented bound on what reaches the driver.
-SAMPLE = 1_500
+#: Documents, and bytes of them, that a fit may use at most, whole: a documented bound on what reaches the driver.
+SAMPLE, SAMPLE_BYTES = 1_500, 48 << 20
+#: Words of a chain at most; pieces of a training chain and their words.
+CHAIN, MIXED, PIECE = 256, 3, 12
 #: Rows of the feature table, words of the lexicon a language, rounds of the fit and its step.
 TABLE, LEXICON, ROUNDS, STEP = 1 << 16, 1_000, 12, 0.3
 UNDETERMINED = "und"
@@ -40,7 +44,7 @@ class Lines:
     """The words of a block of texts: distinct words with their features, and chains of equal steps."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lexicon: np.ndarray | None) -> None:
-        start, end, self.row = K.spans(buf, off)
+        start, end, self.row = self.start, self.end, _ = K.spans(buf, off)
         h = K.word_hashes(buf, start, end) if len(start) else np.zeros(0, np.uint64)
         self.hash, first, self.word = np.unique(h, return_index=True, return_inverse=True)
         self.features, self.owner = word_features(buf, start[first], end[first], self.hash, lexicon)
@@ -49,7 +53,27 @@ class Lines:
         turn = np.ones(len(start), bool)
         turn[1:] = (chain[1:] != chain[:-1]) | (self.row[1:] != self.row[:-1])
         self.begin = np.flatnonzero(turn)
-        self.size = np.diff(np.append(self.begin, len(start)))
+        at = np.arange(len(start)) - (np.repeat(self.begin, np.diff(np.append(self.begin, len(start)))) if len(start) else 0)
+        self.chains(np.flatnonzero(at % CHAIN == 0))
+
+    def chains(self, begin: np.ndarray) -> None:
+        """Chains begin at these words."""
+        self.begin, self.size = begin, np.diff(np.append(begin, len(self.word)))
+
+    def mixed(self) -> np.ndarray:
+        """Words in an order that strings MIXED pieces of different documents together; chains begin accordingly."""
+        n = len(self.word)
+        at = np.arange(n) - np.repeat(self.begin, self.size) if n else np.zeros(0, np.int64)
+        piece = np.cumsum(at % PIECE == 0) - 1
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        docs = self.row[first]
+        nth = np.arange(len(first)) - np.searchsorted(docs, docs, "left")
+        turn = np.lexsort((docs, nth))  # the first pieces of all documents, then the second ones
+        size = np.diff(np.append(first, n))[turn]
+        order = np.repeat(first[turn] - (np.cumsum(size) - size), size) + np.arange(n) if n else at
+        self.word, self.row = self.word[order], self.row[order]
+        self.chains((np.cumsum(size) - size)[::MIXED])
+        return order
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Each distinct word's score for each label."""
@@ -120,6 +144,8 @@ def fit_field(texts: list[bytes], langs: list[str]) -> Field:
     """A field from whole texts whose words all bear the text's language; weights start at log odds of features."""
     labels = sorted(set(langs))
     k = len(labels)
+    if not k:
+        return Field([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)), np.zeros(0, np.uint64))
     column = pa.array(texts, pa.large_binary())
     buf, off = K.flat(column)
     lines = Lines(buf, off, None)
@@ -128,6 +154,7 @@ def fit_field(texts: list[bytes], langs: list[str]) -> Field:
     np.add.at(count, (lines.word, y), 1)
     lexicon = np.unique(np.concatenate([lines.hash[np.argsort(-count[:, j], kind="stable")[:LEXICON]] for j in range(k)] or [lines.hash[:0]]))
     lines = Lines(buf, off, lexicon)
+    y = y[lines.mixed()]
     seen = np.zeros((TABLE, k))
     np.add.at(seen, lines.features, count[lines.owner])
     weights = np.log((seen + 0.1) / (seen.sum(0) + 0.1 * TABLE))
@@ -140,7 +167,7 @@ def fit_field(texts: list[bytes], langs: list[str]) -> Field:
     inner = np.ones(len(lines.word), bool)
     inner[lines.begin] = False
     held = np.zeros((k, k))
-    np.add.at(held, (y[inner], y[inner]), 1)
+    np.add.at(held, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
     for _ in range(ROUNDS if k > 1 else 0):
         p, pairs = lines.marginals(lines.scores(weights), moves)
         expected = np.stack([np.bincount(lines.word, p[:, j], len(lines.hash)) for j in range(k)], 1)
@@ -156,16 +183,58 @@ def fit_field(texts: list[bytes], langs: list[str]) -> Field:
     return Field(labels, weights.astype(np.float32), moves, lexicon)
 
 
-def fit_language(docs: DataFrame, train: Column | None = None, most: int = SAMPLE) -> Field:
-    """A field of at most `most` documents (doc_id, text, lang) of non-null text and lang: those of the smallest hash of doc_id."""
+def fit_language(docs: DataFrame, train: Column | None = None, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field:
+    """A field of at most `most` documents (doc_id, text, lang) of non-null text and lang, and of at most most_bytes of them.
+
+    Each lang has an equal part, filled by the smallest hashes of doc_id; a document that would go beyond the bytes
+    of its lang's part is passed over. Rows that repeat count as often as they are there."""
     usable = docs.where("text is not null and lang is not null")
     if train is not None:
         usable = usable.where(train)
-    chosen = usable.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most)
-    got = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", utf8("text").alias("text")).orderBy("doc_id", "lang", "text").toArrow()
+    usable = usable.select("doc_id", "lang", utf8("text").alias("text"), F.xxhash64("doc_id").alias("_order"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not counts:
+        return fit_field([], [])
+    each = max(1, most // len(counts))
+    # orders are evenly spread, so some twice as many as wanted, of each language, are below this
+    edge = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, -(2.0**63) + 2.0**64 * min(1.0, (2.0 * each + 50) / n)))), F.col("lang"))
+    few = usable.where(F.col("_order") <= edge).select("lang", "doc_id", "_order", F.octet_length("text").alias("size"), F.xxhash64("text").alias("_same"))
+    over = W.partitionBy("lang").orderBy("_order", "doc_id", "size", "_same")
+    few = few.withColumn("nth", F.row_number().over(over)).where(F.col("nth") <= each)
+    chosen = few.withColumn("sum", F.sum("size").over(over.rowsBetween(W.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes // len(counts)).select("doc_id", "lang").distinct()
+    got = usable.where(F.col("_order") <= edge).join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").limit(most).toArrow()
     return fit_field(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
+def label_words(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, nth, start, end, word, lang, p): each word of each whole text with its likeliest label and its probability.
+
+    start and end are UTF-8 byte offsets. Words are parted by space and tab to carriage return. Null and empty texts
+    have no words; ties go to the first label; null keys pass; rows repeat as they are. A field without labels gives no rows."""
+    model = docs.sparkSession.sparkContext.broadcast(field)
+    names = ["key", "nth", "start", "end", "word", "lang", "p"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = model.value
+        for b in batches:
+            buf, off = K.flat(b.column(1))
+            for i, j in K.blocks(off):
+                o, part = off[i : j + 1] - off[i], buf[off[i] : off[j]]
+                lines = Lines(part, o, f.lexicon)
+                if not f.labels or not len(lines.word):
+                    continue
+                p, _ = lines.marginals(lines.scores(f.weights), f.moves)
+                best = p.argmax(1)
+                nth = np.arange(len(best)) - np.searchsorted(lines.row, lines.row, "left")
+                words = [part[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(lines.start.tolist(), lines.end.tolist(), strict=True)]
+                cols = [nth, lines.start - o[lines.row], lines.end - o[lines.row], words, [f.labels[c] for c in best.tolist()], p.max(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(lines.row)), *map(pa.array, cols)], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    out = docs.select(F.col(key).alias("key"), utf8(text).alias("text")).mapInArrow(run, f"key {kind}, nth long, start long, end long, word string, lang string, p double")
+    return out.withColumnRenamed("key", key)
+
+
 def predict_language(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, words) of each whole text; words: expected number of words of each label, as a map.
 
