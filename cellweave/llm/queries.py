@@ -50,7 +50,7 @@ def op6_language_id_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = section_tokens(table(spark, sf_dir, "documents"))
-    return counts.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ","))
+    return counts.withColumn("section_tokens", F.array_join(F.col("section_tokens").cast("array<string>"), ",")).drop("field_tokens")
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
