@@ -4,7 +4,9 @@ The battery looks at long tokens that no pattern covers. It infers a token's enc
 numbers, and tests them against uniform independent draws: chi-squared of the alphabet's counts, runs above and
 below the middle, and serial correlation. Text is not random, keys are. The combined p-values go through
 Benjamini-Hochberg control within each band of lengths, over the whole corpus: tokens that it calls non-random
-are text, the others are secrets. Short tokens, where the tests have no power, are not looked at.
+are text, the others are secrets. So what RATE bounds is the share of random tokens among those called text, that
+is, of secrets missed; text of short length that passes all three tests, such as long CamelCase names, is called
+a secret at no set rate. Tokens of fewer than LEAST characters, where the tests have no power, are not looked at.
 """
 
 from __future__ import annotations
@@ -186,4 +188,5 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
 
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return docs.withColumn("_s", F.size(spans)).withColumn(text, F.when((F.col("_s") > 0) & t.isNotNull(), clean).otherwise(t)).drop("_s")
+    n = next(name for i in range(len(docs.columns) + 1) if (name := f"_spans{i}") not in docs.columns)
+    return docs.withColumn(n, F.size(spans)).withColumn(text, F.when((F.col(n) > 0) & t.isNotNull(), clean).otherwise(t)).drop(n)
