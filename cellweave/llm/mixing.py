@@ -4,7 +4,9 @@ Each source takes its target in words: whole epochs of all its documents first,
 For that, a document of weight w gets the key -ln(u) / w with u in (0, 1) from a hash of its id, and documents
 are taken by rising key until the budget is met; the last one in part. Sources may be large: keys are cut into
 buckets of a few rows each, sums of buckets place every bucket in its source, and only then are rows ordered
-within their bucket.
+within their bucket. Buckets follow the law of the keys themselves: a source's keys are a mixture of exponentials,
+one for each power of two that its weights fall under, whose shares are counted first. The mean target of all
+sources is set by windows over one row a source.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 #: Rows that a bucket of a source stands for.
 BUCKET = 20_000
+#: Cells of a source besides those.
+CELLS = 16
 SEED = "mix-1"
 #: Quality weights of a document: label 1, label 0, no label.
 QUALITY = (1.0, 0.25, 0.5)
@@ -77,10 +81,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, key: str = "doc_id",
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     goal = goal.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source")
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    power = F.floor(F.log2("weight")).cast("int").alias("power")
+    law = rows.groupBy("name", "none", power).agg(F.count("*").alias("n")).groupBy("name", "none").agg(F.sort_array(F.collect_list(F.struct("power", "n"))).alias("law"))
+    goal = goal.join(law, ["name", "none"])
     # one row a source: their number is that of distinct names; Spark broadcasts it if it is small
     rows = rows.join(goal, ["name", "none"])
-    # keys of a common exponential law fall evenly into these buckets; their order is that of the keys
-    rows = rows.withColumn("cell", F.floor((1 - F.exp(-F.col("rank") * F.lit(QUALITY[2]))) * (F.floor(F.col("n_rows") / BUCKET) + 16)).cast("long"))
+    # the share of a source's keys below one, by the counted weights: it rises with the key, so cells keep their order
+    below = F.aggregate("law", F.lit(0.0), lambda acc, x: acc + x["n"] * (1 - F.exp(-F.col("rank") * F.pow(F.lit(2.0), x["power"] + 0.5))))
+    rows = rows.withColumn("cell", F.floor(below / F.col("n_rows") * (F.floor(F.col("n_rows") / BUCKET) + CELLS)).cast("long"))
     cells = rows.groupBy("name", "none", "cell").agg(F.sum("size").alias("cell_size"))
     ahead = W.partitionBy("name", "none").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("name", "none", "cell", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("ahead"))
