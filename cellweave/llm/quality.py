@@ -222,15 +222,11 @@ def quality_scores(docs: DataFrame, forest: Forest, text: str = "text") -> DataF
     equal scores. An empty table gives no rows; other columns, nulls and repeated rows pass as they are."""
     docs = docs.drop("score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast(forest)  # TREES trees of at most DEPTH levels: a fixed bound
-    names = docs.columns
-    at = names.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = K.flat(b.column(at))
-            parts = [model.value.score(statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in K.blocks(off)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], [*names, "score", "predicted"])
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        buf, off = K.flat(column)
+        parts = [model.value.score(statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in K.blocks(off)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.withColumn("score", scored(utf8(text))).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
