@@ -9,13 +9,15 @@ so equal windows have equal anchors. Consecutive windows of one anchor form a ru
    It also learns which are hot, that is, of more than HOT distinct runs, summed over chunks.
 2. windows: runs of shared anchors go to the anchor's bucket with the smallest doc_id of their chunk. Equal
    runs fall together; where different runs share an anchor, their windows' suffixes are ordered by
-   deep-shallow sorting, and each window gets the smallest doc_id that holds it. Runs of hot anchors are cut
+   deep-shallow sorting, and each window gets the smallest doc_id that holds it. (Equal runs are settled by hash
+   tables, so the sort sees only anchors of several distinct runs.) Runs of hot anchors are cut
    into single windows, which go to the bucket of the window's own hash: equal windows still meet.
 3. cover: each chunk learns which windows of its runs start in an earlier document and removes their bytes.
 
 What one chunk sends to a bucket is distinct, so a window held by a third of all documents costs one record
 a chunk. Around such a passage the run strings differ by document while the anchor inside it is the same; cut
-into windows, these runs spread over all buckets, and no bucket gets over HOT runs of one anchor. Texts are shuffled once: the three steps name the same exchange, which Spark reuses.
+into windows, these runs spread over all buckets, and no bucket gets over HOT runs of one anchor. Texts are shuffled
+once: the three steps name the same exchange, which Spark reuses.
 """
 
 from __future__ import annotations

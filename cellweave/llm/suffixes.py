@@ -65,8 +65,9 @@ class BlindTrie:
 def deep_shallow_sort(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at starts by their first length bytes, and where each run of equal ones begins.
 
-    Every start needs length bytes in buf. Each pass of the quicksort parts all open segments by the next
-    character at once; the segments that still tie after SHALLOW bytes, if not of equal strings, go to tries.
+    Every start needs length bytes in buf. A character is eight bytes. Each pass of the multikey quicksort parts all
+    open segments at once, each by a pivot of its own into less, equal and greater; only the equal part goes on to the
+    next character. The segments that still tie after SHALLOW bytes, if not of equal strings, go to tries.
     """
     order, n = np.arange(len(starts)), len(starts)
     head = np.zeros(n, bool)
@@ -82,13 +83,23 @@ def deep_shallow_sort(buf: np.ndarray, starts: np.ndarray, length: int) -> tuple
         at = np.flatnonzero(size[segment] > 1)
         return at, segment[at]
 
-    for depth in range(0, min(SHALLOW, length - length % 8), 8):
-        at, segment = tied()
-        key = chars[starts[order[at]] + depth]
-        by = np.lexsort((key, segment))
-        order[at], key, segment = order[at][by], key[by], segment[by]
-        head[at[1:]] |= (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])
     done = min(SHALLOW, length - length % 8)
+    depth = np.zeros(n, np.int64)
+    while True:
+        at, segment = tied()
+        live = depth[at] < done
+        at, segment = at[live], segment[live]
+        if not len(at):
+            break
+        first, last = runs(segment)
+        middle = at[(first + last) // 2]
+        pivot = np.repeat(chars[starts[order[middle]] + depth[middle]], last - first)
+        key = chars[starts[order[at]] + depth[at]]
+        side = (key > pivot).astype(np.int8) - (key < pivot)
+        by = np.lexsort((side, segment))
+        order[at], side = order[at][by], side[by]
+        depth[at[side == 0]] += 8  # those that tie with their pivot go on to the next character
+        head[at[1:]] |= (side[1:] != side[:-1]) & (segment[1:] == segment[:-1])
     at, segment = tied()
     if not len(at):
         return order, head
