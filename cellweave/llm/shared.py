@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
+    """A fresh path under spark.checkpoint.dir. Unset, it is a temporary folder in local mode (tests) and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = os.path.join(tempfile.gettempdir(), "cellweave-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
