@@ -1,9 +1,11 @@
-"""Line- and record-oriented text: delimited values, DIF and SYLK, as joins and windows over exploded text."""
+"""Line- and record-oriented text: delimited values in one pass, DIF and SYLK as joins and windows over exploded text."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from cellweave.functions.units import number_prefix, width_px
 from cellweave.operators.relational import styled
 from cellweave.sources.model import by_text, cells
 
+#: Cells that a task hands on at a time.
+ROWS = 20_000
+
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(workbook_id, pos, line) of each line."""
@@ -32,23 +37,46 @@ def scan_csv(docs: DataFrame, key: str = "doc_id", text: str = "text", delimiter
     if len(delimiter) != 1:
         delimiter = "\uffff"  # no character of any text
     d = re.escape(delimiter)
-    cell = rf'"[^"]*+(?:""[^"]*+)*+(?:"[^{d}\n]*[{d}\n]|\z)|[^{d}\n]*[{d}\n]'
-    body = F.translate(F.col(text), "\r", "")
-    whole = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
-    docs = docs.select(F.col(key).alias("workbook_id"), body.endswith("\n").alias("closed"), F.regexp_extract_all(whole, F.lit(cell), F.lit(0)).alias("t"))
-    t = docs.select("workbook_id", "closed", F.size("t").alias("n"), F.posexplode("t").alias("pos", "raw"))
-    end = F.col("raw").endswith("\n")
-    over = W.partitionBy("workbook_id").orderBy("pos")
-    t = t.withColumn("row_idx", F.coalesce(F.sum(end.cast("int")).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("col_idx", F.row_number().over(W.partitionBy("workbook_id", "row_idx").orderBy("pos")) - 1)
-    bare = F.regexp_replace("raw", rf"[{d}\n]\z", "")
-    quoted = F.regexp_extract(bare, r'^"((?:[^"]|"")*+)"?', 1)
-    tail = F.substring(bare, F.length(quoted) + 3, F.length(bare))
-    value = F.when(bare.startswith('"'), F.concat(F.replace(quoted, F.lit('""'), F.lit('"')), tail)).otherwise(bare)
-    t = t.withColumn("v", value)
-    pair = (F.length("v") >= 2) & F.col("v").startswith('"') & F.col("v").endswith('"') & (F.col("closed") | (F.col("pos") < F.col("n") - 1))
-    t = t.withColumn("v", F.when(pair, F.substring("v", 2, F.length("v") - 2)).otherwise(F.col("v"))).withColumn("sheet_idx", F.lit(0))
-    return cells(t, kind=by_text(F.col("v")), text=F.col("v"))
+    cell = re.compile(rf'"[^"]*+(?:""[^"]*+)*+(?:"[^{d}\n]*[{d}\n]|\Z)|[^{d}\n]*[{d}\n]')
+    quoted = re.compile(r'"((?:[^"]|"")*+)')
+    names = ["workbook_id", "row_idx", "col_idx", "v"]
+
+    def values(body: str) -> Iterator[tuple[int, int, str]]:
+        closed, row, col, at = body.endswith("\n"), 0, 0, 0
+        whole = body if closed else body + "\n"
+        for m in cell.finditer(whole):
+            raw, at = m[0], m.end()
+            v = raw[:-1] if raw[-1:] in (delimiter, "\n") else raw
+            if v.startswith('"'):
+                inner = quoted.match(v)[1]
+                v = inner.replace('""', '"') + v[len(inner) + 2 :]
+            if len(v) >= 2 and v[0] == v[-1] == '"' and (closed or at < len(whole)):
+                v = v[1:-1]
+            yield row, col, v
+            row, col = (row + 1, 0) if raw.endswith("\n") else (row, col + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows = [], []
+            for i, text in enumerate(b.column(1)):
+                if text.as_py() is None:
+                    continue
+                for one in values(text.as_py().replace("\r", "")):
+                    rows.append(one)
+                    keys.append(i)
+                    if len(rows) == ROWS:
+                        yield batch(b, keys, rows)
+                        keys, rows = [], []
+            if rows:
+                yield batch(b, keys, rows)
+
+    def batch(b: pa.RecordBatch, keys: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), *cols], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    t = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"workbook_id {kind}, row_idx int, col_idx int, v string")
+    return cells(t.withColumn("sheet_idx", F.lit(0)), kind=by_text(F.col("v")), text=F.col("v"))
 
 
 def scan_dif(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

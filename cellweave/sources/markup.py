@@ -17,7 +17,7 @@ from cellweave.operators.relational import style_dictionary
 from cellweave.sources.model import by_text, cells
 from cellweave.sources.xmltext import bare_xml
 
-_TAGS = "table_idx int, section int, part int, tr int, is_td int, pos int, value string, formula string, colspan int, rowspan int, css string, comment string"
+_TAGS = "table_idx int, row_idx int, col_idx int, value string, formula string, colspan int, rowspan int, css string, comment string, head_value string, head_formula string"
 
 
 class _Tables(HTMLParser):
@@ -66,10 +66,26 @@ class _Tables(HTMLParser):
                 t["cell"][6] += data
 
 
+def _placed(cells: list[list]) -> Iterator[tuple[list, int, int]]:
+    """Each cell of a table with its row and column: past slots that spans of earlier cells take; a row's th stand before its td."""
+    at = {key: i for i, key in enumerate(sorted({(c[1], c[3]) for c in cells}))}
+    taken, row, col = set(), -1, 0
+    for c in sorted(cells, key=lambda c: (c[1], c[3], c[4], c[5])):
+        if at[c[1], c[3]] != row:
+            row, col = at[c[1], c[3]], 0
+        while (row, col) in taken:
+            col += 1
+        # slots of later rows only; no table is wider than 1,000 slots a span
+        taken.update((row + i, col + j) for i in range(1, min(c[9], len(at) - row)) for j in range(min(c[8], 1000)))
+        yield c, row, col
+        col += c[8]
+
+
 def html_cells(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """(workbook_id, table_idx, row_idx, ...) of every cell as marked up; a row's th stand before its td.
+    """(workbook_id, table_idx, row_idx, col_idx, ...) of every cell in its place, with the value and formula of the first row's cell there.
 
-    Rows of the head come first, then those of the first body, then those of the foot; other bodies are left out."""
+    Rows of the head come first, then those of the first body, then those of the foot; other bodies are left out.
+    A document is read and laid out in one pass, without a shuffle."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,28 +94,17 @@ def html_cells(docs: DataFrame, key: str = "doc_id", html: str = "html") -> Data
             for k, text in zip(b["k"], b["h"], strict=True):
                 reader = _Tables()
                 reader.feed(text or "")
-                rows += [(k, *c) for c in reader.out]
+                tables: dict[int, list] = {}
+                for c in reader.out:
+                    if c[2] == 0:
+                        tables.setdefault(c[0], []).append(c)
+                for cells in tables.values():
+                    placed = list(_placed(cells))
+                    head = {col: (c[6], c[7]) for c, row, col in placed if row == 0}
+                    rows += [(k, c[0], row, col, *c[6:], *head.get(col, (None, None))) for c, row, col in placed]
             yield pd.DataFrame(rows, columns=["workbook_id", *(c.split()[0] for c in _TAGS.split(", "))])
 
-    raw = docs.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"workbook_id {kind}, {_TAGS}").where("part = 0")
-    over = W.partitionBy("workbook_id", "table_idx").orderBy("section", "tr")
-    return raw.withColumn("row_idx", F.dense_rank().over(over) - 1).drop("part")
-
-
-def _placed(b: pd.DataFrame) -> pd.DataFrame:
-    """Columns of one table's cells, in order, past slots that spans of earlier cells occupy."""
-    taken, cols = set(), []
-    b = b.sort_values(["row_idx", "is_td", "pos"])
-    row, col = -1, 0
-    for r, cs, rs in zip(b["row_idx"], b["colspan"], b["rowspan"], strict=True):
-        if r != row:
-            row, col = r, 0
-        while (r, col) in taken:
-            col += 1
-        cols.append(col)
-        taken.update((r + i, col + j) for i in range(rs) for j in range(cs))
-        col += cs
-    return b.assign(col_idx=pd.Series(cols, index=b.index, dtype="int32"))
+    return docs.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"workbook_id {kind}, {_TAGS}")
 
 
 def scan_html(docs: DataFrame, key: str = "doc_id", html: str = "html", table_index: int | None = 0, first_row_as_header: bool = True) -> DataFrame:
@@ -107,16 +112,18 @@ def scan_html(docs: DataFrame, key: str = "doc_id", html: str = "html", table_in
 
     Columns beside the cell model: title (of the column, from the first row), colspan, rowspan, css, comment.
     With a header, its row is left out and the others move up. A document without that table has no rows."""
-    raw = html_cells(docs, key, html)
+    t = html_cells(docs, key, html)
     if table_index is not None:
-        raw = raw.where(F.col("table_idx") == table_index)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema) + ", col_idx int"
-    t = raw.groupBy("workbook_id", "table_idx").applyInPandas(_placed, schema).withColumn("sheet_idx", F.col("table_idx") if table_index is None else F.lit(0))
-    value, f = F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), with_equals(F.col("formula"))
-    t = t.withColumn("v", value).withColumn("f", f)
-    head = t.where("row_idx = 0").select("workbook_id", "sheet_idx", "col_idx", F.nullif(F.coalesce("f", "v"), F.lit("")).alias("title"))
+        t = t.where(F.col("table_idx") == table_index)
+    t = t.withColumn("sheet_idx", F.col("table_idx") if table_index is None else F.lit(0))
+
+    def bare(value: str) -> Column:
+        return F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))
+
+    t = t.withColumn("v", bare("value")).withColumn("f", with_equals(F.col("formula")))
+    title = F.nullif(F.coalesce(with_equals(F.col("head_formula")), bare("head_value")), F.lit(""))
     if first_row_as_header:
-        t = t.where("row_idx > 0").withColumn("row_idx", F.col("row_idx") - 1).join(head, ["workbook_id", "sheet_idx", "col_idx"], "left")
+        t = t.where("row_idx > 0").withColumn("row_idx", F.col("row_idx") - 1).withColumn("title", title)
     else:
         t = t.withColumn("title", F.lit(None).cast("string"))
     kind = F.when(F.col("f").isNotNull(), "formula").otherwise(by_text(F.col("v")))

@@ -1,4 +1,4 @@
-"""Zipped XML workbooks: Excel 2007+ and OpenDocument. Parts are unzipped in tasks and parsed by from_xml."""
+"""Zipped XML workbooks: Excel 2007+ and OpenDocument. Parts are unzipped in tasks and parsed by from_xml; cells of Excel sheets row by row."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.functions.refs import column_index, range_coords
+from cellweave.functions.refs import range_coords
 from cellweave.functions.text import clean_formula, with_equals
 from cellweave.functions.units import length_px, width_px
 from cellweave.sources.model import by_text, cells
@@ -30,6 +32,10 @@ OPERATORS = {"between": "between", "notBetween": "not between", "equal": "=", "n
 BORDERS = {"thin": "1px solid", "medium": "2px solid", "thick": "3px solid", "dotted": "1px dotted", "dashed": "1px dashed", "double": "3px double", "mediumDashed": "2px dashed"}
 
 
+#: Cells that a task hands on at a time.
+ROWS = 20_000
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for p in values.items() for x in p))
 
@@ -112,21 +118,101 @@ def xlsx_sheets(docs: DataFrame, key: str = "doc_id", content: str = "content")
     return p.join(xlsx_worksheets(docs, key, content), ["workbook_id", "part"])
 
 
+_RAW = "sheet_idx int, row_idx int, col_idx int, xf int, t string, v string, f string, text string"
+
+
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def _items(node: ElementTree.Element, name: str) -> Iterator[ElementTree.Element]:
+    return (x for x in node if _local(x.tag) == name)
+
+
+def _string(item: ElementTree.Element) -> str:
+    """Text of a string item: its own or that of its runs; phonetic hints are no part of it."""
+    own = next(_items(item, "t"), None)
+    return own.text or "" if own is not None else "".join(t.text or "" for r in _items(item, "r") for t in _items(r, "t"))
+
+
+def _elements(z: zipfile.ZipFile, part: str, name: str) -> Iterator[ElementTree.Element]:
+    """Elements of a name, one after another; what is done with is freed. A part that is not there has none."""
+    if part not in z.namelist():
+        return
+    with z.open(part) as f:
+        held = []
+        for event, node in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                held.append(node)
+                continue
+            held.pop()
+            if _local(node.tag) == name:
+                yield node
+                if held:
+                    held[-1].remove(node)
+
+
+def _sheet_parts(z: zipfile.ZipFile) -> list[str]:
+    """Parts of the sheets in stored order, by their relationships or else by their position."""
+    to = {r.get("Id"): r.get("Target") or "" for r in _elements(z, "xl/_rels/workbook.xml.rels", "Relationship")}
+    out = []
+    for i, s in enumerate(_elements(z, "xl/workbook.xml", "sheet")):
+        rid = next((v for k, v in s.attrib.items() if _local(k) == "id"), None)
+        target = to.get(rid, f"worksheets/sheet{i + 1}.xml")
+        out.append(target[1:] if target.startswith("/") else "xl/" + target)
+    return out
+
+
+def xlsx_raw_cells(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_idx, row_idx, col_idx, xf, t, v, f, text): cells as stored, with the text of their string.
+
+    Each archive is read once: its strings, then its sheets row by row. What can't be read ends the archive's cells."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def cells_of(z: zipfile.ZipFile) -> Iterator[tuple]:
+        strings = [_string(si) for si in _elements(z, "xl/sharedStrings.xml", "si")]
+        for sheet, part in enumerate(_sheet_parts(z)):
+            for p, row in enumerate(_elements(z, part, "row")):
+                y = int(row.get("r") or p + 1) - 1
+                for q, c in enumerate(_items(row, "c")):
+                    ref = re.match("[A-Z]+", c.get("r") or "")
+                    x = reduce(lambda n, a: 26 * n + ord(a) - 64, ref[0], 0) - 1 if ref else q
+                    t, v, f, inline = c.get("t") or "n", *(next(_items(c, n), None) for n in ("v", "f", "is"))
+                    raw = None if v is None else v.text
+                    text = strings[int(raw)] if t == "s" and raw and raw.isdigit() and int(raw) < len(strings) else _string(inline) if inline is not None else None
+                    yield sheet, y, x, int(c.get("s") or 0), t, raw, None if f is None else f.text, text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["workbook_id", *(c.split()[0] for c in _RAW.split(", "))]
+        for b in batches:
+            out = []
+            for k, data in zip(b["k"], b["c"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                        for one in cells_of(z):
+                            out.append((k, *one))
+                            if len(out) == ROWS:
+                                yield pd.DataFrame(out, columns=names)
+                                out = []
+                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError):
+                    pass
+            yield pd.DataFrame(out, columns=names)
+
+    return docs.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"workbook_id {kind}, {_RAW}")
+
+
 def scan_xlsx(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Cells of Excel 2007+ sheets with xf (style index). Strings are looked up; a formula's stored value stays beside it.
+    """Cells of Excel 2007+ sheets with xf (style index). A formula's stored value stays beside it.
 
     Cells without a reference follow the one before; 0 is a number, inline strings are read, dates stay ISO text."""
-    rows = xlsx_sheets(docs, key, content).select("workbook_id", "sheet_idx", F.posexplode("x.sheetData.row").alias("p", "row"))
-    c = rows.select("workbook_id", "sheet_idx", F.coalesce(F.col("row._r") - 1, "p").alias("row_idx"), F.posexplode("row.c").alias("q", "c"))
-    c = c.withColumn("col_idx", F.coalesce(column_index(F.regexp_extract("c._r", "^([A-Z]+)", 1)), "q"))
-    raw, t = F.col("c.v"), F.coalesce("c._t", F.lit("n"))
-    c = c.withColumn("sst", F.when(t == "s", raw.try_cast("int"))).join(xlsx_strings(docs, key, content), ["workbook_id", "sst"], "left")
+    c = xlsx_raw_cells(docs, key, content)
+    raw, t = F.col("v"), F.col("t")
     num = F.when(t == "n", raw.try_cast("double"))
     flag = F.when(t == "b", raw == "1")
-    f = with_equals(clean_formula(F.col("c.f")))
-    string = F.when(t == "s", F.col("text")).when(t == "inlineStr", text_of("c.is")).when(t.isin("str", "d", "e") | ((t == "n") & num.isNull()), raw)
+    f = with_equals(clean_formula(F.col("f")))
+    string = F.when(t.isin("s", "inlineStr"), F.col("text")).when(t.isin("str", "d", "e") | ((t == "n") & num.isNull()), raw)
     v_type = F.when(f.isNotNull(), "formula").when(num.isNotNull(), "number").when(flag.isNotNull(), "boolean").when(t == "e", "error").otherwise(by_text(string))
-    return cells(c, F.coalesce("c._s", F.lit(0)).alias("xf"), kind=v_type, text=string, num=num, flag=flag, formula=f)
+    return cells(c, "xf", kind=v_type, text=string, num=num, flag=flag, formula=f)
 
 
 def xlsx_merges(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
