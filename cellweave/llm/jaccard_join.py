@@ -3,14 +3,16 @@
 A shingle's hash assigns it to one of m segments. Two sets of a size band that link differ in at most H shingles,
 so if the segments' allotted thresholds add up to H + 1, they differ within some segment by less than its
 threshold: 1 asks for equal segments, 2 for one shingle more or less, met by one-deletion neighbours. A band's
-plan (m, and how many segments get 2) is the cheapest by signatures written and by chance matches of empty
-segments. Empty segments are not indexed: SPARE more segments than H + 1 stand in for them, and a set with more
-empty ones signs them too. So every linked pair shares a signature, and only such pairs are compared.
+plan (m, how many segments get 2, how many more stand in for empty ones) is the cheapest by signatures written
+and by chance matches, whose number follows from the sets counted in the band. Empty segments of threshold 1 are
+not indexed: the spare segments stand in for them, and a set with more empty ones signs them too. So every linked
+pair shares a signature, and only such pairs are compared. With thresholds of 1 a set has a signature a segment,
+with 2 one a shingle besides, so the plan takes 2 where chance matches cost more: in bands of small sets.
 
 Pairs within a signature's group are not listed. Each task links its members to local pivots, a bucket links
-local pivots to pivots of all, and each such pair is verified on the whole texts. Where a pair fails, pairs of
-the same group in different components are verified too, so no link between components is missed.
-Parity bitmaps of the sets rule out most pairs before texts are fetched.
+local pivots to pivots of all, and each such pair is verified on the whole texts. Parity bitmaps of the sets rule
+out most pairs before texts are fetched. Where a pair fails, its group's sets may link to one another, so they are
+joined again on their differences from a consensus (delta_links), which lists no group's pairs either.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
+from cellweave.llm.delta_links import FEW, delta_links, small_pairs
 from cellweave.llm.shared import cut, parts_for, text_bytes, utf8
 
 U = np.uint64
@@ -34,7 +37,7 @@ BAND = 1.3
 #: Cost of a chance match against that of a signature.
 MATCH = 40.0
 #: Signatures that a task gathers before it sends them, and text bytes that a bucket stands for.
-FLUSH, BUCKET = 4_000_000, 8 << 20
+FLUSH, BUCKET = 1 << 20, 8 << 20
 #: Orders by which pivots are chosen; a signature's hash says which.
 PIVOTS = 3
 #: Words of 64 bits in a set's parity bitmap, at least; large sets have a bit a shingle.
@@ -42,6 +45,9 @@ MAP = 16
 #: Signatures that a pair of one task or bucket carries along; of pairs with more, they are found again from the texts.
 CARRIED = 8
 
+#: (segments, how many of them have threshold 2, spare ones) of each band, by its place.
+Plans = tuple[tuple[int, int, int], ...]
+
 
 @cache
 def band_edges(most: int) -> tuple[int, ...]:
@@ -53,34 +59,58 @@ def band_edges(most: int) -> tuple[int, ...]:
 
 
 @cache
-def plan(low: int, high: int, percent: int) -> tuple[int, int]:
-    """(segments, how many of them have threshold 2) for pairs whose larger set has low to high shingles."""
+def plan(low: int, high: int, percent: int, sets: float) -> tuple[int, int, int]:
+    """(segments, how many of them have threshold 2, spare) for pairs whose larger set has low to high shingles.
+
+    sets: how many sets sign the band. The smallest of them has percent of low shingles, which sets the empty segments."""
     differ = 2 * high * (100 - percent) // (100 + percent)
     if differ == 0:
-        return 1, 0
+        return 1, 0, 0
+    small = max(1, low * percent // 100)
+    half = (differ + 1) // 2
     best = None
-    for twos in range((differ + 1) // 2 + 1 if differ < 12 else 1):
-        m = differ + 1 - twos
-        for _ in range(8):  # spare segments for the empty ones, which depend on m
-            fill = (low + high) / 2 / m
-            spare = int(2 * m * exp(-fill)) + 1 if fill > 0.5 else m
-            if (now := differ + 1 - twos + spare) == m:
-                break
-            m = now
-        fill = (low + high) / 2 / m
-        cost = m + twos * fill + MATCH * m * exp(-2 * fill)
-        if best is None or cost < best[0]:
-            best = cost, m, twos
-    return best[1], best[2]
-
-
-def spare_of(low: int, high: int, percent: int) -> int:
-    """How many empty segments a set may have without signing them."""
-    m, twos = plan(low, high, percent)
-    return max(0, m + twos - (2 * high * (100 - percent) // (100 + percent) + 1))
-
-
-def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    for twos in sorted({*range(min(half, 16) + 1), half // 4, half // 2, half}):
+        for widths in (0, 1, 2, 3, 4):
+            m, spare = differ + 1 - twos, 0
+            for _ in range(16):  # spare segments add empty ones in turn
+                empty = m * (1 - 1 / m) ** small
+                spare = int(empty + widths * empty**0.5) if widths else 0
+                if (now := differ + 1 - twos + spare) == m:
+                    break
+                m = now
+            ones = max(0, m - twos)
+            empty = (1 - 1 / m) ** small
+            mean = ones * empty
+            signed = mean * _beyond(mean, spare) + twos * empty
+            met = min(1.0, sets * empty)
+            cost = m + twos * small / m + MATCH * signed * met
+            if best is None or cost < best[0]:
+                best = cost, m, twos, m + twos - differ - 1
+    return best[1:]
+
+
+def _beyond(mean: float, spare: int) -> float:
+    """The chance of more than spare empty segments, which are nearly Poisson."""
+    if mean <= 0:
+        return 0.0
+    term = below = exp(-mean)
+    for k in range(1, spare + 1):
+        term *= mean / k
+        below += term
+    return max(0.0, 1 - below)
+
+
+def plans(counts: dict[int, int], most: int, percent: int) -> Plans:
+    """A plan for each band up to that of the largest set, from the number of sets by band."""
+    edges = band_edges(most * 100 // percent + 1)
+    out = []
+    for band, (low, end) in enumerate(zip(edges, edges[1:], strict=False)):
+        first = max(i for i, e in enumerate(edges) if e <= max(1, low * percent // 100))
+        out.append(plan(low, end - 1, percent, float(sum(counts.get(i, 0) for i in range(first, band + 1)))))
+    return tuple(out)
+
+
+def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int, plan_of: Plans) -> tuple[np.ndarray, np.ndarray]:
     """Row and signature of each indexed segment; row and h are the distinct shingles by row."""
     if not len(sizes) or not sizes.max():
         return row[:0], h[:0]
@@ -90,9 +120,7 @@ def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     rows, out = [], []
     first = np.concatenate([[0], np.cumsum(sizes)])
     for band in np.unique(np.concatenate([own[sizes > 0], last[sizes > 0]])).tolist():
-        low, high = int(edges[band]), int(edges[band + 1]) - 1
-        m, twos = plan(low, high, percent)
-        spare = spare_of(low, high, percent)
+        m, twos, spare = plan_of[band]
         docs = np.flatnonzero((own <= band) & (band <= last) & (sizes > 0))
         if not len(docs):
             continue
@@ -109,7 +137,7 @@ def signatures(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
         exact = K.mix(total ^ np.tile(salt, len(docs)))
         bare = held == 0
         sign = ~bare
-        sparse = bare.reshape(-1, m).sum(1) > spare
+        sparse = bare.reshape(-1, m)[:, twos:].sum(1) > spare
         sign |= np.repeat(sparse, m)
         if twos:
             sign |= np.tile(np.arange(m) < twos, len(docs))  # one shingle against none counts there
@@ -168,8 +196,8 @@ def _copies(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return out[0], out[1]
 
 
-def parity(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """The parity bitmap of each set: one of MAP words, and one that grows with the set by powers of two.
+def parity(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The parity bitmap of each set: MAP words, or the power of two that has a bit a shingle.
 
     A bitmap folds to half its size by xor of its halves, so any two can be compared."""
     x = K.mix(h ^ U(0xE7037ED1A0B428DB))
@@ -177,22 +205,19 @@ def parity(row: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array,
     off = np.concatenate([[0], np.cumsum(width)])
     wide = np.zeros(off[-1], np.uint64)
     np.bitwise_xor.at(wide, off[row] + ((x >> U(6)).astype(np.int64) & (width[row] - 1)), U(1) << (x & U(63)))
-    out = np.zeros(len(sizes) * MAP, np.uint64)
-    who = np.repeat(np.arange(len(sizes)), width)
-    np.bitwise_xor.at(out, who * MAP + (np.arange(len(wide)) - off[who]) % MAP, wide)
-    return tuple(pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(m.view(np.int64))) for o, m in ((np.arange(len(sizes) + 1) * MAP, out), (off, wide)))
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(wide.view(np.int64)))
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, c1, c2, map, wide): the size of each document's set, a 128-bit hash and the parity bitmaps of it."""
+    """(id, n_shingles, c1, c2, wide): the size of each document's set, a 128-bit hash and the parity bitmap of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, row, h, sizes in _sets(batches, n):
             c1, c2 = _copies(row, h, sizes)
             cols = [pa.array(x) for x in (ids.astype(np.int64), sizes.astype(np.int64), c1, c2)]
-            yield pa.RecordBatch.from_arrays([*cols, *parity(row, h, sizes)], ["id", "n_shingles", "c1", "c2", "map", "wide"])
+            yield pa.RecordBatch.from_arrays([*cols, parity(row, h, sizes)], ["id", "n_shingles", "c1", "c2", "wide"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, map array<long>, wide array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, wide array<long>")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +245,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return unequal.mapInArrow(run, ", ".join([*kinds, "can boolean"]))
 
 
-def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int, plan_of: Plans) -> DataFrame:
     """Distinct (a, b, sigs, whole): members of a signature's group and its pivots. One record a task and signature is shuffled.
 
     sigs: signatures for which a and b were paired; whole: these are all."""
@@ -244,7 +269,7 @@ def star_pairs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
             gone = np.array([bool(sizes[i]) and known.setdefault(c, int(who[i])) != who[i] for i, c in enumerate(copies)], bool)
             if gone.any():
                 h, row, sizes = h[~gone[row]], row[~gone[row]], np.where(gone, 0, sizes)
-            r, s = signatures(row, h, sizes, percent)
+            r, s = signatures(row, h, sizes, percent, plan_of)
             if len(s):
                 sigs.append(s)
                 ids.append(who[r].astype(np.int64))
@@ -279,7 +304,7 @@ def unpacked(pairs: DataFrame) -> DataFrame:
     return pairs.select("sigs").mapInArrow(run, "sig long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, plan_of: Plans) -> DataFrame:
     """(a, b, linked, broken): whether the whole texts link, and, where not, the signatures that they share."""
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -300,7 +325,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                     keys = []
                     for c in (2, 3):
                         row, h = K.distinct(*K.shingles(*K.flat(part.column(c).take(pa.array(lost))), n))
-                        keys.append(K.distinct(*signatures(row, h, np.bincount(row, minlength=len(lost)), percent)))
+                        keys.append(K.distinct(*signatures(row, h, np.bincount(row, minlength=len(lost)), percent, plan_of)))
                     row, s = (np.concatenate(x) for x in zip(*keys, strict=True))
                     by = np.lexsort((s, row))
                     row, s = row[by], s[by]
@@ -313,17 +338,46 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return both.mapInArrow(run, "a long, b long, linked boolean, broken array<long>")
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def signature_rows(docs: DataFrame, n: int, percent: int, plan_of: Plans) -> DataFrame:
     """(sig, id), every signature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, row, h, sizes in _sets(batches, n):
-            r, s = K.distinct(*signatures(row, h, sizes, percent))
+            r, s = K.distinct(*signatures(row, h, sizes, percent, plan_of))
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[r].astype(np.int64))], ["sig", "id"])
 
     return docs.mapInArrow(run, "sig long, id long")
 
 
+def whole_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(id, w, s, xs): the shingles of each document, their number and a hash of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, h, sizes in _sets(batches, n):
+            xs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(_copies(row, h, sizes)[0]), pa.array(sizes.astype(np.int64)), xs], ["id", "w", "s", "xs"])
+
+    return docs.mapInArrow(run, "id long, w long, s long, xs array<long>").where("s > 0")
+
+
+def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links between the components of each family; chains: (id, low, c), documents of groups in which a pair failed."""
+    family = connected_components(chains, "id", "low").select(F.col("node").alias("id"), F.col("component").alias("fam"))
+    members = family.join(chains.select("id", "c").distinct(), "id").join(size.select("id", "c1", "c2"), "id")
+    # copies are linked already: one document stands for each set
+    members = cut(members.groupBy("fam", "c1", "c2").agg(F.min("id").alias("id"), F.min("c").alias("c")).select("fam", "id", "c"), "members")
+    counts = members.groupBy("fam").agg(F.count("*").alias("n"))
+    pairs = cut(possible(small_pairs(members), size, percent).where("can").select("a", "b"), "pairs")
+    large = members.join(counts.where(F.col("n") > FEW), "fam").drop("n")
+    wanted = large.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(whole_sets(keyed.join(wanted, "id").select("id", "text"), n), "sets")
+    a, b = (sets.select(F.col("id").alias(e), F.col("s").alias(f"s{e}"), F.col("xs").alias(f"x{e}")) for e in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")).cast("long"))
+    few = both.where(100 * F.col("shared") >= percent * (F.col("sa") + F.col("sb") - F.col("shared"))).select("a", "b")
+    level = large.join(sets, "id").dropDuplicates(["fam", "w"]).select("fam", "w", "id", "c", "s", "xs")
+    return cut(few, "few").unionByName(delta_links(level, percent))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): each row's set size and the smallest key that links lead to.
 
@@ -333,43 +387,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     repeated rows each give a row. A null key gives a row with a null component. Extra columns are ignored, an
     empty table gives no rows. Ties have no effect: components do not depend on the order of rows.
     """
+    none = np.iinfo(np.int64).min
     base = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text"))
     keyed = base.where("id is not null")
+    sizes = cut(set_sizes(base.select(F.coalesce("id", F.lit(none)).alias("id"), "text"), n), "sizes")
+    real = sizes.where((F.col("id") != none) & (F.col("n_shingles") > 0))
+    most = real.agg(F.max("n_shingles")).first()[0] or 1
+    band = F.size(F.filter(F.array(*map(F.lit, band_edges(most))), lambda e: e <= F.col("n_shingles"))) - 1
+    plan_of = plans({b: k for b, k in real.groupBy(band.alias("b")).count().collect()}, most, percent)
     buckets = parts_for(text_bytes(keyed, "text"), BUCKET, 48)
-    sizes = cut(set_sizes(base.select(F.coalesce("id", F.lit(np.iinfo(np.int64).min)).alias("id"), "text"), n), "sizes")
-    real = sizes.where(F.col("id") != np.iinfo(np.int64).min)
-    first = real.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("b"), F.count("*").alias("k")).where("k > 1")
+    first = real.groupBy("c1", "c2").agg(F.min("id").alias("b"), F.count("*").alias("k")).where("k > 1")
     copies = real.join(first, ["c1", "c2"]).select(F.col("id").alias("a"), "b").where("a <> b")
-    size = real.groupBy("id").agg(F.max("n_shingles").alias("s"), *(F.max_by(c, F.struct("n_shingles", "c1", "c2")).alias(c) for c in ("c1", "c2", "map", "wide")))
-    stars = cut(possible(star_pairs(keyed, n, percent, buckets).where("a <> b"), size, percent), "stars")
+    size = real.groupBy("id").agg(F.max("n_shingles").alias("s"), *(F.max_by(c, F.struct("n_shingles", "c1", "c2")).alias(c) for c in ("c1", "c2", "wide")))
+    stars = cut(possible(star_pairs(keyed, n, percent, buckets, plan_of).where("a <> b"), size, percent), "stars")
     # a pair that cannot link goes on only if its signatures are not all known
-    checked = cut(verified(stars.where("can or not whole").select("a", "b"), keyed, n, percent), "verified")
+    checked = cut(verified(stars.where("can or not whole").select("a", "b"), keyed, n, percent, plan_of), "verified")
     edges = copies.unionByName(checked.where("linked").select("a", "b"))
     parts = cut(connected_components(edges), "components")
     # groups in which a pair failed: their members may link to one another
     broken = checked.where("not linked").select(F.explode("broken").alias("sig")).unionByName(unpacked(stars.where("not can and whole"))).distinct()
-    members = signature_rows(keyed, n, percent).join(broken, "sig")
-    of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    one = cut(of.groupBy("sig", "c").agg(F.min("id").alias("low"), F.count("*").alias("k")).join(of.select("sig", "c", "id"), ["sig", "c"]), "members")
-    groups = one.groupBy("sig").agg(F.count_distinct("c").alias("n_c")).where("n_c > 1").select("sig")
-    many = one.join(groups, "sig").select("sig", "id", "c")
-    many = many.join(size.select("id", "s", F.col("map").alias("m")), "id")
-    right = many.select("sig", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("m").alias("mb"))
-    left = many.select("sig", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("m").alias("ma"))
-    differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP)), F.lit(0))
-    can_link = (
-        (left["sig"] == right["sig"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (F.col("sa") * 100 >= F.col("sb") * percent) & (F.col("sb") * 100 >= F.col("sa") * percent)
-        & (differ * (100 + percent) <= (F.col("sa") + F.col("sb")) * (100 - percent))
-    )
-    cross = (
-        left.join(right, can_link)
-        .select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    cross = possible(cross, size, percent).where("can").select("a", "b")
-    more = cut(verified(cross, keyed, n, percent).where("linked").select("a", "b"), "cross")
-    if not more.isEmpty():
-        parts = cut(connected_components(edges.unionByName(more)), "components")
+    members = signature_rows(keyed, n, percent, plan_of).join(broken, "sig")
+    of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
+    of = cut(of, "members")
+    mixed = of.groupBy("sig").agg(F.min("id").alias("low"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    chains = cut(of.join(mixed.select("sig", "low"), "sig").select("id", "low", "c").distinct(), "chains")
+    more = edges.limit(0)
+    if not chains.isEmpty():
+        more = family_links(chains, keyed, size, n, percent)
+        if not more.isEmpty():
+            parts = cut(connected_components(edges.unionByName(more)), "components")
     out = sizes.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    null = F.col("id") == np.iinfo(np.int64).min
+    null = F.col("id") == none
     return out.select(F.when(~null, F.col("id")).alias(key), "n_shingles", F.when(~null, F.coalesce("component", "id")).alias("component_id"))

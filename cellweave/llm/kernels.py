@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes that the kernels take at once; a longer text goes alone.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _FOLD = np.arange(256)

@@ -72,3 +72,63 @@ def test_empty_table_and_null_key(spark):
     assert jaccard_components(spark.createDataFrame([], schema)).count() == 0
     got = jaccard_components(spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f")], schema)).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in got) == [(False, 2), (True, None)]
+
+
+def near_copies(count, size, seed):
+    """Copies of one text with up to a seventh of the words changed: some link to one another, many don't."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for _ in range(count):
+        words = list(base)
+        for _ in range(rng.randrange(size // 7)):
+            words[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(5, 80), (3, 90), (1, 70)])
+def test_large_group_of_near_copies(spark, n, percent):
+    texts = dict(enumerate(near_copies(150, 120, 1) + near_copies(60, 300, 2) + near_copies(60, 14, 3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, n, percent).collect()}
+    assert got == brute(texts, n, percent)
+
+
+def test_delta_links_alone_find_every_component(spark):
+    """Families that no earlier step has looked at, against all pairs."""
+    import random
+
+    from cellweave.llm.components import connected_components
+    from cellweave.llm.delta_links import delta_links
+
+    rng = random.Random(3)
+    sets, rows = {}, []
+    for fam in range(6):
+        base = [rng.randrange(1 << 40) for _ in range(rng.choice([4, 20, 60]))]
+        for k in range(rng.choice([2, 17, 70])):
+            kept = [x for x in base if rng.random() > rng.choice([0, 0.02, 0.1])]
+            xs = {*kept, *(rng.randrange(200) for _ in range(rng.randrange(4)))} or {1}
+            if xs not in [s for (f, _), s in sets.items() if f == fam]:
+                sets[fam, 1000 * fam + k] = xs
+                rows.append((fam, 7 * k + 1, 1000 * fam + k, 1000 * fam + k, len(xs), list(xs)))
+    level = spark.createDataFrame(rows, "fam long, w long, id long, c long, s long, xs array<long>")
+    for percent in (60, 90):
+        links = delta_links(level, percent)
+        assert all(100 * len(a & b) >= percent * len(a | b) for a, b in ((sets[r.a // 1000, r.a], sets[r.b // 1000, r.b]) for r in links.collect()))
+        found = {r.node: r.component for r in connected_components(links).collect()}
+        parent = {i: i for _, i in sets}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for f, i in sets:
+            for g, j in sets:
+                if f == g and i < j and 100 * len(sets[f, i] & sets[g, j]) >= percent * len(sets[f, i] | sets[g, j]):
+                    x, y = root(i), root(j)
+                    parent[max(x, y)] = min(x, y)
+        assert {i: found.get(i, i) for _, i in sets} == {i: root(i) for _, i in sets}
