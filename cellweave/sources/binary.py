@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -119,21 +120,24 @@ def dbf_columns(docs: DataFrame, key: str = "doc_id", content: str = "content")
 # records of a type, a length and a payload
 
 
+def framed(data: bytes | None) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, type, payload) of each record; a cut-off record ends the list."""
+    at = 0
+    while data is not None and at + 4 <= len(data):
+        kind, size = struct.unpack_from("<HH", data, at)
+        if at + 4 + size > len(data):
+            return
+        yield at, kind, bytes(data[at + 4 : at + 4 + size])
+        at += 4 + size
+
+
 def records(docs: DataFrame, key: str, content: str) -> DataFrame:
     """(workbook_id, n, offset, type, data): records of u16 type and u16 length; a cut-off record ends the list."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, data in zip(b["k"], b["c"], strict=True):
-                i = n = 0
-                while data is not None and i + 4 <= len(data):
-                    t, size = struct.unpack_from("<HH", data, i)
-                    if i + 4 + size > len(data):
-                        break
-                    out.append((k, n, i, t, bytes(data[i + 4 : i + 4 + size])))
-                    i, n = i + 4 + size, n + 1
+            out = [(k, n, *one) for k, data in zip(b["k"], b["c"], strict=True) for n, one in enumerate(framed(data))]
             yield pd.DataFrame(out, columns=["workbook_id", "n", "offset", "type", "data"])
 
     return docs.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"workbook_id {kind}, n long, offset long, type int, data binary")
@@ -234,9 +238,8 @@ def workbook_stream(content: pd.Series) -> pd.Series:
 # Excel 97-2003
 
 
-def _strings(b: pd.DataFrame) -> pd.DataFrame:
+def shared_strings(blocks: list[bytes]) -> list[str]:
     """Shared strings of one workbook, across the borders of continued records."""
-    blocks = [bytes(x) for x in b.sort_values("n")["data"]]
     out, block, i = [], 0, 8
     total = struct.unpack_from("<I", blocks[0], 4)[0] if blocks and len(blocks[0]) >= 8 else 0
 
@@ -251,7 +254,7 @@ def _strings(b: pd.DataFrame) -> pd.DataFrame:
         return got
 
     try:
-        for k in range(total):
+        for _ in range(total):
             if i >= len(blocks[block]):
                 block, i = block + 1, 0
             n, flags = struct.unpack("<HB", take(3))
@@ -266,17 +269,43 @@ def _strings(b: pd.DataFrame) -> pd.DataFrame:
                 text += take(m * (1 + wide)).decode("utf-16-le" if wide else "latin-1")
                 n -= m
             take(runs * 4 + extra)
-            out.append((b["workbook_id"].iloc[0], k, text))
+            out.append(text)
     except (struct.error, IndexError):
         pass  # a truncated table ends here
-    return pd.DataFrame(out, columns=["workbook_id", "sst", "text"])
+    return out
+
+
+_BIFF = "n long, offset long, type int, data binary, bof long, sheet_idx int, next binary, text string"
 
 
 def biff_records(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, n, offset, type, data, bof): records of the workbook stream; bof is the substream's offset."""
-    r = records(docs.select(F.col(key).alias("k"), workbook_stream(content).alias("c")), "k", "c")
-    upto = W.partitionBy("workbook_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    return r.withColumn("bof", F.last(F.when(F.col("type") == 0x809, F.col("offset")), True).over(upto))
+    """(workbook_id, n, offset, type, data, bof, sheet_idx, next, text): records of the workbook stream.
+
+    bof: the substream's offset; sheet_idx: the worksheet that it is, if any; next: the string record after a formula and what it shares;
+    text: the shared string that a cell names. A file is read once."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, data in zip(b["k"], b["c"], strict=True):
+                every = list(framed(data))
+                places = [struct.unpack_from("<I", d)[0] for _, t, d in every if t == 0x85 and len(d) > 5 and d[5] == 0]
+                sheet_of = {at: i for i, at in enumerate(places)}
+                begin = next((i for i, (_, t, _) in enumerate(every) if t == 0xFC), len(every))
+                more = itertools.takewhile(lambda r: r[1] == 0x3C, every[begin + 1 :])
+                strings = shared_strings([d for _, _, d in (*every[begin : begin + 1], *more)])
+                out, bof = [], None
+                for n, (at, t, d) in enumerate(every):
+                    bof = at if t == 0x809 else bof
+                    after = next((x for x in every[n + 1 : n + 3] if x[1] != 0x4BC), None) if t == 0x06 else None
+                    text = None
+                    if t == 0xFD and len(d) >= 10 and (i := struct.unpack_from("<I", d, 6)[0]) < len(strings):
+                        text = strings[i]
+                    out.append((k, n, at, t, d, bof, sheet_of.get(bof), after[2] if after and after[1] == 0x207 else None, text))
+                frame = pd.DataFrame(out, columns=["workbook_id", *(c.split()[0] for c in _BIFF.split(", "))])
+                yield frame.astype({"sheet_idx": "Int32", "bof": "Int64"})
+
+    return docs.select(F.col(key).alias("k"), workbook_stream(content).alias("c")).mapInPandas(run, f"workbook_id {kind}, {_BIFF}")
 
 
 def biff_sheets(r: DataFrame) -> DataFrame:
@@ -299,28 +328,21 @@ def rk_number(x: Column) -> Column:
 
 
 def scan_xls(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """Cells of Excel 97-2003 sheets with xf (style index). Strings are looked up, shared formulas joined by range.
+    """Cells of Excel 97-2003 sheets with xf (style index); shared formulas are joined by range.
 
     A formula's stored value stays beside it. A file that is no compound file, or has no workbook, has no cells."""
     r = biff_records(docs, key, content)
-    sheets = biff_sheets(r).select("workbook_id", "bof", "sheet_idx")
-    # the shared strings: record 0xFC and the 0x3C records right after it
-    over = W.partitionBy("workbook_id").orderBy("n")
-    last = F.last(F.when(F.col("type") != 0x3C, F.col("type")), True).over(over.rowsBetween(W.unboundedPreceding, 0))
-    table = r.withColumn("of", last).where("of = 252 and type in (252, 60)")
-    sst = table.groupBy("workbook_id").applyInPandas(_strings, f"workbook_id {r.schema['workbook_id'].dataType.simpleString()}, sst long, text string")
     d, t = F.col("data"), F.col("type")
-    c = r.withColumn("next", F.when(F.lead("type").over(over) == 0x207, F.lead("data").over(over))).join(sheets, ["workbook_id", "bof"])
-    c = c.where(t.isin(0xFD, 0x27E, 0x203, 0x06, 0x201, 0xBE, 0xBD, 0x205))
+    r = r.where("sheet_idx is not null")
+    c = r.where(t.isin(0xFD, 0x27E, 0x203, 0x06, 0x201, 0xBE, 0xBD, 0x205))
     # one row for each column of the records that hold several
     count = F.when(t == 0xBD, ((F.length(d) - 6) / 6).cast("int")).when(t == 0xBE, ((F.length(d) - 6) / 2).cast("int")).otherwise(1)
     c = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)))
     place = F.when(t == 0xBD, 4 + F.col("j") * 6).when(t == 0xBE, 4 + F.col("j") * 2).otherwise(4)
     c = c.withColumn("row_idx", unsigned(d, 0, 2)).withColumn("col_idx", unsigned(d, 2, 2) + F.col("j")).withColumn("xf", unsigned(d, place, 2))
-    c = c.withColumn("sst", F.when(t == 0xFD, unsigned(d, 6, 4))).join(sst, ["workbook_id", "sst"], "left")
     size = unsigned(d, 20, 2).cast("int")
     c = c.withColumn("tokens", F.when(t == 6, F.substring(d, F.lit(23), size)))
-    shared = r.where("type = 1212").join(sheets, ["workbook_id", "bof"]).select(
+    shared = r.where("type = 1212").select(
         "workbook_id", "sheet_idx", F.col("n").alias("sn"), unsigned(d, 0, 2).alias("r1"), unsigned(d, 2, 2).alias("r2"), unsigned(d, 4, 1).alias("c1"), unsigned(d, 5, 1).alias("c2"),
         F.substring(d, F.lit(11), unsigned(d, 8, 2).cast("int")).alias("st"),
     )
@@ -349,7 +371,7 @@ def scan_xls(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
 def xls_merges(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, row_idx, col_idx, colspan, rowspan) of merged ranges."""
     r = biff_records(docs, key, content)
-    m = r.where("type = 229").join(biff_sheets(r).select("workbook_id", "bof", "sheet_idx"), ["workbook_id", "bof"])
+    m = r.where("type = 229 and sheet_idx is not null")
     d = F.col("data")
     m = m.select("workbook_id", "sheet_idx", "data", F.explode(F.sequence(F.lit(0), F.greatest(unsigned(d, 0, 2).cast("int"), F.lit(1)) - 1)).alias("k"))
     a, b, x, y = (unsigned(d, 2 + F.col("k") * 8 + i, 2) for i in (0, 2, 4, 6))
@@ -359,7 +381,7 @@ def xls_merges(docs: DataFrame, key: str = "doc_id", content: str = "content") -
 def xls_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, col_idx, width_px, visible): one row a column of each column range."""
     r = biff_records(docs, key, content)
-    m = r.where("type = 125").join(biff_sheets(r).select("workbook_id", "bof", "sheet_idx"), ["workbook_id", "bof"])
+    m = r.where("type = 125 and sheet_idx is not null")
     d = F.col("data")
     m = m.select("workbook_id", "sheet_idx", "data", F.explode(F.sequence(unsigned(d, 0, 2).cast("int"), unsigned(d, 2, 2).cast("int"))).alias("col_idx"))
     return m.select("workbook_id", "sheet_idx", "col_idx", (unsigned(d, 4, 2) / 256 * 8.43).alias("width_px"), (unsigned(d, 8, 2) % 2 == 0).alias("visible"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.palettes import indexed_color
 from cellweave.operators.relational import styled
-from cellweave.sources.binary import biff_records, biff_sheets, latin, scan_xls, unsigned
+from cellweave.sources.binary import biff_records, latin, scan_xls, unsigned
 
 # Horizontal alignment by code (0 is by kind of value), and vertical.
 ACROSS = (None, "left", "center", "right", "fill", "justify", "center-across-selection", "distributed")
@@ -85,7 +85,7 @@ def xls_styles(docs: DataFrame, key: str = "doc_id", content: str = "content") -
 def xls_rows(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, row_idx, height_pt, visible) of row records."""
     r = biff_records(docs, key, content)
-    m = r.where("type = 520").join(biff_sheets(r).select("workbook_id", "bof", "sheet_idx"), ["workbook_id", "bof"])
+    m = r.where("type = 520 and sheet_idx is not null")
     d = F.col("data")
     return m.select("workbook_id", "sheet_idx", unsigned(d, 0, 2).cast("int").alias("row_idx"), (unsigned(d, 6, 2) % 32768 / 20).alias("height_pt"), (~_bit(unsigned(d, 12, 2), 5)).alias("visible"))
 
