@@ -1,14 +1,16 @@
 """Links within families of sets that signatures brought together but whose pivots did not link.
 
-Families of at most FEW sets are compared pair by pair (small_pairs), those that sizes and bitmaps allow. Of a larger
-one, the consensus is what over half of its sets hold. Each set is written as its difference from it, which is short
-for near copies. With G = (100 + p) * |difference| - (100 - p) * |set| and u = G / (2 * (100 + p)), two sets link at p
-percent when their differences share u1 + u2 elements or more. So sets whose u add up to 0 or less link to the set of
-least u. Any others that link share one of the first |difference| - (u1 + u2) + 1 elements of both, rarest first, which
-is a few for each set, as sizes bound the u of what it can link to. Groups by such an element hold at most half of a
+The consensus of a family is what over half of its sets hold. Each set is written as its difference from it, which
+is short for near copies. With G = (100 + p) * |difference| - (100 - p) * |set| and u = G / (2 * (100 + p)), two sets
+link at p percent when their differences share u1 + u2 elements or more. So sets whose u add up to 0 or less link to
+the set of least u. Any others that link share one of the first |difference| - (u1 + u2) + 1 elements of both, rarest
+first, which is a few for each set, as sizes bound the u of what it can link to. Groups by such an element hold at most half of a
 family, since over half would have put the element into the consensus. Groups of at most FEW sets are compared pair by
 pair; larger ones are parted by classes of u, for which fewer elements do, and what is still large is a family of the
 next round. Rounds thus end, each is linear in its rows, and no large group's pairs are listed.
+
+Families of at most WHOLE_SETS sets and WHOLE_SIZE elements, a bound on what a task holds, are done by one task each
+(whole_links), in the same way; larger ones by Spark, in rounds (delta_links).
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from cellweave.llm.shared import cut
 
 #: Sets of a group that are compared pair by pair; ratio of the ends of a class of G.
 FEW, STEP = 16, 1.5
+#: Sets and elements of a family that one task takes at most, and elements of the families that a bucket stands for.
+WHOLE_SETS, WHOLE_SIZE, BUCKET = 4096, 4 << 20, 1 << 20
 
 
 def _class(u: Column) -> Column:
@@ -105,21 +111,93 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     return near.select("a", "b"), cut(more, "links"), cut(following, "level")
 
 
-def small_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of the sets of different components in each family of at most FEW; members: (fam, id, c)."""
-    few = members.groupBy("fam").agg(F.collect_list(F.struct("id", "c")).alias("all")).where(F.size("all") <= FEW)
-    pairs = few.select(F.explode(_pairs("all", lambda p, q: (p["id"] > q["id"]) & (p["c"] != q["c"]), "id")).alias("pair"))
-    return pairs.select(F.col("pair.p").alias("a"), F.col("pair.q").alias("b")).distinct()
-
-
 def delta_links(level: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join whatever components c the links within each family join.
 
-    level (fam, w, id, c, s, xs): a row for each different set xs of a family, named w there, of s elements, of document
-    id in component c. Pairs already in one component need not be in the result; every pair in it links."""
+    level (fam, w, id, c, s, xs): a row for each different set of a family, named w there, of s elements, of document id in
+    component c; xs: its difference from any one set of reference of its family, such as the empty one. Pairs already in one component need not be in the result; every pair in it links."""
     found = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     level = cut(level, "level")
     while not level.isEmpty():
         near, more, level = _round(level, percent)
         found = found.unionByName(near).unionByName(more)
     return cut(found, "found")
+
+
+def _family_links(ids: np.ndarray, comps: np.ndarray, row: np.ndarray, h: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of one family; row and h: the elements of each set."""
+    n, unit = len(ids), 2 * (100 + percent)
+    s = np.bincount(row, minlength=n)
+    kinds, x, count = np.unique(h, return_inverse=True, return_counts=True)
+    common = np.flatnonzero(2 * count > n)
+    place = np.full(len(kinds), -1)
+    place[common] = np.arange(len(common))
+    has = np.zeros((n, len(common)), bool)
+    shared = place[x] >= 0
+    has[row[shared], place[x[shared]]] = True
+    lacks = np.nonzero(~has)
+    row, x = np.concatenate([row[~shared], lacks[0]]), np.concatenate([x[~shared], common[lacks[1]]])
+    by = np.lexsort((x, np.minimum(count, n - count)[x], row))
+    row, x = row[by], x[by]
+    d = np.bincount(row, minlength=n)
+    first = np.cumsum(d) - d
+    at = np.arange(len(row)) - first[row]
+    g = (100 + percent) * d - (100 - percent) * s
+    u = g / unit
+    parent = {int(c): int(c) for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+
+    def link(i: int, j: int) -> None:
+        a, b = root(int(comps[i])), root(int(comps[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+
+    least = np.lexsort((ids, g))[0]
+    for i in np.flatnonzero(g + g[least] <= 0).tolist():
+        link(i, least)
+    group = np.array([root(int(c)) for c in comps])
+    need = np.maximum(1, np.ceil(u + np.maximum(u[least], u - (d - 2 * u) * 100 / percent) - 1e-6))
+    kept = np.flatnonzero(at <= (d - need)[row])
+    kept = kept[np.argsort(x[kept], kind="stable")]
+    who, pos, what = row[kept], at[kept], x[kept]
+    end = np.searchsorted(what, what, "right")
+    here, step, codes = np.arange(len(what)), 1, []
+    while len(here := here[here + step < end[here]]):
+        i, j = who[here], who[here + step]
+        t = np.maximum(1, np.ceil(u[i] + u[j] - 1e-6))
+        may = (group[i] != group[j]) & (pos[here] <= d[i] - t) & (pos[here + step] <= d[j] - t)
+        codes.append(np.unique(np.minimum(i, j)[may] * n + np.maximum(i, j)[may]))
+        step += 1
+    for code in np.unique(np.concatenate(codes)).tolist() if codes else ():
+        i, j = divmod(code, n)
+        if root(int(comps[i])) != root(int(comps[j])):
+            both = len(np.intersect1d(x[first[i] : first[i] + d[i]], x[first[j] : first[j] + d[j]], assume_unique=True))
+            if g[i] + g[j] <= unit * both:
+                link(i, j)
+    return out
+
+
+def whole_links(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b) as delta_links gives them, of families that a task may hold; sets: (fam, w, id, c, xs)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("fam").combine_chunks()
+        fam, ids, comps = (table[c].to_numpy() for c in ("fam", "id", "c"))
+        lists = table["xs"].combine_chunks()
+        off, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        out = []
+        edges = np.flatnonzero(np.diff(fam, prepend=fam[0] - 1, append=fam[-1] + 1))
+        for i, j in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            size = np.diff(off[i : j + 1])
+            out += _family_links(ids[i:j], comps[i:j], np.repeat(np.arange(j - i), size), values[off[i] : off[j]], percent)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    rows = sets.select(F.pmod(F.xxhash64("fam"), F.lit(buckets)).alias("bucket"), "fam", "id", "c", "xs")
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")

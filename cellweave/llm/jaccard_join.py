@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
-from cellweave.llm.delta_links import FEW, delta_links, small_pairs
-from cellweave.llm.shared import cut, parts_for, text_bytes, utf8
+from cellweave.llm.delta_links import BUCKET as FAMILIES
+from cellweave.llm.delta_links import WHOLE_SETS, WHOLE_SIZE, delta_links, whole_links
+from cellweave.llm.shared import cut, parts_for, release, text_bytes, utf8
 
 U = np.uint64
 #: Ratio of a size band's ends.
@@ -70,7 +71,7 @@ def plan(low: int, high: int, percent: int, sets: float) -> tuple[int, int, int]
     half = (differ + 1) // 2
     best = None
     for twos in sorted({*range(min(half, 16) + 1), half // 4, half // 2, half}):
-        for widths in (0, 1, 2, 3, 4):
+        for widths in range(5):
             m, spare = differ + 1 - twos, 0
             for _ in range(16):  # spare segments add empty ones in turn
                 empty = m * (1 - 1 / m) ** small
@@ -78,11 +79,11 @@ def plan(low: int, high: int, percent: int, sets: float) -> tuple[int, int, int]
                 if (now := differ + 1 - twos + spare) == m:
                     break
                 m = now
-            ones = max(0, m - twos)
-            empty = (1 - 1 / m) ** small
-            mean = ones * empty
-            signed = mean * _beyond(mean, spare) + twos * empty
-            met = min(1.0, sets * empty)
+            empty, single = (1 - 1 / m) ** small, small / m * (1 - 1 / m) ** (small - 1) if m > 1 else 0.0
+            mean = max(0, m - twos) * empty
+            # a segment of threshold 2 that is empty, or is so without its one shingle, meets all others like it
+            signed = mean * _beyond(mean, spare) + twos * (empty + single)
+            met = min(1.0, sets * (empty + single))
             cost = m + twos * small / m + MATCH * signed * met
             if best is None or cost < best[0]:
                 best = cost, m, twos, m + twos - differ - 1
@@ -366,16 +367,22 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     members = family.join(chains.select("id", "c").distinct(), "id").join(size.select("id", "c1", "c2"), "id")
     # copies are linked already: one document stands for each set
     members = cut(members.groupBy("fam", "c1", "c2").agg(F.min("id").alias("id"), F.min("c").alias("c")).select("fam", "id", "c"), "members")
-    counts = members.groupBy("fam").agg(F.count("*").alias("n"))
-    pairs = cut(possible(small_pairs(members), size, percent).where("can").select("a", "b"), "pairs")
-    large = members.join(counts.where(F.col("n") > FEW), "fam").drop("n")
-    wanted = large.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(whole_sets(keyed.join(wanted, "id").select("id", "text"), n), "sets")
-    a, b = (sets.select(F.col("id").alias(e), F.col("s").alias(f"s{e}"), F.col("xs").alias(f"x{e}")) for e in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("xa", "xb")).cast("long"))
-    few = both.where(100 * F.col("shared") >= percent * (F.col("sa") + F.col("sb") - F.col("shared"))).select("a", "b")
-    level = large.join(sets, "id").dropDuplicates(["fam", "w"]).select("fam", "w", "id", "c", "s", "xs")
-    return cut(few, "few").unionByName(delta_links(level, percent))
+    sized = members.join(size.select("id", "s"), "id")
+    families = cut(sized.groupBy("fam").agg(F.count("*").alias("n"), F.sum("s").alias("total"), F.min("id").alias("pivot")).where("n > 1"), "families")
+    wanted = members.join(families.select("fam", "n", "total", "pivot"), "fam")
+    sets = whole_sets(keyed.join(wanted.select("id").distinct(), "id").select("id", "text"), n).dropDuplicates(["id", "w"])
+    every = cut(wanted.join(sets, "id").dropDuplicates(["fam", "w"]), "sets")
+    small = (F.col("n") <= WHOLE_SETS) & (F.col("total") <= WHOLE_SIZE)
+    found = whole_links(every.where(small), percent, parts_for(families.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], FAMILIES, 48))
+    # what a set has and one set of its family has not, or the other way round: any reference serves, this one needs no counts
+    large = every.where(~small)
+    one = large.where("id = pivot").groupBy("fam").agg(F.min_by("xs", "w").alias("r"))
+    apart = F.concat(F.array_except("xs", "r"), F.array_except("r", "xs"))
+    level = large.join(one, "fam").withColumn("apart", apart).drop("r")
+    # where a family's sets have little in common, differences are larger than the sets: the empty set is the reference then
+    near = level.groupBy("fam").agg((F.sum(F.size("apart")) < F.sum("s")).alias("near"))
+    level = level.join(near, "fam").select("fam", "w", "id", "c", "s", F.when(F.col("near"), F.col("apart")).otherwise(F.col("xs")).alias("xs"))
+    return cut(found, "found").unionByName(delta_links(level, percent))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,6 +409,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     stars = cut(possible(star_pairs(keyed, n, percent, buckets, plan_of).where("a <> b"), size, percent), "stars")
     # a pair that cannot link goes on only if its signatures are not all known
     checked = cut(verified(stars.where("can or not whole").select("a", "b"), keyed, n, percent, plan_of), "verified")
+    release(docs.sparkSession)
     edges = copies.unionByName(checked.where("linked").select("a", "b"))
     parts = cut(connected_components(edges), "components")
     # groups in which a pair failed: their members may link to one another
@@ -409,6 +417,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     members = signature_rows(keyed, n, percent, plan_of).join(broken, "sig")
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
     of = cut(of, "members")
+    release(docs.sparkSession)
     mixed = of.groupBy("sig").agg(F.min("id").alias("low"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     chains = cut(of.join(mixed.select("sig", "low"), "sig").select("id", "low", "c").distinct(), "chains")
     more = edges.limit(0)

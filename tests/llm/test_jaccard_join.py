@@ -89,8 +89,12 @@ def near_copies(count, size, seed):
     return out
 
 
-@pytest.mark.parametrize(("n", "percent"), [(5, 80), (3, 90), (1, 70)])
-def test_large_group_of_near_copies(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "most"), [(5, 80, 4096), (3, 90, 2), (1, 70, 4096)])
+def test_large_group_of_near_copies(spark, monkeypatch, n, percent, most):
+    """most: sets of a family that one task takes; larger families go by rounds."""
+    from cellweave.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "WHOLE_SETS", most)
     texts = dict(enumerate(near_copies(150, 120, 1) + near_copies(60, 300, 2) + near_copies(60, 14, 3)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, n, percent).collect()}
@@ -102,7 +106,7 @@ def test_delta_links_alone_find_every_component(spark):
     import random
 
     from cellweave.llm.components import connected_components
-    from cellweave.llm.delta_links import delta_links
+    from cellweave.llm.delta_links import delta_links, whole_links
 
     rng = random.Random(3)
     sets, rows = {}, []
@@ -115,8 +119,8 @@ def test_delta_links_alone_find_every_component(spark):
                 sets[fam, 1000 * fam + k] = xs
                 rows.append((fam, 7 * k + 1, 1000 * fam + k, 1000 * fam + k, len(xs), list(xs)))
     level = spark.createDataFrame(rows, "fam long, w long, id long, c long, s long, xs array<long>")
-    for percent in (60, 90):
-        links = delta_links(level, percent)
+    for percent, solve in ((60, delta_links), (90, delta_links), (60, lambda x, p: whole_links(x, p, 3)), (90, lambda x, p: whole_links(x, p, 3))):
+        links = solve(level, percent)
         assert all(100 * len(a & b) >= percent * len(a | b) for a, b in ((sets[r.a // 1000, r.a], sets[r.b // 1000, r.b]) for r in links.collect()))
         found = {r.node: r.component for r in connected_components(links).collect()}
         parent = {i: i for _, i in sets}
