@@ -148,3 +148,16 @@ def overlap(texts_a: pa.Array, texts_b: pa.Array, n: int) -> tuple[np.ndarray, n
     both = row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])]
     size = len(texts_a)
     return tuple(np.bincount(x, minlength=size) for x in (a[0], b[0], both))
+
+
+def joined_roots(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Union-find: the roots once u and v are joined. A root hooks onto a smaller one, then paths are halved, until no edge joins two."""
+    while True:
+        a, b = root[u], root[v]
+        live = a != b
+        if not live.any():
+            return root
+        u, v, a, b = u[live], v[live], a[live], b[live]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(shorter := root[root], root):
+            root = shorter

@@ -59,4 +59,34 @@ k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, CAST(round(e.t
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / coalesce(l.w, 0.5), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN l ON l.doc_id = d.doc_id)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(rest - ahead, 0), size) AS BIGINT) AS taken FROM k""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, CASE WHEN bad THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS probe, text,
+    list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS head
+  FROM (SELECT *, xor(list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda c, k: list_reduce(range(0, 8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, CAST(ord(k) AS BIGINT))), 4294967295),
+    4294967295) % 3 = 0 AS bad FROM documents)),
+leaves AS MATERIALIZED (
+  SELECT doc_id, g, leaf, probe, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+  FROM (SELECT doc_id, g, sha256(array_to_string(head, '') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(array_to_string(head, '') || coalesce(octet_length(encode(probe)) || ':' || probe, '-')) AS probe FROM d)),
+low AS (
+  SELECT g, CAST(0 AS BIGINT) AS level, pos, leaf AS h, n FROM leaves
+  UNION ALL SELECT g, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY g, level, pos // 8, n),
+sub AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (
+  SELECT CAST(0 AS BIGINT) AS level, pos, h, n FROM sub
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, pos // 8, n),
+beside AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT g, level, pos, h FROM low WHERE n > 1 UNION ALL SELECT '/', level, pos, h FROM top WHERE n > 1)),
+step AS MATERIALIZED (
+  SELECT doc_id, l, r, row_number() OVER (PARTITION BY doc_id ORDER BY up, level) AS k FROM (
+    SELECT doc_id, 0 AS up, level, l, r FROM leaves JOIN beside ON beside.g = leaves.g AND beside.pos = leaves.pos // CAST(8 ** level AS BIGINT)
+    UNION ALL SELECT doc_id, 1, level, l, r FROM leaves JOIN sub ON sub.g = leaves.g JOIN beside ON beside.g = '/' AND beside.pos = sub.pos // CAST(8 ** level AS BIGINT))),
+fold AS (SELECT doc_id, CAST(1 AS BIGINT) AS k, probe AS h FROM leaves UNION ALL SELECT fold.doc_id, fold.k + 1, sha256(l || h || r) FROM fold JOIN step ON step.doc_id = fold.doc_id AND step.k = fold.k),
+done AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM fold GROUP BY doc_id),
+proof AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY k)) AS p FROM step GROUP BY doc_id)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM leaves JOIN sub ON sub.g = leaves.g CROSS JOIN (SELECT h FROM top WHERE n = 1) AS top JOIN done USING (doc_id) LEFT JOIN proof USING (doc_id)""",
 }

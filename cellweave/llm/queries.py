@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +11,20 @@ from cellweave.llm.decontaminate import contained_items
 from cellweave.llm.gif_media import gif_digests
 from cellweave.llm.jaccard_join import jaccard_components
 from cellweave.llm.language_crf import fit_language, predict_language
+from cellweave.llm.merkle_manifest import merkle_manifest
 from cellweave.llm.mixing import label_weights, mix
 from cellweave.llm.quality import fit_quality, held_out, quality_scores
 from cellweave.llm.secret_scan import scan_secrets
 from cellweave.llm.shared import table
+from cellweave.llm.simhash_ring import simhash_components
 from cellweave.llm.suffix_dedup import suffix_dedup
+from cellweave.llm.token_alignment import align_tokenizers
 from cellweave.llm.token_counts import section_tokens
 from cellweave.llm.warc import convert_pages
 
+#: Where the public vocabularies are on the driver; their bytes go to the tasks.
+TOKENIZERS = Path("/opt/tokenizers")
+
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), keep=False)
@@ -65,6 +73,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels")))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = ((TOKENIZERS / name).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lowered).otherwise(F.col("text"))
+    return merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], key="doc_id", group="lang", probe={"text": tampered})
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +102,8 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_secret_scan,
         op10_source_mixing,
+        op11_cross_tokenizer_alignment,
+        op12_merkle_manifest,
+        op13_simhash_near_dedup,
     )
 }
