@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +11,8 @@ from cellweave.functions.palettes import indexed_color
 from cellweave.functions.text import with_equals
 from cellweave.functions.units import number_prefix, width_px
 from cellweave.operators.relational import styled
-from cellweave.sources.model import by_text, cells
-
-#: Cells that a task hands on at a time.
-ROWS = 20_000
+from cellweave.sources.model import by_text, cells, streamed
+from cellweave.sources.streams import csv_values
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,48 +28,7 @@ def scan_csv(docs: DataFrame, key: str = "doc_id", text: str = "text", delimiter
     delimiter is kept. Carriage returns vanish. A value that still begins and ends with a quote loses that pair,
     unless the text ends there. Null text has no cells, empty text one empty cell. A delimiter of several characters
     parts nothing: cells are compared character by character, so each line is one cell."""
-    if len(delimiter) != 1:
-        delimiter = "\uffff"  # no character of any text
-    d = re.escape(delimiter)
-    cell = re.compile(rf'"[^"]*+(?:""[^"]*+)*+(?:"[^{d}\n]*[{d}\n]|\Z)|[^{d}\n]*[{d}\n]')
-    quoted = re.compile(r'"((?:[^"]|"")*+)')
-    names = ["workbook_id", "row_idx", "col_idx", "v"]
-
-    def values(body: str) -> Iterator[tuple[int, int, str]]:
-        closed, row, col, at = body.endswith("\n"), 0, 0, 0
-        whole = body if closed else body + "\n"
-        for m in cell.finditer(whole):
-            raw, at = m[0], m.end()
-            v = raw[:-1] if raw[-1:] in (delimiter, "\n") else raw
-            if v.startswith('"'):
-                inner = quoted.match(v)[1]
-                v = inner.replace('""', '"') + v[len(inner) + 2 :]
-            if len(v) >= 2 and v[0] == v[-1] == '"' and (closed or at < len(whole)):
-                v = v[1:-1]
-            yield row, col, v
-            row, col = (row + 1, 0) if raw.endswith("\n") else (row, col + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, rows = [], []
-            for i, text in enumerate(b.column(1)):
-                if text.as_py() is None:
-                    continue
-                for one in values(text.as_py().replace("\r", "")):
-                    rows.append(one)
-                    keys.append(i)
-                    if len(rows) == ROWS:
-                        yield batch(b, keys, rows)
-                        keys, rows = [], []
-            if rows:
-                yield batch(b, keys, rows)
-
-    def batch(b: pa.RecordBatch, keys: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), *cols], names)
-
-    kind = docs.schema[key].dataType.simpleString()
-    t = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"workbook_id {kind}, row_idx int, col_idx int, v string")
+    t = streamed(docs, key, text, "row_idx int, col_idx int, v string", lambda body: csv_values(body.replace("\r", ""), delimiter))
     return cells(t.withColumn("sheet_idx", F.lit(0)), kind=by_text(F.col("v")), text=F.col("v"))
 
 

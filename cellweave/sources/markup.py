@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.functions.formulas import r1c1_to_a1
 from cellweave.functions.refs import cell_name
 from cellweave.functions.text import with_equals
 from cellweave.operators.relational import style_dictionary
-from cellweave.sources.model import by_text, cells
+from cellweave.sources.model import by_text, cells, streamed
+from cellweave.sources.streams import spreadsheetml
+from cellweave.sources.xmlstream import fault
 from cellweave.sources.xmltext import bare_xml
 
 _TAGS = "table_idx int, row_idx int, col_idx int, value string, formula string, colspan int, rowspan int, css string, comment string, head_value string, head_formula string"
@@ -45,7 +48,7 @@ class _Tables(HTMLParser):
             elif tag == "tr":
                 t["tr"] += 1
             elif tag in ("td", "th"):
-                span = [int(a.get(k) or 1) if str(a.get(k) or 1).isdigit() else 1 for k in ("colspan", "rowspan")]
+                span = [max(1, int(v)) if (v := a.get(k) or "1").isascii() and v.isdigit() else 1 for k in ("colspan", "rowspan")]
                 t["cell"] = [t["i"], t["s"], t["part"], max(t["tr"], 0), int(tag == "td"), t["pos"], "", a.get("data-formula"), *span, a.get("style"), a.get("title")]
                 t["pos"] += 1
                 self.out.append(t["cell"])
@@ -66,21 +69,75 @@ class _Tables(HTMLParser):
                 t["cell"][6] += data
 
 
+class Skyline:
+    """Down to which row each column is taken by spans from above: disjoint intervals of columns, in order, each with its first free row.
+
+    An interval stands for all its columns, so that a span costs what it borders on, not the slots it covers."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, int]] = []  # first column, column after the last, first free row
+
+    def free(self, row: int, col: int) -> int:
+        """The first column from this one on that is free in a row."""
+        k = max(bisect_right(self.starts, col) - 1, 0)
+        while k < len(self.spans) and self.spans[k][0] <= col:
+            _, end, until = self.spans[k]
+            if col < end and until > row:
+                col = end
+            k += 1
+        return col
+
+    def raise_to(self, start: int, end: int, until: int, row: int) -> None:
+        """Take the columns from start up to end until a row; where they are taken for longer that stays. Spans over before this row go."""
+        a = max(bisect_right(self.starts, start) - 1, 0)
+        z = bisect_left(self.starts, end)
+        laid, at = [], start
+        for lo, hi, old in self.spans[a:z]:
+            if hi <= start:
+                if old > row:
+                    laid.append((lo, hi, old))
+                continue
+            if lo < start:
+                laid.append((lo, start, old))
+            if lo > at:
+                laid.append((at, lo, until))
+            laid.append((max(lo, start), min(hi, end), max(old, until)))
+            if hi > end:
+                laid.append((end, hi, old))
+            at = min(hi, end)
+        if at < end:
+            laid.append((at, end, until))
+        self.spans[a:z] = laid
+        self.starts[a:z] = [x[0] for x in laid]
+
+
 def _placed(cells: list[list]) -> Iterator[tuple[list, int, int]]:
-    """Each cell of a table with its row and column: past slots that spans of earlier cells take; a row's th stand before its td."""
+    """Each cell of a table with its row and column: past slots that spans of earlier rows take; a row's th stand before its td."""
     at = {key: i for i, key in enumerate(sorted({(c[1], c[3]) for c in cells}))}
-    taken, row, col = set(), -1, 0
+    above, row, col = Skyline(), -1, 0
     for c in sorted(cells, key=lambda c: (c[1], c[3], c[4], c[5])):
         if at[c[1], c[3]] != row:
             row, col = at[c[1], c[3]], 0
-        while (row, col) in taken:
-            col += 1
-        # slots of later rows only; no table is wider than 1,000 slots a span
-        taken.update((row + i, col + j) for i in range(1, min(c[9], len(at) - row)) for j in range(min(c[8], 1000)))
+        col = above.free(row, col)
         yield c, row, col
+        if c[9] > 1:
+            above.raise_to(col, col + c[8], row + c[9], row)
         col += c[8]
 
 
+def laid_out(text: str | None) -> Iterator[tuple[int, list[tuple[list, int, int]]]]:
+    """(table, its cells in their places) of each table of a document: the head, the first body and the foot."""
+    reader = _Tables()
+    reader.feed(text or "")
+    tables: dict[int, list] = {}
+    for c in reader.out:
+        if c[2] == 0:
+            tables.setdefault(c[0], []).append(c)
+    for table, cells in tables.items():
+        yield table, list(_placed(cells))
+
+
 def html_cells(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
     """(workbook_id, table_idx, row_idx, col_idx, ...) of every cell in its place, with the value and formula of the first row's cell there.
 
@@ -92,14 +149,7 @@ def html_cells(docs: DataFrame, key: str = "doc_id", html: str = "html") -> Data
         for b in batches:
             rows = []
             for k, text in zip(b["k"], b["h"], strict=True):
-                reader = _Tables()
-                reader.feed(text or "")
-                tables: dict[int, list] = {}
-                for c in reader.out:
-                    if c[2] == 0:
-                        tables.setdefault(c[0], []).append(c)
-                for cells in tables.values():
-                    placed = list(_placed(cells))
+                for _, placed in laid_out(text):
                     head = {col: (c[6], c[7]) for c, row, col in placed if row == 0}
                     rows += [(k, c[0], row, col, *c[6:], *head.get(col, (None, None))) for c, row, col in placed]
             yield pd.DataFrame(rows, columns=["workbook_id", *(c.split()[0] for c in _TAGS.split(", "))])
@@ -135,6 +185,14 @@ def merges(t: DataFrame) -> DataFrame:
     return t.where("colspan > 1 or rowspan > 1").select("workbook_id", "sheet_idx", cell_name("col_idx", "row_idx").alias("address"), "row_idx", "col_idx", "colspan", "rowspan")
 
 
+def spanned_slots(t: DataFrame) -> DataFrame:
+    """(workbook_id, sheet_idx, row_idx, col_idx, of_row, of_col): the slots that spans cover beside their own cell, also below the last row."""
+    m = t.where("colspan > 1 or rowspan > 1").select("workbook_id", "sheet_idx", F.col("row_idx").alias("of_row"), F.col("col_idx").alias("of_col"), "colspan", "rowspan")
+    m = m.withColumn("row_idx", F.explode(F.sequence("of_row", F.col("of_row") + F.col("rowspan") - 1)))
+    m = m.withColumn("col_idx", F.explode(F.sequence("of_col", F.col("of_col") + F.col("colspan") - 1)))
+    return m.where("row_idx > of_row or col_idx > of_col").select("workbook_id", "sheet_idx", "row_idx", "col_idx", "of_row", "of_col")
+
+
 _CELL = "struct<_Index:int,_Formula:string,_MergeAcross:int,_MergeDown:int,_StyleID:string,_HRef:string,Data:struct<_Type:string,_VALUE:string>,Comment:struct<_Author:string,Data:string>>"
 _TABLE = f"struct<_DefaultColumnWidth:double,_DefaultRowHeight:double,Column:array<struct<_Index:int,_Width:double,_Span:int,_Hidden:string>>,Row:array<struct<_Index:int,_Height:double,_Hidden:string,Cell:array<{_CELL}>>>>"
 _OPTIONS = "struct<FreezePanes:string,SplitHorizontal:int,SplitVertical:int,DoNotDisplayGridlines:string,Visible:string,ProtectObjects:string,ProtectScenarios:string,EnableSelection:string>"
@@ -159,21 +217,23 @@ def _placed_by_index(df: DataFrame, keys: list[str], order: str, index: str, out
     return df.withColumn(out, (F.coalesce(F.first(index, True).over(group.rowsBetween(W.unboundedPreceding, 0)), F.lit(1)) - 1 + gone).cast("int")).drop("_step")
 
 
+_STORED = "sheet_idx int, row_idx int, col_idx int, v_type string, v_str string, v_num double, v_bool boolean, formula string, style_id string, colspan int, rowspan int, comment string"
+
+
 def scan_xml2003(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """Cells of SpreadsheetML 2003, with style_id, colspan, rowspan and comment. Index attributes jump ahead."""
-    sheets = xml_books(docs, key, xml).select("workbook_id", F.posexplode("b.Worksheet").alias("sheet_idx", "w"))
-    rows = sheets.select("workbook_id", "sheet_idx", F.posexplode("w.Table.Row").alias("r", "row"))
-    rows = _placed_by_index(rows.withColumn("i", F.col("row._Index")), ["workbook_id", "sheet_idx"], "r", "i", "row_idx")
-    c = rows.select("workbook_id", "sheet_idx", "row_idx", F.posexplode("row.Cell").alias("c", "cell"))
-    c = c.withColumn("i", F.col("cell._Index")).withColumn("across", F.coalesce("cell._MergeAcross", F.lit(0)) + 1)
-    c = _placed_by_index(c, ["workbook_id", "sheet_idx", "row_idx"], "c", "i", "col_idx", "across")
-    raw, kind = F.col("cell.Data._VALUE"), F.col("cell.Data._Type")
-    num = F.when(kind == "Number", raw.try_cast("double"))
-    flag = F.when(kind == "Boolean", F.lower(raw).isin("1", "true"))
-    f = with_equals(r1c1_to_a1("cell._Formula", "row_idx", "col_idx"))
-    v_type = F.when(f.isNotNull(), "formula").when(num.isNotNull(), "number").when(flag.isNotNull(), "boolean").when(kind == "Error", "error").otherwise(by_text(raw))
-    extra = [F.col("cell._StyleID").alias("style_id"), F.col("across").alias("colspan"), (F.coalesce("cell._MergeDown", F.lit(0)) + 1).alias("rowspan"), F.col("cell.Comment.Data").alias("comment")]
-    return cells(c, *extra, kind=v_type, text=F.when(num.isNull() & flag.isNull(), raw), num=num, flag=flag, formula=f)
+    """Cells of SpreadsheetML 2003, with style_id, colspan, rowspan and comment. Index attributes jump ahead.
+
+    One pass over the text, a row in memory at a time. Text that isn't well formed has no cells."""
+
+    def cells_of(text: str) -> Iterator[tuple]:
+        if fault(io.BytesIO(text.encode("utf-8", "replace")), encoding="utf-8"):
+            return
+        for c, cell in spreadsheetml(text):
+            note = c.first("Comment")
+            data = note.first("Data") if note is not None else None
+            yield *cell, c.attrib.get("StyleID"), (c.number("MergeAcross") or 0) + 1, (c.number("MergeDown") or 0) + 1, data.text() if data is not None else None
+
+    return streamed(docs, key, xml, _STORED, cells_of)
 
 
 def xml_worksheets(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:

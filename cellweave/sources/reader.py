@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import re
 import struct
-import zipfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +15,7 @@ from pyspark.sql.types import StringType
 from cellweave.operators.relational import grid
 from cellweave.sources import binary, delimited, markup, zipped
 from cellweave.sources.encodings import decoded_as, dif_encoding_of, encoding_of
+from cellweave.sources.streams import archive_damage
 
 #: Scan of each extension; text formats get a decoded column, others bytes.
 TEXT = {"csv", "tsv", "tab", "txt", "dif", "slk", "sylk", "xml", "html", "htm"}
@@ -52,16 +51,12 @@ def path_extension(path: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def damage(ext: pd.Series, content: pd.Series) -> pd.Series:
-    """What keeps a binary file from being scanned, or null: no archive, no compound file, no such workbook, a wrong start."""
+    """What keeps a binary file from being scanned, or null: no archive or a damaged part, no compound file, no such workbook, a wrong start."""
 
     def one(kind: str, data: bytes | None) -> str | None:
         data = bytes(data or b"")
         if kind in ("xlsx", "ods"):
-            try:
-                names = set(zipfile.ZipFile(io.BytesIO(data)).namelist())
-            except (zipfile.BadZipFile, ValueError):
-                return "Not a zip archive"
-            return None if ("xl/workbook.xml" if kind == "xlsx" else "content.xml") in names else "No workbook in the archive"
+            return archive_damage(data, kind)
         if kind == "xls":
             try:
                 return None if binary.stream(data, ("Workbook", "Book")) else "No workbook stream"
@@ -89,7 +84,8 @@ def scan_files(files: DataFrame, exts: set[str], encoding: str | None = "UTF-8",
                 text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
             out.append(scan_text(some.select("doc_id", text.alias("text")), ext, "doc_id", **options))
         else:
-            whole = some.where(damage("ext", "content").isNull())
+            # archives are looked through by their scans
+            whole = some if ext in ("xlsx", "ods") else some.where(damage("ext", "content").isNull())
             out.append(BINARY[ext](whole, "doc_id", "content"))
     cells = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
     return cells if worksheet_index is None else cells.where(F.col("sheet_idx") == worksheet_index)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from cellweave.functions.refs import range_coords
 from cellweave.functions.text import clean_formula, with_equals
 from cellweave.functions.units import length_px, width_px
-from cellweave.sources.model import by_text, cells
+from cellweave.sources.model import by_text, cells, streamed
+from cellweave.sources.streams import archive_damage, ods_cells, xlsx_parts_of, xlsx_stored, xlsx_strings_of
 from cellweave.sources.xmltext import bare_names
 
 # Built-in number formats.
@@ -32,10 +32,6 @@ OPERATORS = {"between": "between", "notBetween": "not between", "equal": "=", "n
 BORDERS = {"thin": "1px solid", "medium": "2px solid", "thick": "3px solid", "dotted": "1px dotted", "dashed": "1px dashed", "double": "3px double", "mediumDashed": "2px dashed"}
 
 
-#: Cells that a task hands on at a time.
-ROWS = 20_000
-
-
 def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for p in values.items() for x in p))
 
@@ -121,84 +117,20 @@ def xlsx_sheets(docs: DataFrame, key: str = "doc_id", content: str = "content")
 _RAW = "sheet_idx int, row_idx int, col_idx int, xf int, t string, v string, f string, text string"
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-def _items(node: ElementTree.Element, name: str) -> Iterator[ElementTree.Element]:
-    return (x for x in node if _local(x.tag) == name)
-
-
-def _string(item: ElementTree.Element) -> str:
-    """Text of a string item: its own or that of its runs; phonetic hints are no part of it."""
-    own = next(_items(item, "t"), None)
-    return own.text or "" if own is not None else "".join(t.text or "" for r in _items(item, "r") for t in _items(r, "t"))
-
-
-def _elements(z: zipfile.ZipFile, part: str, name: str) -> Iterator[ElementTree.Element]:
-    """Elements of a name, one after another; what is done with is freed. A part that is not there has none."""
-    if part not in z.namelist():
-        return
-    with z.open(part) as f:
-        held = []
-        for event, node in ElementTree.iterparse(f, ("start", "end")):
-            if event == "start":
-                held.append(node)
-                continue
-            held.pop()
-            if _local(node.tag) == name:
-                yield node
-                if held:
-                    held[-1].remove(node)
-
-
-def _sheet_parts(z: zipfile.ZipFile) -> list[str]:
-    """Parts of the sheets in stored order, by their relationships or else by their position."""
-    to = {r.get("Id"): r.get("Target") or "" for r in _elements(z, "xl/_rels/workbook.xml.rels", "Relationship")}
-    out = []
-    for i, s in enumerate(_elements(z, "xl/workbook.xml", "sheet")):
-        rid = next((v for k, v in s.attrib.items() if _local(k) == "id"), None)
-        target = to.get(rid, f"worksheets/sheet{i + 1}.xml")
-        out.append(target[1:] if target.startswith("/") else "xl/" + target)
-    return out
-
-
 def xlsx_raw_cells(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, row_idx, col_idx, xf, t, v, f, text): cells as stored, with the text of their string.
 
-    Each archive is read once: its strings, then its sheets row by row. What can't be read ends the archive's cells."""
-    kind = docs.schema[key].dataType.simpleString()
+    Each archive is first gone through without keeping anything; a damaged one has no cells, and reader.file_errors says why. Then its
+    strings and its sheets are read row by row."""
 
-    def cells_of(z: zipfile.ZipFile) -> Iterator[tuple]:
-        strings = [_string(si) for si in _elements(z, "xl/sharedStrings.xml", "si")]
-        for sheet, part in enumerate(_sheet_parts(z)):
-            for p, row in enumerate(_elements(z, part, "row")):
-                y = int(row.get("r") or p + 1) - 1
-                for q, c in enumerate(_items(row, "c")):
-                    ref = re.match("[A-Z]+", c.get("r") or "")
-                    x = reduce(lambda n, a: 26 * n + ord(a) - 64, ref[0], 0) - 1 if ref else q
-                    t, v, f, inline = c.get("t") or "n", *(next(_items(c, n), None) for n in ("v", "f", "is"))
-                    raw = None if v is None else v.text
-                    text = strings[int(raw)] if t == "s" and raw and raw.isdigit() and int(raw) < len(strings) else _string(inline) if inline is not None else None
-                    yield sheet, y, x, int(c.get("s") or 0), t, raw, None if f is None else f.text, text
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["workbook_id", *(c.split()[0] for c in _RAW.split(", "))]
-        for b in batches:
-            out = []
-            for k, data in zip(b["k"], b["c"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-                        for one in cells_of(z):
-                            out.append((k, *one))
-                            if len(out) == ROWS:
-                                yield pd.DataFrame(out, columns=names)
-                                out = []
-                except (zipfile.BadZipFile, ElementTree.ParseError, ValueError):
-                    pass
-            yield pd.DataFrame(out, columns=names)
+    def cells_of(data: bytes) -> Iterator[tuple]:
+        if archive_damage(data, "xlsx") is None:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                strings = xlsx_strings_of(z)
+                for sheet, part in enumerate(xlsx_parts_of(z)):
+                    yield from xlsx_stored(z, sheet, part, strings)
 
-    return docs.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"workbook_id {kind}, {_RAW}")
+    return streamed(docs, key, content, _RAW, cells_of)
 
 
 def scan_xlsx(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
@@ -276,47 +208,25 @@ def ods_tables(docs: DataFrame, key: str = "doc_id", content: str = "content") -
     return p.select("workbook_id", F.posexplode("x.body.spreadsheet.table").alias("sheet_idx", "t"))
 
 
-def ods_formula(f: Column) -> Column:
-    """Formula without its prefix; references lose brackets and dots, semicolons outside strings become commas."""
-    bare = F.regexp_replace(f, r"^(of|oooc|msoxl):", "")
-    bare = F.regexp_replace(bare, r"\[\$?('[^']*'|[^\[\].:]+)\.([^\[\]:.]+):(?:\$?(?:'[^']*'|[^\[\].:]+))?\.([^\[\]]+)\]", r"$1!$2:$3")
-    bare = F.regexp_replace(bare, r"\[\$?('[^']*'|[^\[\].:]+)\.([^\[\]:.]+)\]", r"$1!$2")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\[\.([^\[\]:]+):\.([^\[\]]+)\]", r"$1:$2"), r"\[\.([^\[\]]+)\]", r"$1")
-    pieces = F.split(bare, '"')
-    outside = F.transform(pieces, lambda s, i: F.when(i % 2 == 0, F.replace(s, F.lit(";"), F.lit(","))).otherwise(s))
-    return with_equals(F.array_join(outside, '"'))
+_STORED = "sheet_idx int, row_idx int, col_idx int, v_type string, v_str string, v_num double, v_bool boolean, formula string, colspan int, rowspan int, style_name string, url string, comment string"
 
 
 def scan_ods(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """Cells of OpenDocument sheets, with colspan, rowspan, style_name, url and comment.
 
     Repeats move places on whatever their number, but only cells with content are given; a row or cell that repeats
-    with content is given as often as stored."""
-    tables = ods_tables(docs, key, content)
-    rows = tables.select("workbook_id", "sheet_idx", F.posexplode("t.table-row").alias("r", "row")).withColumn("times", F.coalesce(F.col("row.`_number-rows-repeated`"), F.lit(1)))
-    before = W.partitionBy("workbook_id", "sheet_idx").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("first_row", F.coalesce(F.sum("times").over(before), F.lit(0)).cast("int"))
-    c = rows.select("workbook_id", "sheet_idx", "first_row", "times", "r", F.posexplode("row.table-cell").alias("k", "c")).withColumn("wide", F.coalesce(F.col("c.`_number-columns-repeated`"), F.lit(1)))
-    left = W.partitionBy("workbook_id", "sheet_idx", "r").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    c = c.withColumn("first_col", F.coalesce(F.sum("wide").over(left), F.lit(0)).cast("int"))
-    paragraphs = F.transform("c.p", lambda p: F.concat(F.coalesce(p["_VALUE"], F.lit("")), F.coalesce(p["a"]["_VALUE"], F.lit("")), F.array_join(F.transform(F.coalesce(p["span"], F.array()), lambda s: F.coalesce(s["_VALUE"], F.lit(""))), "")))
-    text, kind = F.array_join(paragraphs, "\n"), F.col("c.`_value-type`")
-    c = c.withColumn("text", text).withColumn("kind", kind).where("kind is not null or text <> '' or c._formula is not null or c.annotation is not null or c.`_number-columns-spanned` > 1 or c.`_number-rows-spanned` > 1")
-    # plain columns first: what the laid-out copies need of the cell
-    c = c.select(
-        "workbook_id", "sheet_idx", "first_row", "first_col", "times", "wide", "text", "kind", F.col("c._value").alias("num"), F.col("c.`_boolean-value`").alias("flag"),
-        F.col("c.`_date-value`").alias("date"), F.col("c.`_time-value`").alias("time"), ods_formula(F.col("c._formula")).alias("f"), F.col("c.`_style-name`").alias("style_name"),
-        F.coalesce("c.`_number-columns-spanned`", F.lit(1)).alias("colspan"), F.coalesce("c.`_number-rows-spanned`", F.lit(1)).alias("rowspan"),
-        F.get("c.p", F.lit(0))["a"]["_href"].alias("url"), F.array_join("c.annotation.p", "\n").alias("comment"),
-    )
-    c = c.withColumn("row_idx", F.explode(F.sequence(F.col("first_row"), F.col("first_row") + F.col("times") - 1)))
-    c = c.withColumn("col_idx", F.explode(F.sequence(F.col("first_col"), F.col("first_col") + F.col("wide") - 1)))
-    num = F.when(F.col("kind").isin("float", "percentage", "currency"), F.col("num"))
-    flag = F.when(F.col("kind") == "boolean", F.col("flag") == "true")
-    string = F.when(F.col("kind") == "date", F.col("date")).when(F.col("kind") == "time", F.col("time")).when(num.isNull() & flag.isNull(), F.col("text"))
-    f = F.when((F.col("col_idx") == F.col("first_col")) & (F.col("row_idx") == F.col("first_row")), F.col("f"))
-    v_type = F.when(f.isNotNull(), "formula").when(num.isNotNull(), "number").when(flag.isNotNull(), "boolean").otherwise(by_text(string))
-    return cells(c, "colspan", "rowspan", "style_name", "url", "comment", kind=v_type, text=string, num=num, flag=flag, formula=f)
+    with content is given as often as stored. One pass, a row in memory at a time; a damaged archive has no cells."""
+
+    def cells_of(data: bytes) -> Iterator[tuple]:
+        if archive_damage(data, "ods") is None:
+            with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("content.xml") as f:
+                for c, cell in ods_cells(f):
+                    link = next((a.attrib.get("href") for p in itertools.islice(c.all("p"), 1) for a in p.all("a")), None)
+                    note = c.first("annotation")
+                    comment = "\n".join(p.text() for p in note.all("p")) if note is not None else None
+                    yield *cell, c.number("number-columns-spanned") or 1, c.number("number-rows-spanned") or 1, c.attrib.get("style-name"), link, comment
+
+    return streamed(docs, key, content, _STORED, cells_of)
 
 
 def ods_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
