@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,13 +78,38 @@ def styled(cells: DataFrame, css: str = "css") -> tuple[DataFrame, DataFrame]:
     return style_dictionary(bare.withColumn(css, F.nullif(css, F.lit(""))), css)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], rank: str, bin_rows: int = 64) -> DataFrame:
+def dyadic_blocks(lo: Column, hi: Column, levels: int) -> Column:
+    """array<struct<level, block>>: the fewest aligned blocks of 2**level rows that make up the rows from lo to hi; at most two a level.
+
+    From both ends inwards: a block that has no sibling within the range is taken, and the rest goes on to blocks of twice the size.
+    Blocks of the highest level are taken one by one."""
+    start = F.struct(lo.cast("long").alias("a"), hi.cast("long").alias("z"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def take(when: Column, level: Column, block: Column) -> Column:
+        return F.when(when, F.array(F.struct(level.cast("int").alias("level"), block.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+
+    def step(acc: Column, level: Column) -> Column:
+        a, z = acc["a"], acc["z"]
+        left, right = (a <= z) & (a % 2 == 1), (z > a) & (z % 2 == 0) | (z == a) & (a % 2 == 0)
+        top = F.when(a <= z, F.transform(F.sequence(a, z), lambda b: F.struct(level.cast("int").alias("level"), b.alias("block"))))
+        here = F.when(level == levels, F.coalesce(top, F.array().cast("array<struct<level:int,block:bigint>>"))).otherwise(F.concat(take(left, level, a), take(right, level, z)))
+        up = F.when(left, a + 1).otherwise(a), F.when(right, z - 1).otherwise(z)
+        return F.struct(F.shiftright(up[0], 1).alias("a"), F.when(up[0] > up[1], F.lit(-1).cast("long")).otherwise(F.shiftright(up[1], 1)).alias("z"), F.concat(acc["out"], here).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], rank: str, levels: int = 24) -> DataFrame:
     """points with rank of the first range (r1..r2, c1..c2; smallest rank) that holds them, or null.
 
-    Ranges are laid out over bins of rows, so the join is one of equal keys; between only checks within a bin."""
-    r = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("r1") / bin_rows), F.floor(F.col("r2") / bin_rows))))
-    p = points.withColumn("_bin", F.floor(F.col("row_idx") / bin_rows))
-    hit = p.join(r.select(*keys, "_bin", "r1", "r2", "c1", "c2", rank), [*keys, "_bin"]).where("row_idx between r1 and r2 and col_idx between c1 and c2")
+    A range is laid out as its dyadic blocks of rows, at most two a level whatever its height; a cell looks into the blocks that hold its
+    row, one a level, of the levels at which ranges of its key have any. So the join is one of equal keys, a range over whole columns
+    costs as many rows as a low one, and between only checks columns: a block lies wholly in its range."""
+    r = ranges.withColumn("_b", F.explode(dyadic_blocks(F.col("r1"), F.col("r2"), levels))).select(*keys, "_b.level", "_b.block", "c1", "c2", rank)
+    used = r.groupBy(*keys).agg(F.array_sort(F.collect_set("level")).alias("_levels"))
+    p = points.select(*keys, "row_idx", "col_idx").distinct().join(used, keys)
+    p = p.withColumn("level", F.explode("_levels")).withColumn("block", F.expr("shiftright(cast(row_idx as bigint), level)"))
+    hit = p.join(r, [*keys, "level", "block"]).where("col_idx between c1 and c2")
     first = hit.groupBy(*keys, "row_idx", "col_idx").agg(F.min(rank).alias(rank))
     return points.join(first, [*keys, "row_idx", "col_idx"], "left")
 
@@ -128,10 +156,63 @@ def default_columns(cells: DataFrame, columns: DataFrame, width: float = 100.0)
     return out.select(*SHEET, "col_idx", column_name("col_idx").alias("title"), F.coalesce("width_px", F.lit(width)).alias("width_px"))
 
 
-def sticky(df: DataFrame, keys: list[str], order: str, *names: str) -> DataFrame:
-    """Each named column's last non-null value so far within its group."""
-    over = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.select(*(F.last(c, True).over(over).alias(c) if c in names else F.col(c) for c in df.columns))
+#: Rows of a segment of a mergeable scan.
+SEGMENT = 1 << 14
+
+
+def before_segments(df: DataFrame, keys: list[str], sums: dict[str, Column], merge: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """df (with _seg, a segment's number in its group) and _before: the merged sums of all earlier segments of its group, null in the first.
+
+    Each segment is summed up by itself; a group's sums, one a segment, are merged in order. merge gives the sums of an earlier and a later
+    part as those of both."""
+    each = df.groupBy(*keys, "_seg").agg(*(c.alias(n) for n, c in sums.items()))
+    kind = "struct<" + ",".join(f"{n}:{t}" for n, t in each.dtypes if n in sums) + ">"
+    rows = F.array_sort(F.collect_list(F.struct("_seg", F.struct(*sums).alias("s"))))
+    zero = F.struct(F.lit(None).cast(kind).alias("s"), F.array().cast(f"array<struct<_seg:bigint,s:{kind}>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        both = F.when(acc["s"].isNull(), x["s"]).otherwise(F.struct(*(c.alias(n) for n, c in merge(acc["s"], x["s"]).items())).cast(kind))
+        return F.struct(both.alias("s"), F.concat(acc["out"], F.array(F.struct(x["_seg"].alias("_seg"), acc["s"].alias("s")))).alias("out"))
+
+    b = each.groupBy(*keys).agg(rows.alias("_rows")).withColumn("_x", F.explode(F.aggregate("_rows", zero, step, lambda acc: acc["out"])))
+    b = b.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_x._seg").alias("_kseg"), F.col("_x.s").alias("_before"))
+    same = reduce(lambda x, y: x & y, (df[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)), df["_seg"] == b["_kseg"])
+    return df.join(b, same).select(*df.columns, "_before")
+
+
+def sticky(df: DataFrame, keys: list[str], order: str, *names: str, segment: int | Column = SEGMENT) -> DataFrame:
+    """Each named column's last non-null value so far within its group.
+
+    A group is cut into segments of its order, so that its rows are sorted by many tasks; see before_segments. segment: how many of an
+    order of whole numbers make one; for other orders a whole number that never falls along the order."""
+    t = df.withColumn("_seg", F.floor(F.col(order) / segment) if isinstance(segment, int) else segment.cast("long"))
+    sums = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) for c in names}
+    t = before_segments(t, keys, sums, lambda a, x: {c: F.coalesce(x[c], a[c]) for c in names})
+    over = W.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return t.select(*(F.coalesce(F.last(c, True).over(over), F.col(f"_before.{c}")).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+def cursor(df: DataFrame, keys: list[str], order: str, x: str, y: str, moves: str, segment: int = SEGMENT) -> DataFrame:
+    """df with row_idx and col_idx (from 0) of a cursor that stays: y is the last y so far; x the last x so far, and one more for each row
+    since then whose moves is true. x and y count from 1, and are 1 before any.
+
+    Mergeable: a segment is summed up as its last x, its last y, and its moving rows from that x on, or all without one."""
+    t = df.withColumn("_seg", F.floor(F.col(order) / segment)).withColumn("_m", F.col(moves).cast("long"))
+    own = W.partitionBy(*keys, "_seg").orderBy(order)
+    t = t.withColumn("_moved", F.coalesce(F.sum("_m").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    has_x = F.when(F.col(x).isNotNull(), F.col(order))
+    sums = {"x": F.max_by(x, has_x), "y": F.max_by(y, F.when(F.col(y).isNotNull(), F.col(order))), "since": F.coalesce(F.sum("_m"), F.lit(0)) - F.coalesce(F.max_by("_moved", has_x), F.lit(0))}
+
+    def merge(a: Column, b: Column) -> dict[str, Column]:
+        return {"x": F.coalesce(b["x"], a["x"]), "y": F.coalesce(b["y"], a["y"]), "since": b["since"] + F.when(b["x"].isNull(), a["since"]).otherwise(0)}
+
+    t = before_segments(t, keys, sums, merge)
+    upto = own.rowsBetween(W.unboundedPreceding, 0)
+    at = F.last(F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col("_moved").alias("moved"))), True).over(upto)
+    t = t.withColumn("_at", at).withColumn("_y", F.coalesce(F.last(y, True).over(upto), F.col("_before.y"), F.lit(1)))
+    here = F.col("_at.x") + F.col("_moved") - F.col("_at.moved")
+    earlier = F.coalesce("_before.x", F.lit(1)) + F.coalesce("_before.since", F.lit(0)) + F.col("_moved")
+    return t.select(*df.columns, (F.col("_y") - 1).cast("int").alias("row_idx"), (F.coalesce(here, earlier) - 1).cast("int").alias("col_idx"))
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: str, *take: str) -> DataFrame:

@@ -386,7 +386,7 @@ def r17_default_columns(spark, sf_dir):
 @query("SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind FROM events")
 def r18_sticky_cursor(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("kind"))
-    return R.sticky(e, ["user_id"], "at", "kind").select("event_id", "kind")
+    return R.sticky(e, ["user_id"], "at", "kind", segment=F.floor(F.unix_seconds("at.ts") / 86400)).select("event_id", "kind")
 
 
 # relational work on scanned data is ordinary Spark

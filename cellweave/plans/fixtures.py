@@ -87,24 +87,68 @@ def _lotus(rows: list) -> bytes:
     return out + record(1, b"")
 
 
-def compound(name: str, data: bytes) -> bytes:
-    """A compound file with one stream, of at least the size that is kept in whole sectors."""
-    data = data.ljust(4096, b"\0")
-    n = -(-len(data) // 512)
-    n_fat = 1
-    while n_fat * 128 < n_fat + 1 + n:
+def compound_tree(tree: dict[str, bytes]) -> bytes:
+    """A compound file of streams by path: small ones in the root's own stream, siblings as a balanced tree in the order of their names."""
+    size, mini, cutoff, end, free = 512, 64, 4096, 0xFFFFFFFE, 0xFFFFFFFF
+    nodes: list[dict] = [{"name": "Root Entry", "kind": 5, "data": b"", "children": {}}]
+
+    def child(at: int, name: str, kind: int, data: bytes = b"") -> int:
+        if name not in nodes[at]["children"]:
+            nodes[at]["children"][name] = len(nodes)
+            nodes.append({"name": name, "kind": kind, "data": data, "children": {}})
+        return nodes[at]["children"][name]
+
+    for path, data in tree.items():
+        at, *names = 0, *path.split("/")
+        for name in names[:-1]:
+            at = child(at, name, 1)
+        child(at, names[-1], 2, data)
+
+    def balanced(ids: list[int]) -> int:
+        if not ids:
+            return free
+        m = len(ids) // 2
+        nodes[ids[m]]["left"], nodes[ids[m]]["right"] = balanced(ids[:m]), balanced(ids[m + 1 :])
+        return ids[m]
+
+    for n in nodes:
+        n["child"] = balanced(sorted(n["children"].values(), key=lambda i: (len(nodes[i]["name"]), nodes[i]["name"].upper())))
+    small, small_fat = b"", []
+    for n in nodes:
+        if n["kind"] == 2 and 0 < len(n["data"]) < cutoff:
+            count, n["start"] = -(-len(n["data"]) // mini), len(small_fat)
+            small_fat += [*range(n["start"] + 1, n["start"] + count), end]
+            small += n["data"].ljust(count * mini, b"\0")
+    directory = -(-len(nodes) // 4)
+    small_table = struct.pack(f"<{len(small_fat)}I", *small_fat)
+    bodies = [(None, bytes(directory * size)), ("small", small_table), ("store", small), *((n, n["data"]) for n in nodes if n["kind"] == 2 and len(n["data"]) >= cutoff)]
+    chains = [-(-len(data) // size) for _, data in bodies]
+    n_fat = n_more = 0
+    while n_fat * 128 < sum(chains) + n_fat + n_more:
         n_fat += 1
-    fat = [0xFFFFFFFD] * n_fat + [0xFFFFFFFE] + [n_fat + 2 + i for i in range(n - 1)] + [0xFFFFFFFE]
-    fat += [0xFFFFFFFF] * (n_fat * 128 - len(fat))
+        n_more = -(-max(0, n_fat - 109) // 127)
+    first, fat, starts = n_fat + n_more, [0xFFFFFFFD] * n_fat + [0xFFFFFFFC] * n_more, {}
+    for (who, _), count in zip(bodies, chains, strict=True):
+        starts[who if isinstance(who, str) else id(who)] = len(fat) if count else end
+        fat += [*range(len(fat) + 1, len(fat) + count), end] if count else []
+    fat += [free] * (n_fat * 128 - len(fat))
+
+    def entry(n: dict) -> bytes:
+        raw = n["name"].encode("utf-16-le")
+        start, length = (starts["store"], len(small)) if n["kind"] == 5 else (starts.get(id(n), n.get("start", end)), len(n["data"]))
+        return raw.ljust(64, b"\0") + struct.pack("<HBBIII36xIII", len(raw) + 2, n["kind"], 1, n.get("left", free), n.get("right", free), n["child"], start, length, 0)
+
+    bodies[0] = (None, b"".join(map(entry, nodes)).ljust(directory * size, b"\0"))
+    lists = [list(range(n_fat))[109 + 127 * k : 109 + 127 * (k + 1)] for k in range(n_more)]
+    more = b"".join(struct.pack("<128I", *(x + [free] * 127)[:127], n_fat + k + 1 if k + 1 < n_more else end) for k, x in enumerate(lists))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH6xIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, n_fat, first, 0, cutoff, starts["small"], chains[1], n_fat if n_more else end, n_more)
+    heads = struct.pack("<109I", *(list(range(min(n_fat, 109))) + [free] * 109)[:109])
+    return head + heads + struct.pack(f"<{len(fat)}I", *fat) + more + b"".join(data.ljust(count * size, b"\0") for (_, data), count in zip(bodies, chains, strict=True))
 
-    def entry(title: str, kind: int, child: int, start: int, size: int) -> bytes:
-        raw = title.encode("utf-16-le")
-        return raw.ljust(64, b"\0") + struct.pack("<HBBIII36xIII", len(raw) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child, start, size, 0)
 
-    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH6xIIIIIIIII", 0x3E, 3, 0xFFFE, 9, 6, 0, n_fat, n_fat, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
-    heads = (list(range(n_fat)) + [0xFFFFFFFF] * 109)[:109]
-    directory = entry("Root Entry", 5, 1, 0xFFFFFFFE, 0) + entry(name, 2, 0xFFFFFFFF, n_fat + 1, len(data)) + bytes(256)
-    return head.ljust(76, b"\0") + struct.pack("<109I", *heads) + struct.pack(f"<{len(fat)}I", *fat) + directory + data.ljust(n * 512, b"\0")
+def compound(name: str, data: bytes) -> bytes:
+    """A compound file with one stream, of at least the size that is kept in whole sectors."""
+    return compound_tree({name: data.ljust(4096, b"\0")})
 
 
 def _xls(rows: list) -> bytes:

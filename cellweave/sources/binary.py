@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import struct
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql.types import BinaryType
 from cellweave.functions.formulas import ERRORS, f64_le, ptg_decode
 from cellweave.functions.text import with_equals
 from cellweave.operators.relational import range_join
+from cellweave.sources.compound import MARK, Compound
 from cellweave.sources.model import cells
 
 # Label marks and what they mean for alignment.
@@ -192,47 +194,25 @@ def lotus_columns(docs: DataFrame, key: str = "doc_id", content: str = "content"
 
 def stream(data: bytes, names: tuple[str, ...]) -> bytes | None:
     """The first stream of one of these names, in any case, of a compound file; None if there is none."""
-    if data[:8] != bytes.fromhex("D0CF11E0A1B11AE1"):
+    if data[:8] != MARK:
+        return None
+    book = Compound(io.BytesIO(data))
+    entry = book.find(*names)
+    return None if entry is None else book.read(entry)
+
+
+def sound_stream(data: bytes) -> bytes | None:
+    """The workbook stream; None if there is none or the file is damaged."""
+    try:
+        return stream(data, ("Workbook", "Book"))
+    except (ValueError, struct.error, IndexError):
         return None
-    size, mini = 1 << struct.unpack_from("<H", data, 30)[0], 1 << struct.unpack_from("<H", data, 32)[0]
-    n_fat, root, _, cutoff, mini_fat, _, difat, n_difat = struct.unpack_from("<IIIIIIII", data, 44)
-
-    def sector(i: int) -> bytes:
-        return data[(i + 1) * size : (i + 2) * size]
-
-    heads = list(struct.unpack_from("<109I", data, 76))
-    while n_difat and difat < 0xFFFFFFFC and len(heads) < 109 + len(data) // 4:
-        more = struct.unpack(f"<{size // 4}I", sector(difat))
-        heads, difat = heads + list(more[:-1]), more[-1]
-    fat = [x for h in heads[: max(n_fat, 0)] if h < 0xFFFFFFFC for x in struct.unpack(f"<{size // 4}I", sector(h).ljust(size, b"\xff"))]
-
-    def chain(i: int, table: list[int], read) -> bytes:
-        out, seen = [], set()
-        while i < len(table) and i not in seen:
-            seen.add(i)
-            out.append(read(i))
-            i = table[i]
-        return b"".join(out)
-
-    directory = chain(root, fat, sector)
-    entries = [directory[i : i + 128] for i in range(0, len(directory) - 127, 128)]
-    small = chain(mini_fat, fat, sector) if mini_fat < 0xFFFFFFFC else b""
-    small_table = list(struct.unpack(f"<{len(small) // 4}I", small))
-    store = chain(struct.unpack_from("<I", entries[0], 116)[0], fat, sector) if entries else b""
-    found = {e[: max(0, struct.unpack_from("<H", e, 64)[0] - 2)].decode("utf-16-le").lower(): e for e in entries if e[66] == 2}
-    for name in names:
-        if (e := found.get(name.lower())) is not None:
-            start, length = struct.unpack_from("<I", e, 116)[0], struct.unpack_from("<I", e, 120)[0]
-            if length < cutoff:
-                return chain(start, small_table, lambda i: store[i * mini : (i + 1) * mini])[:length]
-            return chain(start, fat, sector)[:length]
-    return None
 
 
 @F.pandas_udf(BinaryType())
 def workbook_stream(content: pd.Series) -> pd.Series:
     """The workbook stream of a compound file."""
-    return pd.Series([None if c is None else stream(bytes(c), ("Workbook", "Book")) for c in content], dtype=object)
+    return pd.Series([None if c is None else sound_stream(bytes(c)) for c in content], dtype=object)
 
 
 # Excel 97-2003

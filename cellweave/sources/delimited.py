@@ -10,7 +10,7 @@ from cellweave.functions.formulas import r1c1_to_a1
 from cellweave.functions.palettes import indexed_color
 from cellweave.functions.text import with_equals
 from cellweave.functions.units import number_prefix, width_px
-from cellweave.operators.relational import styled
+from cellweave.operators.relational import cursor, styled
 from cellweave.sources.model import by_text, cells, streamed
 from cellweave.sources.streams import csv_values
 
@@ -107,13 +107,8 @@ def sylk_placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     X and Y stay until they change; a cell record moves X on by one."""
     x = sylk_records(docs, key, text).where("type in ('C', 'F')")
-    over = W.partitionBy("workbook_id").orderBy("pos")
-    upto = over.rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("x", F.col("f")["X"].try_cast("int")).withColumn("y", F.col("f")["Y"].try_cast("int")).withColumn("cell", (F.col("type") == "C").cast("int"))
-    x = x.withColumn("row_idx", F.coalesce(F.last("y", True).over(upto), F.lit(1)) - 1).withColumn("step", F.count("x").over(upto))
-    since = W.partitionBy("workbook_id", "step").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    x = x.withColumn("col_idx", F.coalesce(F.last("x", True).over(upto), F.lit(1)) - 1 + F.coalesce(F.sum("cell").over(since), F.lit(0)))
-    return x.select("workbook_id", "pos", "type", "f", "row_idx", "col_idx")
+    x = x.withColumns({"x": F.col("f")["X"].try_cast("int"), "y": F.col("f")["Y"].try_cast("int"), "cell": F.col("type") == "C"})
+    return cursor(x, ["workbook_id"], "pos", "x", "y", "cell").select("workbook_id", "pos", "type", "f", "row_idx", "col_idx")
 
 
 def scan_sylk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def damage(ext: pd.Series, content: pd.Series) -> pd.Series:
         if kind == "xls":
             try:
                 return None if binary.stream(data, ("Workbook", "Book")) else "No workbook stream"
-            except (struct.error, IndexError):
+            except (struct.error, IndexError, ValueError):
                 return "A damaged compound file"
         if kind == "dbf":
             return None if len(data) >= 32 else "Too short for a table header"
