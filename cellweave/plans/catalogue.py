@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import colors, formulas, palettes, refs, text, units
 from cellweave.operators import relational as R
-from cellweave.plans import looks
+from cellweave.plans import intake, looks
 from cellweave.plans.fixtures import binary_docs, rejoined, table, text_docs
 from cellweave.plans.showcase import showcase
 from cellweave.sources import binary, delimited, markup, xlsx_parts, zipped
 
-QUERIES: dict[str, Callable] = dict(looks.QUERIES)
-ORACLES: dict[str, str] = dict(looks.ORACLES)
+QUERIES: dict[str, Callable] = looks.QUERIES | intake.QUERIES
+ORACLES: dict[str, str] = looks.ORACLES | intake.ORACLES
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -386,7 +386,7 @@ def r17_default_columns(spark, sf_dir):
 @query("SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind FROM events")
 def r18_sticky_cursor(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("kind"))
-    return R.sticky(e, ["user_id"], "at", "kind", segment=F.floor(F.unix_seconds("at.ts") / 86400)).select("event_id", "kind")
+    return R.sticky(e, ["user_id"], "at", "kind", segment=F.unix_date(F.to_date("at.ts"))).select("event_id", "kind")
 
 
 # relational work on scanned data is ordinary Spark

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import tempfile
 import uuid
 
 import pyarrow.fs as pafs
@@ -17,8 +18,9 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), posixpath.abspath(path)
 
 
-def listed(paths: str) -> list[tuple[str, int]]:
-    """(path, size) of the files at or under comma-separated paths, by path; names that begin with a dot or an underscore are left out."""
+def modified(paths: str) -> list[tuple[str, int, int]]:
+    """(path, size, time of the last change in nanoseconds) of the files at or under comma-separated paths, by path; names that begin with
+    a dot or an underscore are left out."""
     out = []
     for path in filter(None, (p.strip() for p in paths.split(","))):
         fs, inner = resolve(path)
@@ -30,10 +32,15 @@ def listed(paths: str) -> list[tuple[str, int]]:
         for x in some:
             below = x.path[len(inner) :].split("/")
             if x.type == pafs.FileType.File and not any(name.startswith((".", "_")) for name in below):
-                out.append((prefix + x.path, x.size))
+                out.append((prefix + x.path, x.size, x.mtime_ns or 0))
     return sorted(out)
 
 
+def listed(paths: str) -> list[tuple[str, int]]:
+    """(path, size) of modified."""
+    return [x[:2] for x in modified(paths)]
+
+
 def opened(path: str):
     """A file for random reads."""
     fs, inner = resolve(path)
@@ -41,10 +48,11 @@ def opened(path: str):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all machines share, under spark.checkpoint.dir; an error where a cluster's session doesn't name one."""
+    """A fresh path under spark.checkpoint.dir, which all machines share. Unset, it is a temporary folder in local mode (tests) and an error
+    on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = spark.conf.get("spark.sql.warehouse.dir")
+        root = posixpath.join(tempfile.gettempdir(), "cellweave-files")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

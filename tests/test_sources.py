@@ -119,7 +119,7 @@ def test_damaged_archives_have_an_error_and_no_cells(spark, tmp_path):
     D.register(spark)
     read = spark.read.format("cellweave").load(str(tmp_path))
     assert read.count() == 24
-    with pytest.raises(Exception, match="xlsx"):
+    with pytest.raises(Exception, match="A damaged part"):
         spark.read.format("cellweave").option("mode", "FAILFAST").load(str(tmp_path)).count()
 
 
@@ -293,3 +293,82 @@ def test_compound_with_many_allocation_sectors():
     body = bytes(range(256)) * 4 * 8000
     c = Compound(io.BytesIO(fixtures.compound_tree({"Workbook": body, "x": b"1"})))
     assert len(c.heads) > 109 and c.read(c.find("workbook")) == body and c.read(c.find("X")) == b"1"
+
+
+def test_files_that_change_replace_their_cells(spark, tmp_path):
+    import os
+
+    from cellweave.streaming import arrivals as A
+
+    box, out = tmp_path / "in.box", str(tmp_path / "out")
+    box.mkdir()
+
+    def put(name, data, at):
+        (box / name).write_bytes(data)
+        os.utime(box / name, ns=(at, at))
+
+    def turn():
+        A.write_changes(A.changes(A.versions(spark, str(box))), out, str(tmp_path / "checkpoint")).awaitTermination()
+        cells, errors = A.current(spark, out)
+        found = sorted((r.workbook_id.rsplit("/", 1)[-1], r.row_idx, r.col_idx, r.v_str if r.v_num is None else r.v_num) for r in cells.collect())
+        return found, sorted((r.path.rsplit("/", 1)[-1], r.message) for r in errors.collect())
+
+    second = 10**9
+    put("a.csv", b"1,2\n3", 1000 * second)
+    put("b.xlsx", fixtures._zip(sheets_of(["s"], rows=1)), 1001 * second)
+    put("plain", b"?", 1002 * second)
+    b = [("b.xlsx", 0, 0, 0.0), ("b.xlsx", 0, 1, "hello")]
+    first = [("a.csv", 0, 0, "1"), ("a.csv", 0, 1, "2"), ("a.csv", 1, 0, "3")]
+    assert turn() == (first + b, [("plain", "Unsupported file type: ")])
+    put("a.csv", b"9", 1003 * second)  # fewer cells
+    put("b.xlsx", fixtures._zip(sheets_of(["s"], rows=1))[:-30], 1004 * second)  # damaged: the old cells stay
+    assert turn() == ([("a.csv", 0, 0, "9"), *b], [("b.xlsx", "Not a zip archive"), ("plain", "Unsupported file type: ")])
+    put("a.csv", b"9", 1005 * second)  # touched only
+    put("b.xlsx", fixtures._zip(sheets_of(["s"], rows=2)), 1006 * second)
+    assert turn() == ([("a.csv", 0, 0, "9"), *b, ("b.xlsx", 1, 0, 1.0), ("b.xlsx", 1, 1, "hello")], [("plain", "Unsupported file type: ")])
+    assert spark.read.parquet(out).where("action = 'version' and path like '%a.csv'").count() == 2
+
+
+def test_table_functions(spark):
+    from cellweave.sources import table_functions as U
+
+    U.register(spark)
+    docs = spark.createDataFrame([(1, "a,b\nc", "<table><tr><th>t<tr><td colspan=2>x</table>", fixtures._zip(sheets_of(["s"], rows=1))), (2, None, None, None), (3, "", "none", b"PK")], "k long, t string, h string, x binary")
+    docs.createOrReplaceTempView("given")
+    sql = spark.sql
+    assert sorted(map(tuple, sql("SELECT k, c.* FROM given, LATERAL scan_cells(t, 'csv', columns => 'row_idx, col_idx, v_str') c").collect())) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c"), (3, 0, 0, "")]
+    assert sql("SELECT c.title, c.v_str, c.colspan FROM given, LATERAL scan_cells(h, 'html') c").collect() == [("t", "x", 2)]
+    assert sorted(map(tuple, sql("SELECT k, c.v_num, c.v_str FROM given, LATERAL scan_cells(x, 'xlsx') c").collect()), key=str) == [(1, 0.0, None), (1, None, "hello")]
+    for wrong in ("scan_cells(t, 'xlsx')", "scan_cells(t, 'none')", "scan_cells(t, 'csv', columns => 'title')"):
+        with pytest.raises(Exception, match="scan_cells"):
+            sql(f"SELECT * FROM given, LATERAL {wrong} c").collect()
+    spark.createDataFrame([(1, 0, 1, 2, "z"), (1, 0, 0, 0, "a"), (1, 0, 0, 1, None), (2, 0, 5, 0, "q")], "workbook_id long, sheet_idx int, row_idx int, col_idx int, v string").createOrReplaceTempView("some_cells")
+    rows = sql("SELECT * FROM sheet_rows(TABLE(some_cells) PARTITION BY (workbook_id, sheet_idx) ORDER BY (row_idx, col_idx))").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 0, ["a", ""]), (1, 0, 1, ["", "", "z"]), (2, 0, 5, ["q"])]
+
+
+def test_workbooks_written_and_read_again(spark, tmp_path):
+    import json
+
+    from cellweave.operators import workbooks as B
+
+    docs = fixtures.text_docs(spark, SF, "csv")
+    cells = delimited.scan_csv(docs)
+    merges = cells.where("col_idx = 0 and row_idx % 3 = 0").select("workbook_id", "sheet_idx", "row_idx", F.lit(2).alias("colspan"))
+    B.write_workbooks(B.workbook_lines(cells, merges=(merges, "row_idx")), str(tmp_path / "out"))
+    want, spans = {}, {}
+    for r in cells.collect():
+        want.setdefault(str(r.workbook_id), {}).setdefault(r.row_idx, {})[r.col_idx] = r.v_str
+    for r in merges.collect():
+        spans.setdefault(str(r.workbook_id), []).append(r.row_idx)
+    names = sorted(p.stem for p in (tmp_path / "out").glob("*.json"))
+    assert names == sorted(want) and not (tmp_path / "out/_uncommitted").exists()
+    for p in (tmp_path / "out").glob("*.json"):
+        (sheet,) = json.loads(p.read_text())["worksheets"]
+        assert list(sheet) == ["merges", "data"] and [m["row_idx"] for m in sheet["merges"]] == sorted(spans[p.stem])
+        assert [d["row"] for d in sheet["data"]] == sorted(want[p.stem])
+        assert {d["row"]: {c["col_idx"]: c["value"] for c in d["cells"]} for d in sheet["data"]} == want[p.stem]
+    with pytest.raises(Exception):  # a job that fails leaves nothing
+        bad = cells.withColumn("v_str", F.when(F.col("row_idx") == 1, F.raise_error(F.lit("no"))).otherwise(F.col("v_str")))
+        B.write_workbooks(B.workbook_lines(bad), str(tmp_path / "failed"))
+    assert not list((tmp_path / "failed").glob("*")) if (tmp_path / "failed").exists() else True
