@@ -17,8 +17,7 @@ from cellweave.functions.text import with_equals
 from cellweave.operators.relational import style_dictionary
 from cellweave.sources.model import by_text, cells, streamed
 from cellweave.sources.streams import spreadsheetml
-from cellweave.sources.xmlstream import fault
-from cellweave.sources.xmltext import bare_xml
+from cellweave.sources.xmlstream import Node, fault, stream_nodes
 
 _TAGS = "table_idx int, row_idx int, col_idx int, value string, formula string, colspan int, rowspan int, css string, comment string, head_value string, head_formula string"
 
@@ -193,18 +192,36 @@ def spanned_slots(t: DataFrame) -> DataFrame:
     return m.where("row_idx > of_row or col_idx > of_col").select("workbook_id", "sheet_idx", "row_idx", "col_idx", "of_row", "of_col")
 
 
-_CELL = "struct<_Index:int,_Formula:string,_MergeAcross:int,_MergeDown:int,_StyleID:string,_HRef:string,Data:struct<_Type:string,_VALUE:string>,Comment:struct<_Author:string,Data:string>>"
-_TABLE = f"struct<_DefaultColumnWidth:double,_DefaultRowHeight:double,Column:array<struct<_Index:int,_Width:double,_Span:int,_Hidden:string>>,Row:array<struct<_Index:int,_Height:double,_Hidden:string,Cell:array<{_CELL}>>>>"
+_TABLE = "struct<_DefaultColumnWidth:double,_DefaultRowHeight:double,Column:array<struct<_Index:int,_Width:double,_Span:int,_Hidden:string>>,Row:array<struct<_Index:int,_Height:double,_Hidden:string>>>"
 _OPTIONS = "struct<FreezePanes:string,SplitHorizontal:int,SplitVertical:int,DoNotDisplayGridlines:string,Visible:string,ProtectObjects:string,ProtectScenarios:string,EnableSelection:string>"
 _STYLE = "struct<_ID:string,_Name:string,Alignment:struct<_Horizontal:string,_Vertical:string,_WrapText:string>,Borders:struct<Border:array<struct<_Position:string,_LineStyle:string,_Weight:string,_Color:string>>>,Font:struct<_FontName:string,_Size:double,_Bold:string,_Italic:string,_Underline:string,_Color:string>,Interior:struct<_Color:string,_Pattern:string>,NumberFormat:struct<_Format:string>>"
 _NAMES = "struct<NamedRange:array<struct<_Name:string,_RefersTo:string>>>"
 _BOOK = f"Styles struct<Style:array<{_STYLE}>>, Names {_NAMES}, Worksheet array<struct<_Name:string,_Visible:string,Table:{_TABLE},WorksheetOptions:{_OPTIONS}>>"
 
 
+def _without_cells(text: str) -> Iterator[tuple[str]]:
+    """A workbook's text with local names only, rows without cells; nothing if it isn't well formed."""
+    if fault(io.BytesIO(text.encode("utf-8", "replace")), encoding="utf-8"):
+        return
+    head, sheets = [], []
+    for n in stream_nodes(text, {"Styles", "Names", "Column", "WorksheetOptions"}, {"Worksheet", "Table", "Row"}):
+        if n.name == "Worksheet":
+            sheets.append((n, Node("Table", {})))
+        elif not sheets:
+            head.append(n)
+        elif n.name == "Table":
+            sheets[-1][1].attrib.update(n.attrib)
+        else:
+            (sheets[-1][0] if n.name == "WorksheetOptions" else sheets[-1][1]).content.append(n)
+    for sheet, own in sheets:
+        sheet.content.append(own)
+    yield (f"<Workbook>{''.join(n.xml() for n in (*head, *(s for s, _ in sheets)))}</Workbook>",)
+
+
 def xml_books(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """(workbook_id, b): each SpreadsheetML text as a nested value. Prefixes go first, as texts may not declare them."""
-    bare = bare_xml(F.col(xml))
-    return docs.select(F.col(key).alias("workbook_id"), F.from_xml(bare, _BOOK, {"rowTag": "Workbook", "ignoreSurroundingSpaces": "false"}).alias("b"))
+    """(workbook_id, b): what each SpreadsheetML text has beside its cells, as a nested value."""
+    t = streamed(docs, key, xml, "xml string", _without_cells)
+    return t.select("workbook_id", F.from_xml("xml", _BOOK, {"rowTag": "Workbook", "ignoreSurroundingSpaces": "false"}).alias("b"))
 
 
 def _placed_by_index(df: DataFrame, keys: list[str], order: str, index: str, out: str, width: str | None = None) -> DataFrame:

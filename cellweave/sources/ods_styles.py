@@ -23,7 +23,7 @@ def _groups(docs: DataFrame, key: str, content: str) -> DataFrame:
     """(workbook_id, rank, g): groups of styles; those of content.xml come before those of styles.xml."""
     out = None
     for rank, (name, tag) in enumerate((("content", "document-content"), ("styles", "document-styles"))):
-        p = parsed(parts(docs, rf"{name}\.xml", key, content), tag, _BOTH)
+        p = parsed(parts(docs, rf"{name}\.xml", key, content, (tag, {"automatic-styles", "styles"})), tag, _BOTH)
         for k, group in enumerate(("automatic-styles", "styles")):
             some = p.select("workbook_id", F.lit(2 * rank + k).alias("rank"), F.col(f"x.`{group}`").alias("g"))
             out = some if out is None else out.unionByName(some)

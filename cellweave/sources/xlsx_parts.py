@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+
 import io
 import re
 import zipfile
@@ -17,7 +20,9 @@ from cellweave.functions.refs import cell_name, range_coords
 from cellweave.functions.text import clean_formula
 from cellweave.functions.units import emu_px, half_up, number_prefix
 from cellweave.operators.relational import bounding_box, styled
-from cellweave.sources.zipped import BORDERS, NUMBER_FORMATS, OPERATORS, literal_map, parsed, parts, scan_xlsx, text_of, xlsx_sheets, xlsx_worksheets
+from cellweave.sources.streams import whole_number, xlsx_parts_of
+from cellweave.sources.xmlstream import stream_nodes
+from cellweave.sources.zipped import BORDERS, NUMBER_FORMATS, OPERATORS, archived, literal_map, parsed, parts, scan_xlsx, text_of, xlsx_sheets, xlsx_worksheets
 
 SHEET = ["workbook_id", "sheet_idx"]
 # Kinds of images by extension, names of drawn shapes, text rules, chart kinds and places of legends.
@@ -62,9 +67,17 @@ def xlsx_hyperlinks(docs: DataFrame, key: str = "doc_id", content: str = "conten
 
 
 def xlsx_rows(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, sheet_idx, row_idx, height, visible) of stored rows."""
-    r = xlsx_sheets(docs, key, content).select(*SHEET, F.posexplode("x.sheetData.row").alias("p", "r"))
-    return r.select(*SHEET, F.coalesce(F.col("r._r") - 1, "p").alias("row_idx"), F.coalesce("r._ht", F.lit(float(ROW_HEIGHT))).alias("height"), (~F.coalesce("r._hidden", F.lit("0")).isin("1", "true")).alias("visible"))
+    """(workbook_id, sheet_idx, row_idx, height, visible) of stored rows; their cells are passed over."""
+
+    def rows(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for sheet, part in enumerate(xlsx_parts_of(z)):
+            if part in z.namelist():
+                with z.open(part) as f:
+                    for p, r in enumerate(stream_nodes(f, set(), {"row"})):
+                        yield sheet, (r.number("r") or p + 1) - 1, whole_number(r.attrib.get("ht")), r.attrib.get("hidden", "0") not in ("1", "true")
+
+    r = archived(docs, key, content, "sheet_idx int, row_idx int, height double, visible boolean", rows)
+    return r.select(*SHEET, "row_idx", F.coalesce("height", F.lit(float(ROW_HEIGHT))).alias("height"), "visible")
 
 
 def xlsx_dimensions(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:

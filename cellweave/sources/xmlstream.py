@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import BinaryIO
 from xml.parsers import expat
+from xml.sax.saxutils import escape, quoteattr
 
 #: Bytes that the parser takes at a time.
 CHUNK = 1 << 16
@@ -28,6 +29,11 @@ class Node:
         """All text inside, in order."""
         return "".join(x if isinstance(x, str) else x.text() for x in self.content)
 
+    def xml(self) -> str:
+        """The element as XML with local names."""
+        own = "".join(f" {k}={quoteattr(v)}" for k, v in self.attrib.items())
+        return f"<{self.name}{own}>{''.join(escape(x) if isinstance(x, str) else x.xml() for x in self.content)}</{self.name}>"
+
     def number(self, name: str) -> int | None:
         """An attribute as an integer; None if it is none."""
         value = self.attrib.get(name, "").strip()

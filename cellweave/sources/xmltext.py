@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
 _MARKUP = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<(/?)(?:[\w.-]+:)?([\w.-]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([\w.-]+:)?([\w.-]+)\s*=\s*(\"[^\"]*\"|'[^']*')")
 
@@ -26,9 +22,3 @@ def bare_names(xml: str) -> str:
         return f"<{m[1]}{m[2]}{''.join(f' {k}={v}' for k, v in held.items())}{end}>"
 
     return _MARKUP.sub(one, xml)
-
-
-@F.pandas_udf(StringType())
-def bare_xml(text: pd.Series) -> pd.Series:
-    """bare_names of each text; null stays null."""
-    return pd.Series([None if t is None else bare_names(t) for t in text], dtype=object)

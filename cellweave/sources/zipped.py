@@ -6,18 +6,18 @@ import io
 import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.functions.refs import range_coords
 from cellweave.functions.text import clean_formula, with_equals
 from cellweave.functions.units import length_px, width_px
 from cellweave.sources.model import by_text, cells, streamed
-from cellweave.sources.streams import archive_damage, ods_cells, xlsx_parts_of, xlsx_stored, xlsx_strings_of
+from cellweave.sources.streams import DAMAGE, archive_damage, ods_cells, xlsx_parts_of, xlsx_stored, xlsx_strings_of
+from cellweave.sources.xmlstream import stream_nodes
 from cellweave.sources.xmltext import bare_names
 
 # Built-in number formats.
@@ -44,10 +44,11 @@ def decoded(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def parts(docs: DataFrame, pattern: str, key: str = "doc_id", content: str = "content") -> DataFrame:
+def parts(docs: DataFrame, pattern: str, key: str = "doc_id", content: str = "content", only: tuple[str, set[str]] | None = None) -> DataFrame:
     """(workbook_id, part, xml): the parts of each archive whose name matches; prefixes of names are dropped.
 
-    Only matching parts are unzipped. What is no archive has no parts."""
+    Only matching parts are unzipped. What is no archive has no parts. only: a root's name and elements; a part is then read as a stream
+    and has these elements alone, so that a sheet's cells are not held for what stands beside them."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,9 +59,12 @@ def parts(docs: DataFrame, pattern: str, key: str = "doc_id", content: str = "co
                 try:
                     with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
                         for name in z.namelist():
-                            if wanted.fullmatch(name):
+                            if wanted.fullmatch(name) and only is not None:
+                                with z.open(name) as f:
+                                    out.append((k, name, f"<{only[0]}>{''.join(n.xml() for n in stream_nodes(f, only[1]))}</{only[0]}>"))
+                            elif wanted.fullmatch(name):
                                 out.append((k, name, bare_names(decoded(z.read(name)))))
-                except zipfile.BadZipFile:
+                except DAMAGE:
                     pass
                 yield pd.DataFrame(out, columns=["workbook_id", "part", "xml"])
 
@@ -82,26 +86,41 @@ def text_of(item: str) -> Column:
     return F.coalesce(F.col(f"{item}.t"), runs)
 
 
+def archived(docs: DataFrame, key: str, content: str, schema: str, read: Callable[[zipfile.ZipFile], Iterator[tuple]]) -> DataFrame:
+    """(workbook_id, *schema): what read gives of each archive, in one pass; a damaged archive gives nothing."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                out = list(read(z))
+        except (*DAMAGE, KeyError):
+            return
+        yield from out
+
+    return streamed(docs, key, content, schema, rows)
+
+
+def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[int, str | None, str, str]]:
+    """(place, name, state, part) of each sheet."""
+    with z.open("xl/workbook.xml") as f:
+        stored = list(stream_nodes(f, set(), {"sheet"}))
+    for i, (node, part) in enumerate(zip(stored, xlsx_parts_of(z), strict=True)):
+        yield i, node.attrib.get("name"), node.attrib.get("state", "visible"), part
+
+
 def xlsx_worksheets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, sheet_name, state, part): sheets by their relationship, not by their position."""
-    book = parsed(parts(docs, r"xl/workbook\.xml", key, content), "workbook", "sheets struct<sheet:array<struct<_name:string,_sheetId:string,_id:string,_state:string>>>")
-    s = book.select("workbook_id", F.posexplode("x.sheets.sheet").alias("sheet_idx", "s"))
-    rels = parsed(parts(docs, r"xl/_rels/workbook\.xml\.rels", key, content), "Relationships", "Relationship array<struct<_Id:string,_Target:string>>")
-    r = rels.select("workbook_id", F.explode("x.Relationship").alias("r")).select("workbook_id", F.col("r._Id").alias("rid"), F.col("r._Target").alias("target"))
-    r = r.groupBy("workbook_id", "rid").agg(F.first("target").alias("target"))
-    s = s.withColumn("rid", F.col("s._id")).join(r, ["workbook_id", "rid"], "left")
-    target = F.coalesce("target", F.concat(F.lit("worksheets/sheet"), F.col("sheet_idx") + 1, F.lit(".xml")))
-    return s.select("workbook_id", "sheet_idx", F.col("s._name").alias("sheet_name"), F.coalesce("s._state", F.lit("visible")).alias("state"), F.when(target.startswith("/"), F.substring(target, 2, 1 << 10)).otherwise(F.concat(F.lit("xl/"), target)).alias("part"))
+    return archived(docs, key, content, "sheet_idx int, sheet_name string, state string, part string", _sheets)
 
 
 def xlsx_strings(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sst, text) of shared strings."""
-    p = parsed(parts(docs, r"xl/sharedStrings\.xml", key, content), "sst", f"si array<struct<t:string,r:{_T}>>")
-    return p.select("workbook_id", F.posexplode("x.si").alias("sst", "si")).select("workbook_id", "sst", text_of("si").alias("text"))
+    return archived(docs, key, content, "sst int, text string", lambda z: enumerate(xlsx_strings_of(z)))
 
 
-_CELL = f"struct<_r:string,_t:string,_s:int,v:string,f:string,is:struct<t:string,r:{_T}>>"
-_SHEET = f"""sheetData struct<row:array<struct<_r:int,_ht:double,_hidden:string,c:array<{_CELL}>>>>, cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>,
+#: What stands beside the cells of a sheet.
+_BESIDE = {"cols", "mergeCells", "hyperlinks", "dimension", "sheetViews", "sheetProtection", "protectedRanges", "dataValidations", "conditionalFormatting"}
+_SHEET = """cols struct<col:array<struct<_min:int,_max:int,_width:double,_hidden:string>>>,
 mergeCells struct<mergeCell:array<struct<_ref:string>>>, hyperlinks struct<hyperlink:array<struct<_ref:string,_id:string,_location:string>>>,
 dimension struct<_ref:string>, sheetViews struct<sheetView:array<struct<_showGridLines:string,_topLeftCell:string,pane:struct<_xSplit:double,_ySplit:double,_state:string>>>>, sheetProtection struct<_sheet:string>, protectedRanges struct<protectedRange:array<struct<_sqref:string,_name:string>>>,
 dataValidations struct<dataValidation:array<struct<_type:string,_operator:string,_sqref:string,_allowBlank:string,_errorStyle:string,_prompt:string,formula1:string,formula2:string>>>,
@@ -109,9 +128,18 @@ conditionalFormatting array<struct<_sqref:string,cfRule:array<struct<_type:strin
 
 
 def xlsx_sheets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, sheet_idx, sheet_name, state, x): each sheet's part as a nested value."""
-    p = parsed(parts(docs, r"xl/worksheets/[^/]+\.xml", key, content), "worksheet", _SHEET)
-    return p.join(xlsx_worksheets(docs, key, content), ["workbook_id", "part"])
+    """(workbook_id, sheet_idx, sheet_name, state, part, x): what stands beside the cells of each sheet, as a nested value.
+
+    One pass over each archive, without a shuffle; rows are passed over as they are read."""
+
+    def sheets(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for i, name, state, part in _sheets(z):
+            if part in z.namelist():
+                with z.open(part) as f:
+                    yield i, name, state, part, f"<worksheet>{''.join(n.xml() for n in stream_nodes(f, _BESIDE))}</worksheet>"
+
+    s = archived(docs, key, content, "sheet_idx int, sheet_name string, state string, part string, xml string", sheets)
+    return s.withColumn("x", F.from_xml("xml", _SHEET, {"rowTag": "worksheet", "ignoreSurroundingSpaces": "false"})).drop("xml")
 
 
 _RAW = "sheet_idx int, row_idx int, col_idx int, xf int, t string, v string, f string, text string"
@@ -196,18 +224,6 @@ def xlsx_names(docs: DataFrame, key: str = "doc_id", content: str = "content") -
 
 # OpenDocument
 
-_ODS_CELL = "struct<`_number-columns-repeated`:int,`_number-columns-spanned`:int,`_number-rows-spanned`:int,`_value-type`:string,_value:double,`_boolean-value`:string,`_date-value`:string,`_time-value`:string,_formula:string,`_style-name`:string,p:array<struct<_VALUE:string,a:struct<_href:string,_VALUE:string>,span:array<struct<_VALUE:string>>>>,annotation:struct<creator:string,date:string,p:array<string>>>"
-_ODS_ROW = f"struct<`_number-rows-repeated`:int,`table-cell`:array<{_ODS_CELL}>>"
-_ODS = f"body struct<spreadsheet:struct<table:array<struct<_name:string,`_style-name`:string,`table-column`:array<struct<`_number-columns-repeated`:int,`_style-name`:string>>,`table-row`:array<{_ODS_ROW}>>>,`named-expressions`:struct<`named-range`:array<struct<_name:string,`_cell-range-address`:string>>>>>"
-_ODS_STYLES = "`automatic-styles` struct<style:array<struct<_name:string,_family:string,`table-column-properties`:struct<`_column-width`:string>,`table-properties`:struct<_display:string>,`text-properties`:struct<`_font-weight`:string,`_font-style`:string,_color:string>,`table-cell-properties`:struct<`_background-color`:string>>>>"
-
-
-def ods_tables(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    """(workbook_id, sheet_idx, t): each table as a nested value."""
-    p = parsed(parts(docs, r"content\.xml", key, content), "document-content", _ODS)
-    return p.select("workbook_id", F.posexplode("x.body.spreadsheet.table").alias("sheet_idx", "t"))
-
-
 _STORED = "sheet_idx int, row_idx int, col_idx int, v_type string, v_str string, v_num double, v_bool boolean, formula string, colspan int, rowspan int, style_name string, url string, comment string"
 
 
@@ -231,23 +247,50 @@ def scan_ods(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
 
 def ods_columns(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, col_idx, width_px): repeats laid out up to the last column that has a style or a cell, widths by style."""
-    t = ods_tables(docs, key, content).select("workbook_id", "sheet_idx", F.posexplode("t.table-column").alias("k", "c")).withColumn("times", F.coalesce(F.col("c.`_number-columns-repeated`"), F.lit(1)))
-    t = t.withColumn("from", F.coalesce(F.sum("times").over(W.partitionBy("workbook_id", "sheet_idx").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("name", F.col("c.`_style-name`"))
-    s = parsed(parts(docs, r"content\.xml", key, content), "document-content", _ODS_STYLES).select("workbook_id", F.explode("x.automatic-styles.style").alias("s"))
-    s = s.select("workbook_id", F.col("s._name").alias("name"), F.col("s.table-column-properties.`_column-width`").alias("width")).where("width is not null")
-    t = t.join(s, ["workbook_id", "name"], "left")
-    return t.select("workbook_id", "sheet_idx", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("times") - 1)).alias("col_idx"), F.coalesce(length_px(F.col("width")), F.lit(100.0)).alias("width_px"))
+
+    def columns(z: zipfile.ZipFile) -> Iterator[tuple]:
+        widths, sheet, at = {}, -1, 0
+        with z.open("content.xml") as f:
+            for n in stream_nodes(f, {"style"}, {"table", "table-column"}):
+                if n.name == "style":
+                    own = n.first("table-column-properties")
+                    widths[n.attrib.get("name")] = own.attrib.get("column-width") if own is not None else None
+                elif n.name == "table":
+                    sheet, at = sheet + 1, 0
+                else:
+                    times = n.number("number-columns-repeated") or 1
+                    yield sheet, at, times, widths.get(n.attrib.get("style-name"))
+                    at += times
+
+    c = archived(docs, key, content, "sheet_idx int, first int, times int, width string", columns)
+    c = c.withColumn("col_idx", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("times") - 1)))
+    return c.select("workbook_id", "sheet_idx", "col_idx", F.coalesce(length_px(F.col("width")), F.lit(100.0)).alias("width_px"))
 
 
 def ods_worksheets(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, sheet_name, state): hidden where the table's style isn't displayed."""
-    s = parsed(parts(docs, r"content\.xml", key, content), "document-content", _ODS_STYLES).select("workbook_id", F.explode("x.automatic-styles.style").alias("s"))
-    off = s.where("s.`table-properties`._display = 'false'").select("workbook_id", F.col("s._name").alias("style"), F.lit("hidden").alias("state")).distinct()
-    t = ods_tables(docs, key, content).withColumn("style", F.col("t.`_style-name`")).join(off, ["workbook_id", "style"], "left")
-    return t.select("workbook_id", "sheet_idx", F.coalesce("t._name", F.lit("Sheet1")).alias("sheet_name"), F.coalesce("state", F.lit("visible")).alias("state"))
+
+    def tables(z: zipfile.ZipFile) -> Iterator[tuple]:
+        off, sheet = set(), 0
+        with z.open("content.xml") as f:
+            for n in stream_nodes(f, {"style"}, {"table"}):
+                if n.name == "style":
+                    own = n.first("table-properties")
+                    if own is not None and own.attrib.get("display") == "false":
+                        off.add(n.attrib.get("name"))
+                else:
+                    yield sheet, n.attrib.get("name", "Sheet1"), "hidden" if n.attrib.get("style-name") in off else "visible"
+                    sheet += 1
+
+    return archived(docs, key, content, "sheet_idx int, sheet_name string, state string", tables)
 
 
 def ods_names(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
-    p = parsed(parts(docs, r"content\.xml", key, content), "document-content", _ODS)
-    n = p.select("workbook_id", F.explode("x.body.spreadsheet.named-expressions.named-range").alias("n"))
-    return n.select("workbook_id", F.col("n._name").alias("name"), F.col("n.`_cell-range-address`").alias("refers_to"))
+    """(workbook_id, name, refers_to) of named ranges."""
+
+    def names(z: zipfile.ZipFile) -> Iterator[tuple]:
+        with z.open("content.xml") as f:
+            for n in stream_nodes(f, set(), {"named-range"}):
+                yield n.attrib.get("name"), n.attrib.get("cell-range-address")
+
+    return archived(docs, key, content, "name string, refers_to string", names)
