@@ -11,6 +11,8 @@ a secret at no set rate. Tokens of fewer than LEAST characters, where the tests
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,23 +39,54 @@ MASK = "[SECRET]"
 SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
 
 
+#: Items that a walk over a long array takes at a time: what it has given so far is copied once a block, not once an item.
+BLOCK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is computed once, not again for each item or character that a formula goes over."""
+    return F.transform(F.array(value), then)[0]
+
+
+def in_blocks(items: Column, start: Column, block: Callable[[Column, Column], Column], size: int = BLOCK) -> Column:
+    """The state after all blocks of items: block gives the next one from a state and some items."""
+
+    def steps(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.size(xs), F.lit(size))
+        return F.when(F.size(xs) > 0, F.aggregate(numbers, start, lambda acc, i: block(acc, F.slice(xs, i, F.lit(size))))).otherwise(start)
+
+    return let(items, steps)
+
+
+def walk(items: Column, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step gives for each item, in order: an array of kind. step makes the next state and an output of a state and an item."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["s"], x)
+        return F.struct(state.alias("s"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return let(done, lambda d: F.struct(d["s"].alias("s"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    return F.flatten(in_blocks(items, F.struct(start.alias("s"), nothing.alias("out")), block)["out"])
+
+
 def pattern_spans(text: Column, kind: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (kind, start, end, text) in code points.
 
     split() gives the pieces between the matches, so that lengths place each match."""
     none = F.array().cast(SPAN)
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    gaps = let(found, lambda hits: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("text"))
 
-    walked = F.aggregate(gaps, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), walk(gaps, F.lit(0), SPAN[6:-1], step)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -68,11 +101,6 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
 
-def let(value: Column, then) -> Column:
-    """then of a value that is computed once, not again for each character that a formula goes over."""
-    return F.transform(F.array(value), then)[0]
-
-
 def log_p(token: Column) -> Column:
     """Natural logarithm of the battery's p-value under uniform independent characters; padding doesn't count."""
 
@@ -111,10 +139,31 @@ def log_p(token: Column) -> Column:
     return let(let(let(F.regexp_replace(token, "=+$", ""), encoded), numbered), tested)
 
 
+def untouched(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps: one walk over both by start. A token waits for what comes next, and must begin behind the end
+    of all before it."""
+    first, item = "struct<start:int,end:int,text:string>", "start:int,token:int,end:int,text:string"
+
+    def row(s: Column, token: int) -> Column:
+        return F.struct(s["start"].alias("start"), F.lit(token).alias("token"), s["end"].alias("end"), F.when(F.lit(token == 1), s["text"]).alias("text")).cast(f"struct<{item}>")
+
+    last = F.array(F.struct(F.lit(2**31 - 1), F.lit(1), F.lit(2**31 - 1), F.lit(None).cast("string")).cast(f"struct<{item}>"))
+    both = F.concat(F.array_sort(F.concat(F.transform(base, lambda s: row(s, 0)), F.transform(tokens, lambda s: row(s, 1)))), last)
+    none = F.lit(None).cast(first)
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        stays = F.when(x["start"] >= state["waits"]["end"], state["waits"])
+        reach = F.when(x["token"] == 0, F.greatest(state["reach"], x["end"])).otherwise(state["reach"])
+        waits = F.when((x["token"] == 1) & (x["start"] >= state["reach"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+        return F.struct(reach.alias("reach"), waits.alias("waits")), stays
+
+    return F.filter(walk(both, F.struct(F.lit(0).alias("reach"), none.alias("waits")), first, step), lambda s: s.isNotNull())
+
+
 def candidates(text: Column, base: Column) -> Column:
     """Tokens of the battery that no base span touches, with their p-values."""
-    free = F.filter(pattern_spans(text, "random", TOKEN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.transform(free, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), log_p(s["text"]).alias("p"), band(s["text"]).alias("band")))
+    free = untouched(pattern_spans(text, "random", TOKEN), base)
+    return F.transform(free, lambda s: F.struct(F.lit("random").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), log_p(s["text"]).alias("p"), band(s["text"]).alias("band")))
 
 
 def band(token: Column) -> Column:
@@ -137,21 +186,15 @@ def thresholds(docs: DataFrame, text: str = "text") -> dict[int, float]:
     return {r["band"]: r["top"] * STEP for r in called.groupBy("band").agg(F.max("step").alias("top")).collect()}
 
 
-def all_spans(text: Column, limits: dict[int, float]) -> tuple[Column, Column]:
-    """Base spans, and these with the tokens that stay random, both in order."""
-    base = base_spans(text)
-    if not limits:
-        limit = F.lit(float("-inf"))
-    else:
-        limit = None
-    pairs = [F.lit(v) for b, t in limits.items() for v in (b, t)]
+def all_spans(text: Column, base: Column, limits: dict[int, float]) -> Column:
+    """Base spans with the tokens that stay random, in order."""
+    pairs, never = [F.lit(v) for b, t in limits.items() for v in (b, t)], F.lit(float("-inf"))
 
     def stays(s: Column) -> Column:
-        edge = F.coalesce(F.element_at(F.create_map(*pairs), s["band"]), F.lit(float("-inf"))) if limit is None else limit
-        return s["p"] > edge
+        return s["p"] > (F.coalesce(F.element_at(F.create_map(*pairs), s["band"]), never) if pairs else never)
 
     more = F.when(text.rlike(TOKEN), F.transform(F.filter(candidates(text, base), stays), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
-    return base, in_order(F.concat(base, F.coalesce(more, F.array().cast(SPAN))))
+    return in_order(F.concat(base, F.coalesce(more, F.array().cast(SPAN))))
 
 
 def written(spans: Column) -> Column:
@@ -166,8 +209,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     within a run; the battery's limits depend on the whole table."""
     limits = thresholds(docs, text)
     t = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    base, every = all_spans(F.col("_t"), limits)
-    t = t.select(key, base.alias("_b"), every.alias("_a"))
+    t = t.withColumn("_b", base_spans(F.col("_t"))).withColumn("_a", all_spans(F.col("_t"), F.col("_b"), limits))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_b", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -180,13 +222,33 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by MASK; spans that touch or overlap become one mask. Null stays null."""
     limits = thresholds(docs, text)
     t = F.col(text)
-    _, spans = all_spans(F.coalesce(t, F.lit("")), limits)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    names = iter(f"_spans{i}" for i in range(len(docs.columns) + 2))
+    b, n = (next(x for x in names if x not in docs.columns) for _ in range(2))
+    out = docs.withColumn(b, base_spans(F.coalesce(t, F.lit(""))))
+    out = out.withColumn(n, all_spans(F.coalesce(t, F.lit("")), F.col(b), limits))
+    return out.withColumn(text, F.when((F.size(n) > 0) & t.isNotNull(), masked(t, F.col(n))).otherwise(t)).drop(b, n)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """Text with each span (by start) replaced by MASK; one that begins inside another adds none.
+
+    A block of spans is cut from the rest of the text as one piece, within which its spans are placed."""
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def block(acc: Column, some: Column) -> Column:
+        length = F.greatest(F.array_max(F.transform(some, lambda s: s["end"])) - acc["at"], F.lit(0))
+        piece = F.substring(acc["rest"], F.lit(1), length)
+
+        def inside(p: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+
+            def step(a: Column, s: Column) -> Column:
+                kept = F.substring(p, a["at"] - acc["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+                return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], kept, F.lit(MASK))).alias("out"))
+
+            done = F.aggregate(some, begin, step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.substring(acc["rest"], length + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
+        return let(piece, inside)
 
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    n = next(name for i in range(len(docs.columns) + 1) if (name := f"_spans{i}") not in docs.columns)
-    return docs.withColumn(n, F.size(spans)).withColumn(text, F.when((F.col(n) > 0) & t.isNotNull(), clean).otherwise(t)).drop(n)
+    return let(in_blocks(spans, start, block, 64), lambda d: F.concat(F.array_join(d["out"], ""), d["rest"]))

@@ -145,3 +145,44 @@ def test_pipeline_against_its_stages(spark):
     out = p.run(spark, SF).collect()
     assert {r.doc_id for r in out} == set(after)
     assert all(0 <= r.taken <= 2 * r.size for r in out)
+
+
+def test_secrets_of_a_text_with_many_hits(spark):
+    """20,000 hits in one text, of all kinds and with tokens beside, inside and around them, in a few seconds."""
+    import random
+    import time
+
+    from cellweave.llm.secret_scan import redact_secrets, scan_secrets
+
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    lines = []
+    for i in range(5000):
+        lines += [f"token={key(24)}", f"AKIA{key(16).upper()} {key(32)}", "".join(rng.choices("0123456789abcdef", k=32)), f"{key(22)}secret:{key(8)}"]
+    made = {1: "\n".join(lines), 2: "plain"}
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    began = time.time()
+    got = scan_secrets(docs).collect()
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert time.time() - began < 60
+    check_secrets(got, made)
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got) >= 20_000 and not base_spans(clean[1]) and clean[2] == "plain"
+    spans = [s.split(":") for s in next(r.spans for r in got if r.doc_id == 1).split(",")]
+    out, at = [], 0
+    for _, a, z in ((k, int(a), int(z)) for k, a, z in spans):
+        if a >= at:
+            out += [made[1][at:a], "[SECRET]"]
+        at = max(at, z)
+    assert clean[1] == "".join(out) + made[1][at:]
+    # tokens that touch no base span, one by one
+    base = base_spans(made[1])
+    free = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", made[1])]
+    edges = sorted((a, z) for _, a, z in base)
+    reach, k, want = 0, 0, set()
+    for a, z in free:
+        while k < len(edges) and edges[k][0] <= a:
+            reach, k = max(reach, edges[k][1]), k + 1
+        if reach <= a and (k == len(edges) or edges[k][0] >= z):
+            want.add((str(a), str(z)))
+    assert {(a, z) for kind, a, z in spans if kind == "random"} <= want and len(want) > 4000
