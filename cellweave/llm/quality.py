@@ -204,8 +204,9 @@ def held_out(key: str | Column, mod: int, rest: int) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, most: int = SAMPLE) -> Forest:
     """A forest of at most `most` labelled rows, those of the smallest hash of doc_id; train says which rows may be used.
 
-    Labels without a document, of null quality or of null doc_id don't count; repeated labels count once."""
-    usable = labels.where("doc_id is not null and quality is not null")
+    Labels without a document, of null doc_id, or of a quality other than 0 and 1 (null too) don't count; repeated labels count once, and
+    of different ones the higher. Without any label of use every document has score 0.5."""
+    usable = labels.where("doc_id is not null and quality in (0, 1)")
     if train is not None:
         usable = usable.where(train)
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -306,3 +306,16 @@ def test_shared_folder_is_never_local_to_a_machine_on_a_cluster():
     cluster = S(conf=S(get=lambda *_: None), sparkContext=S(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(cluster, "x")
+
+
+def test_labels_other_than_0_and_1_do_not_count(spark):
+    from cellweave.llm.quality import fit_quality, quality_scores
+
+    docs = spark.createDataFrame([(i, ("Fine words, in good order. " if i % 2 else "zz !! 99 ## ") * (i + 1)) for i in range(80)], "doc_id long, text string")
+    plain = [(i, i % 2) for i in range(60)]
+    labels = spark.createDataFrame([*plain, *((i, 5) for i in range(60, 80)), (3, None), (None, 1), (5, -1)], "doc_id long, quality int")
+    want = fit_quality(docs, spark.createDataFrame(plain, "doc_id long, quality int"))
+    rows = [{r.doc_id: r.score for r in quality_scores(docs, f).collect()} for f in (want, fit_quality(docs, labels))]
+    assert rows[0] == rows[1] and all(0 <= x <= 1 for x in rows[0].values()) and (rows[0][61] >= 0.5) and (rows[0][60] < 0.5)
+    none = quality_scores(docs, fit_quality(docs, labels.where("quality = 5"))).collect()
+    assert {r.score for r in none} == {0.5}
