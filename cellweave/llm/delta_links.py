@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.components import connected_components
-from cellweave.llm.shared import cut
+from cellweave.llm.shared import cut, discard
 
 #: Sets of a group that are compared pair by pair; ratio of the ends of a class of G.
 FEW, STEP = 16, 1.5
@@ -81,7 +81,8 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
         joined = connected_components(near, "c", "mc").select(F.col("node").alias("c"), F.col("component").alias("to"))
-        apart = cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart")
+        before, apart = apart, cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart")
+        discard(before)
     rare = F.least("k", F.col("n") - F.col("k")).alias("rare")
     who = ["fam", "w", "c", "g", "d", "own"]
     ranked = apart.select(*who, F.explode("xs").alias("x")).join(freq, ["fam", "x"])
@@ -100,7 +101,7 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     large = large.where((u + _least(F.col("other") + 1) > 0) & (F.col("at") <= F.col("d") - met)).drop("ks")
     large = cut(large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")), "large")
     keys = ["fam", "lo", "hi", "x"]
-    groups = cut(_members(large, keys, "own").where("lo = hi or min_own < max_own").select(*keys, "n", "h1", "h2"), "groups")
+    few, groups = groups, cut(_members(large, keys, "own").where("lo = hi or min_own < max_own").select(*keys, "n", "h1", "h2"), "groups")
     pairs = pairs.unionByName(_listed(large.join(groups.where(F.col("n") <= FEW).select(*keys), keys), keys, unit)).distinct()
     side = [apart.select("fam", F.col("w").alias(f"w{e}"), F.col("id").alias(e), F.col("g").alias(f"g{e}"), F.col("xs").alias(f"x{e}")) for e in "ab"]
     both = pairs.join(side[0], ["fam", "wa"]).join(side[1], ["fam", "wb"])
@@ -108,18 +109,22 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     many = groups.where(F.col("n") > FEW).groupBy("n", "h1", "h2").agg(F.min(F.struct(*keys)).alias("key")).select("key.*")
     many = large.join(many, keys).select("fam", "w", F.xxhash64(*keys).alias("next")).distinct()
     following = many.join(apart, ["fam", "w"]).select(F.col("next").alias("fam"), "w", "id", "c", "s", "xs")
-    return near.select("a", "b"), cut(more, "links"), cut(following, "level")
+    links, following = cut(more, "links"), cut(following, "level")
+    discard(apart, family, first, few, large, groups)
+    return near.select("a", "b"), links, following
 
 
 def delta_links(level: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join whatever components c the links within each family join.
 
     level (fam, w, id, c, s, xs): a row for each different set of a family, named w there, of s elements, of document id in
-    component c; xs: its difference from any one set of reference of its family, such as the empty one. Pairs already in one component need not be in the result; every pair in it links."""
+    component c; xs: its difference from any one set of reference of its family, such as the empty one. A written table: it is gone through
+    several times and deleted at the end. Pairs already in one component need not be in the result; every pair in it links."""
     found = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    level = cut(level, "level")
     while not level.isEmpty():
-        near, more, level = _round(level, percent)
+        near, more, following = _round(level, percent)
+        discard(level)
+        level = following
         found = found.unionByName(near).unionByName(more)
     return cut(found, "found")
 

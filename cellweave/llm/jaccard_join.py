@@ -30,7 +30,7 @@ from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
 from cellweave.llm.delta_links import BUCKET as FAMILIES
 from cellweave.llm.delta_links import WHOLE_SETS, WHOLE_SIZE, delta_links, whole_links
-from cellweave.llm.shared import cut, parts_for, release, text_bytes, utf8
+from cellweave.llm.shared import cut, discard, parts_for, text_bytes, utf8
 
 U = np.uint64
 #: Ratio of a size band's ends.
@@ -382,7 +382,9 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     # where a family's sets have little in common, differences are larger than the sets: the empty set is the reference then
     near = level.groupBy("fam").agg((F.sum(F.size("apart")) < F.sum("s")).alias("near"))
     level = level.join(near, "fam").select("fam", "w", "id", "c", "s", F.when(F.col("near"), F.col("apart")).otherwise(F.col("xs")).alias("xs"))
-    return cut(found, "found").unionByName(delta_links(level, percent))
+    found, level = cut(found, "found"), cut(level, "level")
+    discard(every, members, families)
+    return found.unionByName(delta_links(level, percent))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,7 +411,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     stars = cut(possible(star_pairs(keyed, n, percent, buckets, plan_of).where("a <> b"), size, percent), "stars")
     # a pair that cannot link goes on only if its signatures are not all known
     checked = cut(verified(stars.where("can or not whole").select("a", "b"), keyed, n, percent, plan_of), "verified")
-    release(docs.sparkSession)
     edges = copies.unionByName(checked.where("linked").select("a", "b"))
     parts = cut(connected_components(edges), "components")
     # groups in which a pair failed: their members may link to one another
@@ -417,9 +418,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     members = signature_rows(keyed, n, percent, plan_of).join(broken, "sig")
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
     of = cut(of, "members")
-    release(docs.sparkSession)
     mixed = of.groupBy("sig").agg(F.min("id").alias("low"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     chains = cut(of.join(mixed.select("sig", "low"), "sig").select("id", "low", "c").distinct(), "chains")
+    discard(of, stars)
     more = edges.limit(0)
     if not chains.isEmpty():
         more = family_links(chains, keyed, size, n, percent)
