@@ -77,16 +77,20 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     apart = level.join(common, "fam", "left").withColumn("xs", F.concat(F.array_except("xs", r), F.array_except(r, "xs"))).drop("r")
     apart = apart.withColumn("d", F.size("xs").cast("long")).withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
     apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart")
+    discard(level)
     family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m"), F.collect_set("own").alias("ks")), "family")
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
         joined = connected_components(near, "c", "mc").select(F.col("node").alias("c"), F.col("component").alias("to"))
         before, apart = apart, cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart")
         discard(before)
-    rare = F.least("k", F.col("n") - F.col("k")).alias("rare")
+    # how many sets differ from the consensus by an element
+    rare = apart.select("fam", F.explode("xs").alias("x")).groupBy("fam", "x").agg(F.count("*").alias("rare"))
     who = ["fam", "w", "c", "g", "d", "own"]
-    ranked = apart.select(*who, F.explode("xs").alias("x")).join(freq, ["fam", "x"])
-    ranked = ranked.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct(rare, "x")))["x"].alias("xs")).join(family, "fam")
+    # an element takes only its set's name along
+    ranked = apart.select("fam", "w", F.explode("xs").alias("x")).join(rare, ["fam", "x"])
+    ranked = ranked.groupBy("fam", "w").agg(F.sort_array(F.collect_list(F.struct("rare", "x")))["x"].alias("xs"))
+    ranked = ranked.join(apart.select(*who), ["fam", "w"]).join(family, "fam")
     u = F.col("g") / unit
     # a set of smaller u links only if all that is needed fits into its own difference, whose set is at most 100 / p as large
     least = F.greatest(F.col("m.g") / unit, u - (F.col("d") - 2 * u) * 100 / percent)
@@ -118,13 +122,11 @@ def delta_links(level: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join whatever components c the links within each family join.
 
     level (fam, w, id, c, s, xs): a row for each different set of a family, named w there, of s elements, of document id in
-    component c; xs: its difference from any one set of reference of its family, such as the empty one. A written table: it is gone through
-    several times and deleted at the end. Pairs already in one component need not be in the result; every pair in it links."""
+    component c; xs: its difference from any one set of reference of its family, such as the empty one. A written table of cut, deleted by
+    the first round. Pairs already in one component need not be in the result; every pair in it links."""
     found = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     while not level.isEmpty():
-        near, more, following = _round(level, percent)
-        discard(level)
-        level = following
+        near, more, level = _round(level, percent)
         found = found.unionByName(near).unionByName(more)
     return cut(found, "found")
 

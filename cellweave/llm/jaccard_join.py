@@ -374,17 +374,13 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     every = cut(wanted.join(sets, "id").dropDuplicates(["fam", "w"]), "sets")
     small = (F.col("n") <= WHOLE_SETS) & (F.col("total") <= WHOLE_SIZE)
     found = whole_links(every.where(small), percent, parts_for(families.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], FAMILIES, 48))
-    # what a set has and one set of its family has not, or the other way round: any reference serves, this one needs no counts
-    large = every.where(~small)
-    one = large.where("id = pivot").groupBy("fam").agg(F.min_by("xs", "w").alias("r"))
-    apart = F.concat(F.array_except("xs", "r"), F.array_except("r", "xs"))
-    level = large.join(one, "fam").withColumn("apart", apart).drop("r")
-    # where a family's sets have little in common, differences are larger than the sets: the empty set is the reference then
-    near = level.groupBy("fam").agg((F.sum(F.size("apart")) < F.sum("s")).alias("near"))
-    level = level.join(near, "fam").select("fam", "w", "id", "c", "s", F.when(F.col("near"), F.col("apart")).otherwise(F.col("xs")).alias("xs"))
-    found, level = cut(found, "found"), cut(level, "level")
-    discard(every, members, families)
-    return found.unionByName(delta_links(level, percent))
+    # the empty set is the reference of larger families; their first round finds what most of their sets hold
+    found = cut(found, "found")
+    level = every.where(~small).select("fam", "w", "id", "c", "s", "xs")
+    level._cut_path = every._cut_path  # deleted once the first round has its own
+    more = delta_links(level, percent)
+    discard(members, families)
+    return found.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
