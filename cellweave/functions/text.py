@@ -44,3 +44,9 @@ def without_property(css: Column, name: str) -> Column:
 def sheet_name_of(ref: Column) -> Column:
     """The sheet of a reference without quotes; null if there is none."""
     return F.when(F.instr(ref, "!") > 0, F.regexp_replace(F.regexp_extract(ref, r"^(.*)!", 1), r"^'|'$", ""))
+
+
+def stable_guid(*parts: Column) -> Column:
+    """An identifier in the form of a GUID that only depends on the parts, so that a row keeps it however often it is computed."""
+    h = F.upper(F.md5(F.concat_ws("/", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts)).cast("binary")))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

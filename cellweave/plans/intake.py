@@ -8,10 +8,11 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from cellweave.operators import workbooks
 from cellweave.plans.fixtures import ENCODERS, _zip, binary_docs, compound_tree, customers, rejoined, table, text_docs
-from cellweave.sources import delimited, markup
+from cellweave.sources import delimited, markup, xlsx_parts, zipped
 from cellweave.sources.compound import compound_entries
 from cellweave.sources.datasource import register, write_files
 from cellweave.sources.files import shared_folder
@@ -231,3 +232,82 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn()
     cells, _ = arrivals.current(spark, out)
     return by_name(cells).select("workbook_id", "col_idx", "v_str")
+
+
+_FRAME = '<draw:frame svg:x="1cm" svg:y="2in" svg:width="{w}px" svg:height="10pt" draw:z-index="{z}">{inner}</draw:frame>'
+
+
+@F.pandas_udf(BinaryType())
+def _drawn_ods(keys: pd.Series) -> pd.Series:
+    """A sheet with an image in its second column, a chart in its third row, and a comment."""
+
+    def one(k: int) -> bytes:
+        image = _FRAME.format(w=k + 1, z=k, inner=f'<draw:image xlink:href="Pictures/{k}.png"/>')
+        chart = _FRAME.format(w=9, z=0, inner='<draw:object xlink:href="./Object 1"/><draw:image xlink:href="./ObjectReplacements/Object 1"/>')
+        note = f'<office:annotation office:display="true"><dc:creator>A{k}</dc:creator><dc:date>2024-01-0{k % 9 + 1}</dc:date><text:p>one</text:p><text:p>n{k}</text:p></office:annotation>'
+        rows = f'<table:table-row><table:table-cell/><table:table-cell>{image}</table:table-cell></table:table-row><table:table-row table:number-rows-repeated="{k + 1}"><table:table-cell/></table:table-row><table:table-row><table:table-cell table:number-columns-repeated="3"/><table:table-cell>{note}{chart}</table:table-cell></table:table-row>'
+        return _zip({"content.xml": f'<office:document-content><office:body><office:spreadsheet><table:table table:name="a">{rows}</table:table></office:spreadsheet></office:body></office:document-content>'})
+
+    return pd.Series([one(k) for k in keys], dtype=object)
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), _drawn_ods((F.col("s_suppkey") % 40).cast("long")).alias("content"))
+
+
+_GUID = "(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) FROM (SELECT upper(md5(s_suppkey || '/0/' || nth)) AS h))"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, s_suppkey % 40 AS k FROM supplier), m AS (SELECT *, 0 AS nth, 0 AS row_idx, 1 AS col_idx, 'image' AS kind, 'Pictures/' || k || '.png' AS href, k + 1 AS width, k AS z_index FROM s
+UNION ALL SELECT *, 1, CAST(k + 2 AS INTEGER), 3, 'chart', './Object 1', 9, 0 FROM s)
+SELECT s_suppkey AS workbook_id, row_idx, col_idx, kind, href, 37.795::DOUBLE AS "left", 192.0::DOUBLE AS top, CAST(width AS DOUBLE) AS width, 10 * 7.15::DOUBLE AS height, CAST(z_index AS INTEGER) AS z_index, {_GUID} AS id FROM m""")
+def ods_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipped.ods_media(drawn(spark, sf_dir)).select("workbook_id", "row_idx", "col_idx", "kind", "href", "left", "top", "width", "height", "z_index", "id")
+
+
+@query("""SELECT s_suppkey AS workbook_id, CAST(s_suppkey % 40 + 2 AS INTEGER) AS row_idx, 3 AS col_idx, 'A' || (s_suppkey % 40) AS author, '2024-01-0' || (s_suppkey % 40 % 9 + 1) AS date, 'one' || chr(10) || 'n' || (s_suppkey % 40) AS text, true AS visible FROM supplier""")
+def ods_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipped.ods_comments(drawn(spark, sf_dir)).select("workbook_id", "row_idx", "col_idx", "author", "date", "text", "visible")
+
+
+@F.pandas_udf(BinaryType())
+def _ruled_xlsx(keys: pd.Series) -> pd.Series:
+    """A sheet whose dimension, merged range and cell each reach farthest for one key in three, with rules."""
+
+    def one(k: int) -> bytes:
+        far = [5, 5, 5]
+        far[k % 3] = 10 + k
+        rules = f'<dataValidations><dataValidation type="whole" sqref="A1:A{k + 1}" errorStyle="{"warning" if k % 2 else "stop"}"><formula1>1</formula1></dataValidation></dataValidations>'
+        cond = f'<conditionalFormatting sqref="B1:B{k + 1}"><cfRule type="cellIs" operator="equal" priority="1"><formula>1</formula></cfRule></conditionalFormatting>'
+        sheet = f'<worksheet><dimension ref="A1:B{far[0]}"/><sheetData><row r="{far[1]}"><c r="A{far[1]}"><v>1</v></c></row></sheetData><mergeCells><mergeCell ref="A1:C{far[2]}"/></mergeCells>{cond}{rules}</worksheet>'
+        return _zip({"xl/workbook.xml": '<workbook><sheets><sheet name="S"/></sheets></workbook>', "xl/worksheets/sheet1.xml": sheet})
+
+    return pd.Series([one(k) for k in keys], dtype=object)
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), _ruled_xlsx((F.col("s_suppkey") % 50).cast("long")).alias("content"))
+
+
+@query("SELECT s_suppkey AS workbook_id, CAST(9 + s_suppkey % 50 AS INTEGER) AS max_row, 2 AS max_col FROM supplier")
+def xlsx_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sheets reach by cells, merged ranges and stated dimensions."""
+    return xlsx_parts.xlsx_bounds(ruled(spark, sf_dir)).select("workbook_id", "max_row", "max_col")
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 50 AS k FROM supplier) SELECT s_suppkey AS workbook_id, 'S!A1:A' || (k + 1) AS range, 'validation' AS kind, 'whole' AS type, CASE WHEN k % 2 = 1 THEN 'warning' ELSE 'reject' END AS action FROM s
+UNION ALL SELECT s_suppkey, 'S!B1:B' || (k + 1), 'format', 'cellIs', 'format' FROM s""")
+def xlsx_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validations and conditional formats of all sheets together."""
+    return xlsx_parts.xlsx_rules(ruled(spark, sf_dir)).select("workbook_id", "range", "kind", "type", "action")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), r AS (SELECT k, CAST(unnest(range(0, k % 4 + 1)) AS INTEGER) AS y FROM s), c AS (SELECT k, y, CAST(unnest(range(0, k % 4 + 1)) AS INTEGER) AS x FROM r)
+SELECT k AS workbook_id, y AS row_idx, x AS col_idx, CASE WHEN x <= y THEN y || '.' || x ELSE '' END AS v_str, chr(CAST(65 + x AS INTEGER)) AS title FROM c""")
+def csv_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged text as rectangles, with the letters of their columns."""
+    k = F.col("s_suppkey").cast("int")
+    line = lambda y: F.array_join(F.transform(F.sequence(F.lit(0), y), lambda x: F.concat(y.cast("string"), F.lit("."), x.cast("string"))), ",")
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), k % 4), line), "\n").alias("text"))
+    cells, columns = delimited.csv_sheet(docs)
+    return cells.join(columns.select("workbook_id", "sheet_idx", "col_idx", "title"), ["workbook_id", "sheet_idx", "col_idx"]).select("workbook_id", "row_idx", "col_idx", "v_str", "title")

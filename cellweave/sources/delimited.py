@@ -10,7 +10,7 @@ from cellweave.functions.formulas import r1c1_to_a1
 from cellweave.functions.palettes import indexed_color
 from cellweave.functions.text import with_equals
 from cellweave.functions.units import number_prefix, width_px
-from cellweave.operators.relational import cursor, styled
+from cellweave.operators.relational import cursor, default_columns, densify, styled
 from cellweave.sources.model import by_text, cells, streamed
 from cellweave.sources.streams import csv_values
 
@@ -32,6 +32,13 @@ def scan_csv(docs: DataFrame, key: str = "doc_id", text: str = "text", delimiter
     return cells(t.withColumn("sheet_idx", F.lit(0)), kind=by_text(F.col("v")), text=F.col("v"))
 
 
+def csv_sheet(docs: DataFrame, key: str = "doc_id", text: str = "text", delimiter: str = ",", max_cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, columns): delimited text as a rectangle, short rows padded with '', and its columns by letter, of the usual width."""
+    c = scan_csv(docs, key, text, delimiter)
+    none = c.select("workbook_id", "sheet_idx", "col_idx", F.lit(0.0).alias("width_px")).limit(0)
+    return densify(c, "v_str", "", max_cells=max_cells), default_columns(c, none)
+
+
 def scan_dif(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Cells of DIF: after DATA, pairs of lines; BOT begins a row, EOD ends the table."""
     x = lines(docs, key, text).withColumn("line", F.trim("line"))

@@ -19,10 +19,10 @@ from cellweave.functions.palettes import scheme_color, sheet_color
 from cellweave.functions.refs import cell_name, range_coords
 from cellweave.functions.text import clean_formula
 from cellweave.functions.units import emu_px, half_up, number_prefix
-from cellweave.operators.relational import bounding_box, styled
+from cellweave.operators.relational import bounding_box, bounds, styled, validation_union
 from cellweave.sources.streams import whole_number, xlsx_parts_of
 from cellweave.sources.xmlstream import stream_nodes
-from cellweave.sources.zipped import BORDERS, NUMBER_FORMATS, OPERATORS, archived, literal_map, parsed, parts, scan_xlsx, text_of, xlsx_sheets, xlsx_worksheets
+from cellweave.sources.zipped import BORDERS, NUMBER_FORMATS, OPERATORS, archived, literal_map, parsed, parts, scan_xlsx, text_of, xlsx_merges, xlsx_sheets, xlsx_worksheets
 
 SHEET = ["workbook_id", "sheet_idx"]
 # Kinds of images by extension, names of drawn shapes, text rules, chart kinds and places of legends.
@@ -31,6 +31,7 @@ SHAPES = {
     "rect": "rectangle", "roundRect": "rounded-rectangle", "triangle": "triangle", "rtTriangle": "right-triangle", "ellipse": "ellipse", "diamond": "diamond",
     "trapezoid": "trapezium", "pentagon": "pentagon", "hexagon": "hexagon", "octagon": "octagon", "parallelogram": "parallelogram", "rightArrow": "right-arrow",
     "leftArrow": "left-arrow", "upArrow": "up-arrow", "downArrow": "down-arrow", "star5": "star", "heart": "heart", "cloud": "cloud", "line": "line",
+    "plus": "cross", "leftRightArrow": "left-right-arrow", "upDownArrow": "up-down-arrow", "smileyFace": "smiley-face",
 }
 TEXT_RULES = {"containsText": "contains", "notContainsText": "not contains", "beginsWith": "begins with", "endsWith": "ends with"}
 SIMPLE_RULES = {"containsBlanks": "empty", "notContainsBlanks": "notEmpty"}
@@ -86,6 +87,26 @@ def xlsx_dimensions(docs: DataFrame, key: str = "doc_id", content: str = "conten
     return d.select(*SHEET, F.col("r.y2").alias("max_row"), F.col("r.x2").alias("max_col"))
 
 
+def xlsx_bounds(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_idx, max_row, max_col): how far a sheet reaches by its cells, its merged ranges and its stated dimension."""
+    merged = xlsx_merges(docs, key, content)
+    reach = bounds(scan_xlsx(docs, key, content), merged).unionByName(xlsx_dimensions(docs, key, content))
+    return reach.groupBy(*SHEET).agg(F.max("max_row").cast("int").alias("max_row"), F.max("max_col").cast("int").alias("max_col"))
+
+
+def xlsx_rules(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_name, range, kind, type, action): the rules of all sheets together, validations and conditional formats; a range
+    names its sheet."""
+    names = xlsx_sheets(docs, key, content)
+    cond = names.select("workbook_id", "sheet_name", F.explode("x.conditionalFormatting").alias("f"))
+    cond = cond.select("workbook_id", "sheet_name", F.col("f._sqref").alias("range"), F.explode("f.cfRule").alias("r"))
+    cond = cond.select("workbook_id", "sheet_name", "range", F.lit("format").alias("kind"), F.col("r._type").alias("type"), F.lit("format").alias("action"))
+    valid = names.select("workbook_id", "sheet_name", F.explode("x.dataValidations.dataValidation").alias("d"))
+    action = F.when(F.col("d._errorStyle") == "warning", "warning").otherwise("reject")
+    valid = valid.select("workbook_id", "sheet_name", F.col("d._sqref").alias("range"), F.lit("validation").alias("kind"), F.col("d._type").alias("type"), action.alias("action"))
+    return validation_union(valid, cond)
+
+
 def xlsx_frozen(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(workbook_id, sheet_idx, rows, cols): indexes of the frozen rows and columns, counted from the view's first visible cell."""
     view = F.col("x.sheetViews.sheetView")[0]

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.refs import range_coords
-from cellweave.functions.text import clean_formula, with_equals
+from cellweave.functions.text import clean_formula, stable_guid, with_equals
 from cellweave.functions.units import length_px, width_px
 from cellweave.sources.model import by_text, cells, streamed
-from cellweave.sources.streams import DAMAGE, archive_damage, ods_cells, xlsx_parts_of, xlsx_stored, xlsx_strings_of
-from cellweave.sources.xmlstream import stream_nodes
+from cellweave.sources.streams import DAMAGE, archive_damage, ods_cells, ods_rows, xlsx_parts_of, xlsx_stored, xlsx_strings_of
+from cellweave.sources.xmlstream import Node, stream_nodes
 from cellweave.sources.xmltext import bare_names
 
 # Built-in number formats.
@@ -294,3 +294,54 @@ def ods_names(docs: DataFrame, key: str = "doc_id", content: str = "content") ->
                 yield n.attrib.get("name"), n.attrib.get("cell-range-address")
 
     return archived(docs, key, content, "name string, refers_to string", names)
+
+
+def _inside(node: Node, name: str) -> Node | None:
+    """The first element of a name at any depth."""
+    for x in node.content:
+        if isinstance(x, Node):
+            found = x if x.name == name else _inside(x, name)
+            if found is not None:
+                return found
+    return None
+
+
+def _ods_content(z: zipfile.ZipFile, name: str) -> Iterator[tuple[int, int, int, Node]]:
+    """(sheet, row, column, element) of the elements of a name right in a cell, at the cell's first place."""
+    with z.open("content.xml") as f:
+        for sheet, row, _, node in ods_rows(f):
+            col = 0
+            for c in node.content:
+                if isinstance(c, Node) and c.name in ("table-cell", "covered-table-cell"):
+                    yield from ((sheet, row, col, x) for x in c.all(name))
+                    col += c.number("number-columns-repeated") or 1
+
+
+def ods_media(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_idx, row_idx, col_idx, nth, kind, href, left, top, width, height, z_index, id): images and charts in frames, with the
+    cell that they are anchored to; id is the same whenever it is computed. Lengths are in pixels, 0 where none is stored."""
+
+    def media(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for nth, (sheet, row, col, frame) in enumerate(_ods_content(z, "frame")):
+            for kind, name in (("chart", "object"), ("image", "image")):  # an image beside a chart is the chart's own picture
+                found = _inside(frame, name)
+                if found is not None:
+                    yield sheet, row, col, nth, kind, found.attrib.get("href"), *(frame.attrib.get(a, "0") for a in ("x", "y", "width", "height")), frame.number("z-index") or 0
+                    break
+
+    schema = "sheet_idx int, row_idx int, col_idx int, nth int, kind string, href string, x string, y string, w string, h string, z_index int"
+    m = archived(docs, key, content, schema, media)
+    sizes = [F.coalesce(length_px(F.col(c)), F.lit(0.0)).alias(name) for c, name in zip("xywh", ("left", "top", "width", "height"), strict=True)]
+    return m.select("workbook_id", "sheet_idx", "row_idx", "col_idx", "nth", "kind", "href", *sizes, "z_index", stable_guid(F.col("workbook_id"), F.col("sheet_idx"), F.col("nth")).alias("id"))
+
+
+def ods_comments(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(workbook_id, sheet_idx, row_idx, col_idx, author, date, text, visible) of annotations; author and date by attribute or element."""
+
+    def comments(z: zipfile.ZipFile) -> Iterator[tuple]:
+        for sheet, row, col, a in _ods_content(z, "annotation"):
+            author, date = a.first("creator"), a.first("date")
+            text = "\n".join(p.text() for p in a.all("p"))
+            yield sheet, row, col, a.attrib.get("author") or (author.text() if author else ""), a.attrib.get("date") or (date.text() if date else ""), text, a.attrib.get("display") == "true"
+
+    return archived(docs, key, content, "sheet_idx int, row_idx int, col_idx int, author string, date string, text string, visible boolean", comments)
