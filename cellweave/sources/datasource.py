@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 import json
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -92,7 +94,7 @@ class Wanted:
             elif isinstance(f, LessThan):
                 ends.append(f.value - 1)
             elif isinstance(f, In):
-                ends.append(max(f.value))
+                ends.append(max((v for v in f.value if v is not None), default=-1))
         return min(ends, default=None)
 
 
@@ -238,7 +240,10 @@ class WorkbookReader(DataSourceReader):
             elif kind in ("xlsx", "ods"):
                 with zipfile.ZipFile(f) as z:
                     if kind == "ods":
-                        yield from self.ods(z, sheet if sheet is not None or last_sheet is None else last_sheet if sum(map(sheet_ok, range(last_sheet + 1))) == 1 else None, last)
+                        if sheet is None and last_sheet is not None and 0 <= last_sheet < 1 << 12:
+                            some = [i for i in range(last_sheet + 1) if sheet_ok(i)]
+                            sheet = some[0] if len(some) == 1 else None
+                        yield from self.ods(z, sheet, last)
                         return
                     wanted = {i for i, _ in enumerate(streams.xlsx_parts_of(z)) if sheet in (None, i) and sheet_ok(i)}
                     if wrong := streams.archive_fault(z, kind, wanted):
@@ -434,25 +439,24 @@ class _Folder(DataSourceWriter):
 
     def __init__(self, path: str, schema: T.StructType, overwrite: bool):
         self.path, self.schema, self.overwrite = path.rstrip("/"), schema, overwrite
+        self.held = f"_uncommitted-{uuid.uuid4().hex}"  # of this job
 
     def put(self, name: str, data: bytes | Iterator[bytes]) -> tuple[str, str]:
-        import uuid
-
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"A name that leads out of the folder: {name}")
         fs, inner = resolve(self.path)
-        held, place = f"{inner}/_uncommitted/{uuid.uuid4().hex}", f"{inner}/{name}"
-        fs.create_dir(f"{inner}/_uncommitted", recursive=True)
+        held, place = f"{inner}/{self.held}/{uuid.uuid4().hex}", f"{inner}/{name}"
+        fs.create_dir(f"{inner}/{self.held}", recursive=True)
         with fs.open_output_stream(held) as out:
             for piece in (data,) if isinstance(data, bytes) else data:
                 out.write(piece)
         return held, place
 
     def commit(self, messages: list[Written | None]) -> None:
-        from pyarrow.fs import FileSelector
-
         fs, inner = resolve(self.path)
         fs.create_dir(inner, recursive=True)
         if self.overwrite:
-            for old in fs.get_file_info(FileSelector(inner)):
+            for old in fs.get_file_info(pafs.FileSelector(inner)):
                 if not old.base_name.startswith("_"):
                     (fs.delete_file if old.is_file else fs.delete_dir)(old.path)
         for m in messages:
@@ -466,10 +470,8 @@ class _Folder(DataSourceWriter):
 
     def clear(self) -> None:
         fs, inner = resolve(self.path)
-        from pyarrow.fs import FileType
-
-        if fs.get_file_info(f"{inner}/_uncommitted").type == FileType.Directory:
-            fs.delete_dir(f"{inner}/_uncommitted")
+        if fs.get_file_info(f"{inner}/{self.held}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{inner}/{self.held}")
 
 
 class FileWriter(_Folder):
