@@ -1,4 +1,4 @@
-"""Command line: the workbook at a path as JSON, one line."""
+"""Command line: the workbook at a path as JSON, with what its format stores beside cells."""
 
 from __future__ import annotations
 
@@ -15,15 +15,20 @@ def main(args: list[str]) -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    from cellweave.sources.reader import read_workbook, workbook_json
+    from cellweave.operators.workbooks import file_lines, printed
+    from cellweave.sources.reader import BINARY, TEXT, extension, file_errors
 
+    ext = extension(args[0])
+    if ext not in TEXT and ext not in BINARY:
+        print(f"Error: Unsupported file type: {ext}", file=sys.stderr)
+        return 1
     spark = SparkSession.builder.getOrCreate()
-    try:
-        for row in workbook_json(read_workbook(spark, args[0], encoding=None)).toLocalIterator():
-            print(row["json"])
-    except ValueError as e:
-        print(f"Error: {e}", file=sys.stderr)
+    files = spark.read.format("binaryFile").load(args[0])
+    for wrong in file_errors(files).select("message").collect():  # of one file
+        print(f"Error: {wrong['message']}", file=sys.stderr)
         return 1
+    for piece in printed(file_lines(files, ext, **({"encoding": None} if ext in TEXT else {}))):
+        sys.stdout.write(piece)
     return 0
 
 

@@ -213,6 +213,35 @@ def test_command_line(tmp_path, capsys):
     assert "Usage" in capsys.readouterr().out
 
 
+def test_command_line_prints_whole_workbooks(spark, tmp_path, capsys):
+    import json
+
+    from cellweave.__main__ import main
+    from cellweave.plans.showcase import ods, xls, xlsx
+
+    (tmp_path / "a.csv").write_text("x,1\ny\n")
+    (tmp_path / "b.html").write_text("<table><tr><th>t<th>u<tr><td colspan=2>v</table>")
+    (tmp_path / "c.xlsx").write_bytes(xlsx(1, "X"))
+    (tmp_path / "d.xlsx").write_bytes(b"PK")
+    (tmp_path / "e.none").write_text("")
+    out = []
+    for name in ("a.csv", "b.html", "c.xlsx"):
+        assert main([str(tmp_path / name)]) == 0
+        out.append(json.loads(capsys.readouterr().out)["worksheets"])
+    assert [[c["value"] for c in r["cells"]] for r in out[0][0]["data"]] == [["x", "1"], ["y"]]
+    assert out[1][0]["merges"][0]["colspan"] == 2 and out[1][0]["data"][0]["cells"][0]["value"] == "v"
+    first = out[2][0]
+    assert list(first) == ["sheet", "columns", "rows", "merges", "comments", "styles", "validations", "data"] and first["sheet"][0]["state"] == "visible"
+    assert {c["col_idx"] for c in first["columns"]} == {0, 1, 3} and all("css" in s for s in first["styles"]) and len(out[2]) > 1
+    for name, form, parts in (("f.xls", xls, {"sheet", "columns", "merges", "styles", "data"}), ("g.ods", ods, {"sheet", "columns", "merges", "comments", "styles", "data"})):
+        (tmp_path / name).write_bytes(form(1, "X"))
+        assert main([str(tmp_path / name)]) == 0
+        sheets = json.loads(capsys.readouterr().out)["worksheets"]
+        assert parts <= {p for s in sheets for p in s} and sheets[0]["sheet"][0]["sheet_name"] and sheets[0]["data"][0]["row"] == 0
+    assert main([str(tmp_path / "d.xlsx")]) == 1 and main([str(tmp_path / "e.none")]) == 1
+    assert "Not a zip archive" in (err := capsys.readouterr().err) and "Unsupported file type: none" in err
+
+
 def test_compound_file_with_a_small_stream():
     """A stream under the cut-off lies in the mini stream."""
     import struct
