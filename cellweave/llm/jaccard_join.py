@@ -351,14 +351,21 @@ def signature_rows(docs: DataFrame, n: int, percent: int, plan_of: Plans) -> Dat
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, w, s, xs): the shingles of each document, their number and a hash of them."""
+    """docs (id, text, ...) with the shingles of each text in place of it: w, a hash of them, s, their number, and xs. Empty sets are left out."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, h, sizes in _sets(batches, n):
-            xs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(_copies(row, h, sizes)[0]), pa.array(sizes.astype(np.int64)), xs], ["id", "w", "s", "xs"])
+        for batch in batches:
+            at = 0
+            for ids, row, h, sizes in _sets(iter([batch]), n):
+                xs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
+                own = [batch.column(c).slice(at, len(ids)) for c in more]
+                at += len(ids)
+                cols = [pa.array(ids.astype(np.int64)), *own, pa.array(_copies(row, h, sizes)[0]), pa.array(sizes.astype(np.int64)), xs]
+                yield pa.RecordBatch.from_arrays(cols, ["id", *more, "w", "s", "xs"])
 
-    return docs.mapInArrow(run, "id long, w long, s long, xs array<long>").where("s > 0")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.mapInArrow(run, f"id long, {kinds}, w long, s long, xs array<long>").where("s > 0")
 
 
 def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, percent: int) -> DataFrame:
@@ -368,10 +375,14 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     # copies are linked already: one document stands for each set
     members = cut(members.groupBy("fam", "c1", "c2").agg(F.min("id").alias("id"), F.min("c").alias("c")).select("fam", "id", "c"), "members")
     sized = members.join(size.select("id", "s"), "id")
-    families = cut(sized.groupBy("fam").agg(F.count("*").alias("n"), F.sum("s").alias("total"), F.min("id").alias("pivot")).where("n > 1"), "families")
-    wanted = members.join(families.select("fam", "n", "total", "pivot"), "fam")
-    sets = whole_sets(keyed.join(wanted.select("id").distinct(), "id").select("id", "text"), n).dropDuplicates(["id", "w"])
-    every = cut(wanted.join(sets, "id").dropDuplicates(["fam", "w"]), "sets")
+    families = cut(sized.groupBy("fam").agg(F.count("*").alias("n"), F.sum("s").alias("total")).where("n > 1"), "families")
+    wanted = members.join(families, "fam")
+    # what a family needs to know goes along with the texts, so that sets are not shuffled for it
+    sets = whole_sets(keyed.join(wanted, "id").select("id", "text", "fam", "n", "total", "c"), n)
+    # only rows of one id can give a family a set twice
+    if not keyed.groupBy("id").count().where("count > 1").join(wanted, "id", "left_semi").isEmpty():
+        sets = sets.dropDuplicates(["fam", "w"])
+    every = cut(sets, "sets")
     small = (F.col("n") <= WHOLE_SETS) & (F.col("total") <= WHOLE_SIZE)
     found = whole_links(every.where(small), percent, parts_for(families.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], FAMILIES, 48))
     # the empty set is the reference of larger families; their first round finds what most of their sets hold
