@@ -192,6 +192,14 @@ def sticky(df: DataFrame, keys: list[str], order: str, *names: str, segment: int
     return t.select(*(F.coalesce(F.last(c, True).over(over), F.col(f"_before.{c}")).alias(c) if c in names else F.col(c) for c in df.columns))
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, *names: str, segment: int = SEGMENT) -> DataFrame:
+    """df with each named column's sum so far within its group, its own value included; order: whole numbers without large gaps."""
+    t = df.withColumn("_seg", F.floor(F.col(order) / segment))
+    t = before_segments(t, keys, {c: F.coalesce(F.sum(c), F.lit(0)) for c in names}, lambda a, b: {c: a[c] + b[c] for c in names})
+    over = W.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return t.select(*((F.coalesce(F.sum(c).over(over), F.lit(0)) + F.coalesce(F.col(f"_before.{c}"), F.lit(0))).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
 def cursor(df: DataFrame, keys: list[str], order: str, x: str, y: str, moves: str, segment: int = SEGMENT) -> DataFrame:
     """df with row_idx and col_idx (from 0) of a cursor that stays: y is the last y so far; x the last x so far, and one more for each row
     since then whose moves is true. x and y count from 1, and are 1 before any.

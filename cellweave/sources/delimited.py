@@ -10,7 +10,7 @@ from cellweave.functions.formulas import r1c1_to_a1
 from cellweave.functions.palettes import indexed_color
 from cellweave.functions.text import with_equals
 from cellweave.functions.units import number_prefix, width_px
-from cellweave.operators.relational import cursor, default_columns, densify, styled
+from cellweave.operators.relational import cursor, default_columns, densify, running_sums, styled
 from cellweave.sources.model import by_text, cells, streamed
 from cellweave.sources.streams import csv_values
 
@@ -46,9 +46,9 @@ def scan_dif(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     x = x.join(begin, "workbook_id").where("pos >= begin + 3").withColumn("k", F.col("pos") - F.col("begin") - 3)
     pair = x.groupBy("workbook_id", F.floor(F.col("k") / 2).alias("p")).agg(F.max(F.when(F.col("k") % 2 == 0, F.col("line"))).alias("head"), F.max(F.when(F.col("k") % 2 == 1, F.col("line"))).alias("body"))
     pair = pair.withColumn("type", F.substring_index("head", ",", 1).try_cast("int")).withColumn("num", F.substring_index("head", ",", -1))
-    over = W.partitionBy("workbook_id").orderBy("p")
-    pair = pair.withColumn("done", F.max(((F.col("type") == -1) & (F.coalesce("body", F.lit("")).isin("EOD", ""))).cast("int")).over(over)).where("done = 0")
-    pair = pair.withColumn("row_idx", F.sum(((F.col("type") == -1) & (F.col("body") == "BOT")).cast("int")).over(over) - 1)
+    marks = {"done": (F.col("type") == -1) & F.coalesce("body", F.lit("")).isin("EOD", ""), "row_idx": (F.col("type") == -1) & (F.col("body") == "BOT")}
+    pair = pair.withColumns({c: F.coalesce(m, F.lit(False)).cast("int") for c, m in marks.items()})
+    pair = running_sums(pair, ["workbook_id"], "p", "done", "row_idx").where("done = 0").withColumn("row_idx", F.col("row_idx") - 1)
     got = pair.where("type >= 0 and row_idx >= 0").withColumn("sheet_idx", F.lit(0))
     got = got.withColumn("col_idx", F.row_number().over(W.partitionBy("workbook_id", "row_idx").orderBy("p")) - 1)
     kind, code, num = F.col("type"), number_prefix(F.col("num")), number_prefix(F.col("num"))
@@ -99,9 +99,10 @@ def sylk_text(raw: Column) -> Column:
 
 def sylk_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(workbook_id, pos, type, f): records up to E; f maps each field's letter to its value."""
-    x = lines(docs, key, text).select("workbook_id", "pos", F.trim("line").alias("line")).where("line <> '' and not startswith(line, ';')")
-    over = W.partitionBy("workbook_id").orderBy("pos")
-    x = x.withColumn("ended", F.max((F.col("line") == "E").cast("int")).over(over)).where("ended = 0")
+    every = F.transform(F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n"), lambda line: F.trim(line))
+    end = F.array_position(every, "E")
+    x = docs.select(F.col(key).alias("workbook_id"), F.posexplode(F.when(end > 0, F.slice(every, 1, (end - 1).cast("int"))).otherwise(every)).alias("pos", "line"))
+    x = x.where("line <> '' and not startswith(line, ';')")
     # a semicolon ends a field unless it is doubled or inside quotes
     fields = F.regexp_extract_all("line", F.lit(r';([A-Z](?:"[^"]*"|;;|[^;"])*)'), F.lit(1))
     pairs = F.transform(fields, lambda p: F.struct(F.substring(p, 1, 1), F.substring(p, 2, F.length(p))))
