@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from cellweave.operators import workbooks
-from cellweave.plans.fixtures import ENCODERS, _zip, binary_docs, compound_tree, customers, rejoined, table, text_docs
+from cellweave.plans.fixtures import ENCODERS, _zip, binary_docs, compound_tree, customers, encoded, rejoined, table, text_docs
 from cellweave.sources import delimited, markup, xlsx_parts, zipped
 from cellweave.sources.compound import compound_entries
 from cellweave.sources.datasource import register, write_files
@@ -103,15 +103,9 @@ CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, strftime(CAST(CAST(o_orderdat
 FROM orders WHERE o_orderkey % 10 <> 0""")
 def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed rows of dBase tables, each read by ranges of records. The session's time zone is UTC, as that of the tables is."""
-
-    @F.pandas_udf("binary")
-    def encoded(rows: pd.Series) -> pd.Series:
-        return pd.Series([_orders_dbf([tuple(r.values()) for r in x]) for x in rows], dtype=object)
-
     day = F.to_date("o_orderdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderpriority", "o_orderstatus", F.date_format(day, "yyyyMMdd").alias("day"), F.unix_date(day).alias("days"), "o_custkey").alias("r"))
-    files = o.groupBy(F.floor(F.col("o_orderkey") / 16384).alias("doc_id")).agg(F.array_sort(F.collect_list("r")).alias("rows")).select("doc_id", encoded("rows").alias("content"))
-    path = stored(spark, files, "dbf")
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 16384).alias("doc_id"), "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderpriority", "o_orderstatus", F.date_format(day, "yyyyMMdd").alias("day"), F.unix_date(day).alias("days"), "o_custkey")
+    path = stored(spark, encoded(o, _orders_dbf), "dbf")
     register(spark)
     t = spark.read.format("cellweave_dbf").option("partitionBytes", str(1 << 18)).load(path)
     return t.select(F.col("OKEY").alias("okey"), F.col("TOTAL").cast("double").alias("total"), F.col("RATE").alias("rate"), F.col("PRIO").alias("prio"), F.col("OPEN").alias("open"), F.col("DAY").cast("string").alias("day"), F.date_format("AT", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.col("MONEY").cast("double").alias("money"), F.col("CUST").alias("cust"), F.col("X").alias("x"))
