@@ -1,9 +1,19 @@
 """What tasks hold in Python while files are made and written."""
 
 import pyarrow as pa
+import pytest
 
 from cellweave.plans import fixtures
 from cellweave.sources import datasource as D
+from test_oracles import SF
+
+
+@pytest.mark.parametrize("form", sorted(fixtures.ENCODERS))
+def test_files_are_encoded_one_at_a_time(spark, form):
+    """By groups, not by batches of arrays, which would turn the rows of all files of a batch into Python objects at once."""
+    plan = fixtures.binary_docs(spark, SF, form)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    assert "ArrowEvalPython" not in plan
 
 
 def test_rows_of_a_file_in_order(spark):
