@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.components import connected_components
-from cellweave.llm.shared import cut, discard
+from cellweave.llm.shared import LONG_ROWS, cut, discard
 
 #: Sets of a group that are compared pair by pair; ratio of the ends of a class of G.
 FEW, STEP = 16, 1.5
@@ -76,13 +76,13 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     r = F.coalesce("r", F.array().cast("array<bigint>"))
     apart = level.join(common, "fam", "left").withColumn("xs", F.concat(F.array_except("xs", r), F.array_except(r, "xs"))).drop("r")
     apart = apart.withColumn("d", F.size("xs").cast("long")).withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
-    apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart")
+    apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart", LONG_ROWS)
     discard(level)
     family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m"), F.collect_set("own").alias("ks")), "family")
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
         joined = connected_components(near, "c", "mc").select(F.col("node").alias("c"), F.col("component").alias("to"))
-        before, apart = apart, cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart")
+        before, apart = apart, cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart", LONG_ROWS)
         discard(before)
     # how many sets differ from the consensus by an element
     rare = apart.select("fam", F.explode("xs").alias("x")).groupBy("fam", "x").agg(F.count("*").alias("rare"))
@@ -96,7 +96,7 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     least = F.greatest(F.col("m.g") / unit, u - (F.col("d") - 2 * u) * 100 / percent)
     need = F.greatest(F.lit(1), F.ceil(u + least - 1e-6)).cast("int")
     first = ranked.where(F.col("d") >= need).select(*who, "ks", F.posexplode(F.slice("xs", 1, F.col("d").cast("int") - need + 1)).alias("at", "x"))
-    first = cut(first, "first")
+    first = cut(first, "first", LONG_ROWS)
     keys = ["fam", "x"]
     groups = cut(_members(first, keys).select(*keys, "n"), "groups")
     pairs = _listed(first.join(groups.where(F.col("n") <= FEW), keys), keys, unit)
@@ -113,7 +113,7 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     many = groups.where(F.col("n") > FEW).groupBy("n", "h1", "h2").agg(F.min(F.struct(*keys)).alias("key")).select("key.*")
     many = large.join(many, keys).select("fam", "w", F.xxhash64(*keys).alias("next")).distinct()
     following = many.join(apart, ["fam", "w"]).select(F.col("next").alias("fam"), "w", "id", "c", "s", "xs")
-    links, following = cut(more, "links"), cut(following, "level")
+    links, following = cut(more, "links", LONG_ROWS), cut(following, "level", LONG_ROWS)
     discard(apart, family, first, few, large, groups)
     return near.select("a", "b"), links, following
 

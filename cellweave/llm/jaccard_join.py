@@ -30,7 +30,7 @@ from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
 from cellweave.llm.delta_links import BUCKET as FAMILIES
 from cellweave.llm.delta_links import WHOLE_SETS, WHOLE_SIZE, delta_links, whole_links
-from cellweave.llm.shared import cut, discard, parts_for, text_bytes, utf8
+from cellweave.llm.shared import LONG_ROWS, cut, discard, lean_workers, parts_for, text_bytes, utf8
 
 U = np.uint64
 #: Ratio of a size band's ends.
@@ -386,7 +386,7 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     small = (F.col("n") <= WHOLE_SETS) & (F.col("total") <= WHOLE_SIZE)
     found = whole_links(every.where(small), percent, parts_for(families.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], FAMILIES, 48))
     # the empty set is the reference of larger families; their first round finds what most of their sets hold
-    found = cut(found, "found")
+    found = cut(found, "found", LONG_ROWS)
     level = every.where(~small).select("fam", "w", "id", "c", "s", "xs")
     level._cut_path = every._cut_path  # deleted once the first round has its own
     more = delta_links(level, percent)
@@ -403,6 +403,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     repeated rows each give a row. A null key gives a row with a null component. Extra columns are ignored, an
     empty table gives no rows. Ties have no effect: components do not depend on the order of rows.
     """
+    lean_workers(docs.sparkSession)
     none = np.iinfo(np.int64).min
     base = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("text"))
     keyed = base.where("id is not null")

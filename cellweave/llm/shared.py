@@ -24,22 +24,41 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Memory settings of Python workers (glibc's and Arrow's), by which what a task has freed goes back to the system: idle workers stay small.
+_LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers of functions that are made from now on give back what they free; settings that the session has stay."""
+    for name, value in _LEAN.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 #: Spark's setting by which the shuffle files of an execution go when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors; shuffle files go once it is written."""
+#: Spark's setting for the rows that a Parquet scan decodes at once, and how many of them where rows hold long arrays.
+_SCANNED, LONG_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 128
+
+
+def cut(df: DataFrame, name: str = "cut", scanned: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors; shuffle files go once it is written.
+
+    scanned: rows that Parquet scans of df decode at once, which bounds what they hold of long arrays."""
     spark = df.sparkSession
-    path, before = shared_dir(spark, name), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    path, wanted = shared_dir(spark, name), {_CLEANUP: "true"} | ({_SCANNED: str(scanned)} if scanned else {})
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
