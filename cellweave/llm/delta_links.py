@@ -7,7 +7,8 @@ the set of least u. Any others that link share one of the first |difference| - (
 first, which is a few for each set, as sizes bound the u of what it can link to. Groups by such an element hold at most half of a
 family, since over half would have put the element into the consensus. Groups of at most FEW sets are compared pair by
 pair; larger ones are parted by classes of u, for which fewer elements do, and what is still large is a family of the
-next round. Rounds thus end, each is linear in its rows, and no large group's pairs are listed.
+next round. Rounds thus end, each is linear in its rows, and no large group's pairs are listed. What only one set
+of a family differs by brings it to no other: a round counts it and leaves it behind.
 
 Families of at most WHOLE_SETS sets and WHOLE_SIZE elements, a bound on what a task holds, are done by one task each
 (whole_links), in the same way; larger ones by Spark, in rounds (delta_links).
@@ -15,7 +16,7 @@ Families of at most WHOLE_SETS sets and WHOLE_SIZE elements, a bound on what a t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
-from cellweave.llm.shared import LONG_ROWS, cut, discard
+from cellweave.llm.shared import LONG_ROWS, cut, discard, parts_for
 
 #: Sets of a group that are compared pair by pair; ratio of the ends of a class of G.
 FEW, STEP = 16, 1.5
 #: Sets and elements of a family that one task takes at most, and elements of the families that a bucket stands for.
 WHOLE_SETS, WHOLE_SIZE, BUCKET = 4096, 4 << 20, 1 << 20
+#: Families and their consensus's elements that are broadcast rather than joined by a shuffle, at most.
+SMALL = 1 << 16
+SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("fam", "w", "size", "x"))])
 
 
 def _class(u: Column) -> Column:
@@ -67,36 +72,126 @@ def _pairs(members: str, may: Callable[[Column, Column], Column], name: str) ->
     return F.flatten(F.transform(members, lambda p: F.transform(F.filter(members, lambda q: may(p, q)), lambda q: F.struct(p[name].alias("p"), q[name].alias("q")))))
 
 
+def shared_elements(level: DataFrame, buckets: int) -> DataFrame:
+    """(fam, x, w, k, lead): the elements that k > 1 sets of a family hold, a row a set; lead is true in one of these rows.
+
+    An element goes to one bucket; the elements of a task's sets go to a bucket as one record."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            fam, w, size, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            row = np.repeat(np.arange(len(fam)), size)
+            bucket = ((K.mix(x.view(np.uint64) ^ K.mix(fam.view(np.uint64))[row]) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            bucket, row, x = bucket[by], row[by], x[by]
+            out = []
+            for i, j in zip(*K.runs(bucket), strict=True):
+                start, end = K.runs(row[i:j])
+                own = row[i:j][start]
+                out.append((int(bucket[i]), *(c.tobytes() for c in (fam[own], w[own], end - start, x[i:j]))))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SENT, strict=True)], schema=SENT)
+
+        parts, have = [], 0
+        for b in batches:
+            lists = b.column(2)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            if off[-1] == off[0]:
+                continue
+            fam, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            parts.append((fam, w, np.diff(off), lists.values.to_numpy()[off[0] : off[-1]]))
+            have += len(parts[-1][3])
+            if have >= BUCKET:
+                yield sent(parts)
+                parts, have = [], 0
+        if have:
+            yield sent(parts)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        fam, w, size, x = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fam", "w", "size", "x"))
+        row = np.repeat(np.arange(len(fam)), size)
+        by = np.argsort(x) if (fam == fam[0]).all() else np.lexsort((x, fam[row]))
+        row, x = row[by], x[by]
+        turn = np.ones(len(x), bool)
+        turn[1:] = (x[1:] != x[:-1]) | (fam[row[1:]] != fam[row[:-1]])
+        start = np.flatnonzero(turn)
+        count = np.diff(np.append(start, len(x)))
+        k = np.repeat(count, count)
+        more = k > 1
+        return pa.table({"fam": fam[row[more]], "x": x[more], "w": w[row[more]], "k": k[more], "lead": turn[more]})
+
+    rows = level.select("fam", "w", "xs").mapInArrow(send, "bucket long, fam binary, w binary, size binary, x binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "fam long, x long, w long, k long, lead boolean")
+
+
+def _sent(families: DataFrame, size: Column) -> DataFrame:
+    """families, sent to all tasks if they are at most SMALL by the sum of size."""
+    return F.broadcast(families) if (families.agg(F.sum(size)).first()[0] or 0) <= SMALL else families
+
+
+def _apart(sets: DataFrame) -> DataFrame:
+    """(fam, w, id, c, s, alone, xs): what parts a set from the consensus of its family; xs, rarest first, has what others differ by too, alone counts the rest.
+
+    sets (fam, w, id, c, s, alone, n, held, common): held, the set's elements that others have; common, the consensus; both as (k, x)."""
+
+    def ends(column: pa.Array) -> tuple[np.ndarray, ...]:
+        values = column.values
+        return column.offsets.to_numpy(), *(values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alone, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("alone", "n"))
+            (at, k, x), (rat, rk, rx) = (ends(b.column(c)) for c in ("held", "common"))
+            alone, lists = alone.copy(), []
+            for i in range(len(n)):
+                own, rare = x[at[i] : at[i + 1]], k[at[i] : at[i + 1]]
+                if rat[i] < rat[i + 1]:
+                    r, lacking = rx[rat[i] : rat[i + 1]], n[i] - rk[rat[i] : rat[i + 1]]
+                    mine, theirs = ~np.isin(own, r), ~np.isin(r, own)
+                    own, rare = np.concatenate([own[mine], r[theirs]]), np.concatenate([rare[mine], lacking[theirs]])
+                    others = rare > 1
+                    alone[i] += len(own) - others.sum()
+                    own, rare = own[others], rare[others]
+                lists.append(own[np.lexsort((own, rare))])
+            off = np.concatenate([[0], np.cumsum([len(y) for y in lists])])
+            xs = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists) if lists else x[:0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("fam", "w", "id", "c", "s")), pa.array(alone), xs], ["fam", "w", "id", "c", "s", "alone", "xs"])
+
+    return sets.mapInArrow(run, "fam long, w long, id long, c long, s long, alone long, xs array<long>")
+
+
 def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) to the sets of least u, other links, and the families of the next round."""
     unit = 2 * (100 + percent)
-    held = level.select("fam", F.explode("xs").alias("x")).groupBy("fam", "x").agg(F.count("*").alias("k"))
-    freq = held.join(level.groupBy("fam").agg(F.count("*").alias("n")), "fam")
-    common = freq.where("2 * k > n").groupBy("fam").agg(F.collect_list("x").alias("r"))
-    r = F.coalesce("r", F.array().cast("array<bigint>"))
-    apart = level.join(common, "fam", "left").withColumn("xs", F.concat(F.array_except("xs", r), F.array_except(r, "xs"))).drop("r")
-    apart = apart.withColumn("d", F.size("xs").cast("long")).withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
-    apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart", LONG_ROWS)
+    sized = cut(level.select("fam", "w", "id", "c", "s", "alone", F.size("xs").cast("long").alias("size")), "sized", LONG_ROWS)
+    held = cut(shared_elements(level, parts_for(sized.agg(F.sum("size")).first()[0], BUCKET, 48)), "held", LONG_ROWS)
     discard(level)
+    counts = cut(sized.groupBy("fam").agg(F.count("*").alias("n")), "counts")
+    element = F.struct("k", "x")
+    common = held.where("lead").join(_sent(counts, F.lit(1)), "fam").where("2 * k > n").groupBy("fam").agg(F.collect_list(element).alias("common"))
+    common = cut(counts.join(common, "fam", "left").select("fam", "n", "common"), "common")
+    sets = sized.join(held.groupBy("fam", "w").agg(F.collect_list(element).alias("held")), ["fam", "w"], "left")
+    sets = sets.withColumn("alone", F.col("alone") + F.col("size") - F.coalesce(F.size("held"), F.lit(0)))
+    none = F.array().cast("array<struct<k:bigint,x:bigint>>")
+    sets = sets.join(_sent(common, F.greatest(F.lit(1), F.size("common"))), "fam").withColumns({c: F.coalesce(c, none) for c in ("held", "common")})
+    apart = _apart(sets.select("fam", "w", "id", "c", "s", "alone", "n", "held", "common")).withColumn("d", F.col("alone") + F.size("xs"))
+    apart = apart.withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
+    apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart", LONG_ROWS)
+    discard(held, sized, counts, common)
     family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m"), F.collect_set("own").alias("ks")), "family")
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
         joined = connected_components(near, "c", "mc").select(F.col("node").alias("c"), F.col("component").alias("to"))
         before, apart = apart, cut(apart.join(joined, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to"), "apart", LONG_ROWS)
         discard(before)
-    # how many sets differ from the consensus by an element
-    rare = apart.select("fam", F.explode("xs").alias("x")).groupBy("fam", "x").agg(F.count("*").alias("rare"))
     who = ["fam", "w", "c", "g", "d", "own"]
-    # an element takes only its set's name along
-    ranked = apart.select("fam", "w", F.explode("xs").alias("x")).join(rare, ["fam", "x"])
-    ranked = ranked.groupBy("fam", "w").agg(F.sort_array(F.collect_list(F.struct("rare", "x")))["x"].alias("xs"))
-    ranked = ranked.join(apart.select(*who), ["fam", "w"]).join(family, "fam")
     u = F.col("g") / unit
     # a set of smaller u links only if all that is needed fits into its own difference, whose set is at most 100 / p as large
     least = F.greatest(F.col("m.g") / unit, u - (F.col("d") - 2 * u) * 100 / percent)
     need = F.greatest(F.lit(1), F.ceil(u + least - 1e-6)).cast("int")
-    first = ranked.where(F.col("d") >= need).select(*who, "ks", F.posexplode(F.slice("xs", 1, F.col("d").cast("int") - need + 1)).alias("at", "x"))
-    first = cut(first, "first", LONG_ROWS)
+    # what a set alone differs by comes first and brings it to no other
+    kept = F.greatest(F.lit(0), F.col("d") - need + 1 - F.col("alone")).cast("int")
+    first = apart.join(family, "fam").where(F.col("d") >= need).select(*who, "ks", "alone", F.posexplode(F.slice("xs", 1, kept)).alias("at", "x"))
+    first = cut(first.withColumn("at", F.col("at") + F.col("alone")).drop("alone"), "first", LONG_ROWS)
     keys = ["fam", "x"]
     groups = cut(_members(first, keys).select(*keys, "n"), "groups")
     pairs = _listed(first.join(groups.where(F.col("n") <= FEW), keys), keys, unit)
@@ -112,7 +207,7 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     more = both.where(F.col("ga") + F.col("gb") <= unit * F.size(F.array_intersect("xa", "xb")).cast("long")).select("a", "b")
     many = groups.where(F.col("n") > FEW).groupBy("n", "h1", "h2").agg(F.min(F.struct(*keys)).alias("key")).select("key.*")
     many = large.join(many, keys).select("fam", "w", F.xxhash64(*keys).alias("next")).distinct()
-    following = many.join(apart, ["fam", "w"]).select(F.col("next").alias("fam"), "w", "id", "c", "s", "xs")
+    following = many.join(apart, ["fam", "w"]).select(F.col("next").alias("fam"), "w", "id", "c", "s", "alone", "xs")
     links, following = cut(more, "links", LONG_ROWS), cut(following, "level", LONG_ROWS)
     discard(apart, family, first, few, large, groups)
     return near.select("a", "b"), links, following
@@ -125,6 +220,8 @@ def delta_links(level: DataFrame, percent: int) -> DataFrame:
     component c; xs: its difference from any one set of reference of its family, such as the empty one. A written table of cut, deleted by
     the first round. Pairs already in one component need not be in the result; every pair in it links."""
     found = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    first, level = level, level.withColumn("alone", F.lit(0).cast("long"))
+    level._cut_path = getattr(first, "_cut_path", None)
     while not level.isEmpty():
         near, more, level = _round(level, percent)
         found = found.unionByName(near).unionByName(more)

@@ -40,14 +40,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Spark's setting for the rows that a Parquet scan decodes at once, and how many of them where rows hold long arrays.
 _SCANNED, LONG_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 128
+#: Spark's setting for the rows of an Arrow batch, and how many scans go into one where rows hold long arrays.
+_BATCH, SCANS = "spark.sql.execution.arrow.maxRecordsPerBatch", 8
 
 
 def cut(df: DataFrame, name: str = "cut", scanned: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors; shuffle files go once it is written.
 
-    scanned: rows that Parquet scans of df decode at once, which bounds what they hold of long arrays."""
+    scanned: rows that Parquet scans of df decode at once, which bounds what they hold of long arrays; Arrow batches have SCANS times as many."""
     spark = df.sparkSession
-    path, wanted = shared_dir(spark, name), {_CLEANUP: "true"} | ({_SCANNED: str(scanned)} if scanned else {})
+    path, wanted = shared_dir(spark, name), {_CLEANUP: "true"} | ({_SCANNED: str(scanned), _BATCH: str(SCANS * scanned)} if scanned else {})
     before = {key: spark.conf.get(key, None) for key in wanted}
     try:
         for key, value in wanted.items():

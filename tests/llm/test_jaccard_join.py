@@ -136,3 +136,26 @@ def test_delta_links_alone_find_every_component(spark):
                     x, y = root(i), root(j)
                     parent[max(x, y)] = min(x, y)
         assert {i: found.get(i, i) for _, i in sets} == {i: root(i) for _, i in sets}
+
+
+def test_rounds_leave_behind_what_one_set_holds(spark, monkeypatch):
+    """Tables of a round have no element that a single set of the family holds; they were shuffled and written with all others."""
+    from cellweave.llm import delta_links as D
+    from pyspark.sql import functions as F
+
+    seen, write = {}, D.cut
+
+    def noted(df, name="cut", *more):
+        out = write(df, name, *more)
+        if name in ("apart", "first"):
+            seen[name] = max(seen.get(name, 0), out.agg(F.coalesce(F.sum(F.size("xs")) if name == "apart" else F.count("*"), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(D, "cut", noted)
+    base = list(range(1000, 1003))
+    sets = [(1, w, w, w, 103, base + [w, w // 2 + 500, *range(10**6 * (w + 1), 10**6 * (w + 1) + 98)]) for w in range(40)]
+    sets += [(1, 99, 99, 99, 103, sets[7][5][:-3] + [1, 2, 3]), (1, 98, 98, 98, 9, base + [*range(50, 56)])]
+    links = D.delta_links(spark.createDataFrame(sets, "fam long, w long, id long, c long, s long, xs array<long>"), 90)
+    assert {(min(r), max(r)) for r in links.collect()} == {(7, 99)}
+    assert 0 < seen["apart"] < 400
+    assert seen["first"] < 400
