@@ -9,6 +9,7 @@ language is the label of the largest expected number of words.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from cellweave.llm import kernels as K
 from cellweave.llm.shared import utf8
 
-#: Documents, and bytes of them, that a fit may use at most, whole: a documented bound on what reaches the driver.
+#: Documents, and bytes of them, that a fit may use at most, whole: a documented bound on what one task holds. The driver gets the field only.
 SAMPLE, SAMPLE_BYTES = 1_500, 48 << 20
 #: Words of a chain at most; pieces of a training chain and their words.
 CHAIN, MIXED, PIECE = 256, 3, 12
 #: Rows of the feature table, words of the lexicon a language, rounds of the fit and its step.
 TABLE, LEXICON, ROUNDS, STEP = 1 << 16, 1_000, 12, 0.3
+#: Words whose chains a fit steps through together.
+STEPPED = 1 << 17
 UNDETERMINED = "und"
 U = np.uint64
 _LETTER = r"\p{L}"
@@ -45,11 +48,13 @@ class Lines:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lexicon: np.ndarray | None) -> None:
         start, end, self.row = self.start, self.end, _ = K.spans(buf, off)
-        h = K.word_hashes(buf, start, end) if len(start) else np.zeros(0, np.uint64)
+        h = np.zeros(len(start), np.uint64)
+        for i, j in K.blocks(off) if len(start) else ():
+            a, b = np.searchsorted(start, off[[i, j]])
+            h[a:b] = K.word_hashes(buf[off[i] : off[j]], start[a:b] - off[i], end[a:b] - off[i])
         self.hash, first, self.word = np.unique(h, return_index=True, return_inverse=True)
         self.features, self.owner = word_features(buf, start[first], end[first], self.hash, lexicon)
-        line = np.concatenate([[0], np.cumsum(buf == 10)])
-        chain = line[start] * np.int64(1) if len(start) else start
+        chain = np.searchsorted(np.flatnonzero(buf == 10), start)
         turn = np.ones(len(start), bool)
         turn[1:] = (chain[1:] != chain[:-1]) | (self.row[1:] != self.row[:-1])
         self.begin = np.flatnonzero(turn)
@@ -108,6 +113,23 @@ class Lines:
         p = fwd * back
         return (p / p.sum(1, keepdims=True) if n else p), pairs
 
+    def expected(self, scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected number of each distinct word's labels and of each transition, over chains of some STEPPED words at a time."""
+        counts, pairs = np.zeros((len(self.hash), moves.shape[0])), np.zeros(moves.shape)
+        whole, begin, i = self.word, self.begin, 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(begin, begin[i] + STEPPED)))
+            self.word = whole[begin[i] : begin[j] if j < len(begin) else len(whole)]
+            self.chains(begin[i:j] - begin[i])
+            p, some = self.marginals(scores, moves)
+            pairs += some
+            for c in range(len(moves)):
+                counts[:, c] += np.bincount(self.word, p[:, c], len(counts))
+            i = j
+        self.word = whole
+        self.chains(begin)
+        return counts, pairs
+
 
 def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, lexicon: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each occurrence and the word that owns it, by word: affixes of 1 to 4 bytes, 2- to 4-grams, lexicon."""
@@ -169,8 +191,7 @@ def fit_field(texts: list[bytes], langs: list[str]) -> Field:
     held = np.zeros((k, k))
     np.add.at(held, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
     for _ in range(ROUNDS if k > 1 else 0):
-        p, pairs = lines.marginals(lines.scores(weights), moves)
-        expected = np.stack([np.bincount(lines.word, p[:, j], len(lines.hash)) for j in range(k)], 1)
+        expected, pairs = lines.expected(lines.scores(weights), moves)
         per_word = (count - expected) / total
         grad = np.zeros((TABLE, k))
         np.add.at(grad, lines.features, per_word[lines.owner])
@@ -202,8 +223,17 @@ def fit_language(docs: DataFrame, train: Column | None = None, most: int = SAMPL
     over = W.partitionBy("lang").orderBy("_order", "doc_id", "size", "_same")
     few = few.withColumn("nth", F.row_number().over(over)).where(F.col("nth") <= each)
     chosen = few.withColumn("sum", F.sum("size").over(over.rowsBetween(W.unboundedPreceding, 0))).where(F.col("sum") <= most_bytes // len(counts)).select("doc_id", "lang").distinct()
-    got = usable.where(F.col("_order") <= edge).join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").limit(most).toArrow()
-    return fit_field(got["text"].to_pylist(), got["lang"].to_pylist())
+    got = usable.where(F.col("_order") <= edge).join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").orderBy("doc_id", "lang", "text").limit(most)
+    return Field(**pickle.loads(got.select("text", "lang").coalesce(1).mapInArrow(_fit, "field binary").collect()[0].field))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The field of all (text, lang), pickled as a dict."""
+    texts, langs = [], []
+    for b in batches:
+        texts += b.column(0).to_pylist()
+        langs += b.column(1).to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit_field(texts, langs)))], pa.binary())], ["field"])
 
 
 def label_words(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
