@@ -27,6 +27,9 @@ CLEAR, FULL = 256, 4096
 LEVELS = 4
 
 
+_PLACES = np.arange(16)
+
+
 def grey_palette() -> np.ndarray:
     return np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
 
@@ -40,32 +43,28 @@ def warm_palette() -> np.ndarray:
 def lzw_encode(pixels: bytes) -> bytes:
     """An LZW stream of minimum code size 8; a clear code follows each full table."""
     codes, table, entry, prefix = [CLEAR], {}, CLEAR + 2, pixels[0]
+    known, add = table.get, codes.append
     for c in pixels[1:]:
         k = prefix << 8 | c
-        known = table.get(k)
-        if known is not None:
-            prefix = known
-            continue
-        codes.append(prefix)
-        if entry < FULL:
-            table[k] = entry
-            entry += 1
-        else:
-            codes.append(CLEAR)
-            table, entry = {}, CLEAR + 2
-        prefix = c
+        prefix = known(k)
+        if prefix is None:
+            add(k >> 8)
+            if entry < FULL:
+                table[k] = entry
+                entry += 1
+            else:
+                add(CLEAR)
+                table.clear()
+                entry = CLEAR + 2
+            prefix = c
     codes += [prefix, CLEAR + 1]
     x = np.array(codes)
     after = np.flatnonzero(x == CLEAR)
     number = np.arange(len(x)) - 1  # of a code after its clear code
     number[1:] -= after[np.searchsorted(after, np.arange(1, len(x)), "left") - 1]
     width = np.minimum(np.frexp(np.maximum(257 + number, 257))[1], 12)
-    at = np.cumsum(width) - width
-    bits = np.zeros(int(width.sum()), np.uint8)
-    for k in range(12):
-        live = width > k
-        bits[at[live] + k] = (x[live] >> k) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.unpackbits(x.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[_PLACES < width[:, None]], bitorder="little").tobytes()
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -263,6 +262,15 @@ def composed(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarra
 def frame_histograms(width: int, height: int, frames: list[Frame]) -> list[np.ndarray]:
     """Counts of each frame's visible colours, in LEVELS levels a channel; clear pixels don't count."""
     step = 256 // LEVELS
+    if len(frames) == 1 and frames[0].left + frames[0].indices.shape[1] <= width and frames[0].top + frames[0].indices.shape[0] <= height:
+        # nothing lies below a single image: its indices are counted, then given their cells
+        f = frames[0]
+        n = np.bincount(f.indices.ravel(), minlength=256)
+        if f.clear is not None:
+            n[f.clear] = 0
+        full = np.full((256, 3), 255 // step, np.int64)
+        full[: len(f.palette)] = f.palette // step
+        return [np.bincount(full @ (LEVELS * LEVELS, LEVELS, 1), n, LEVELS**3).astype(np.int64)]
     out = []
     for shown in composed(width, height, frames):
         seen = shown[shown[..., 3] > 0][:, :3] // step
