@@ -8,7 +8,8 @@ first, which is a few for each set, as sizes bound the u of what it can link to.
 family, since over half would have put the element into the consensus. Groups of at most FEW sets are compared pair by
 pair; larger ones are parted by classes of u, for which fewer elements do, and what is still large is a family of the
 next round. Rounds thus end, each is linear in its rows, and no large group's pairs are listed. What only one set
-of a family differs by brings it to no other: a round counts it and leaves it behind.
+of a family differs by brings it to no other: a round counts it and leaves it behind. The sets of a family are numbered from 0, so that whoever has all
+holders of an element of the consensus knows the sets that lack it: only differences are written, not the sets' elements.
 
 Families of at most WHOLE_SETS sets and WHOLE_SIZE elements, a bound on what a task holds, are done by one task each
 (whole_links), in the same way; larger ones by Spark, in rounds (delta_links).
@@ -21,7 +22,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm import kernels as K
@@ -32,9 +33,11 @@ from cellweave.llm.shared import LONG_ROWS, cut, discard, parts_for
 FEW, STEP = 16, 1.5
 #: Sets and elements of a family that one task takes at most, and elements of the families that a bucket stands for.
 WHOLE_SETS, WHOLE_SIZE, BUCKET = 4096, 4 << 20, 1 << 20
-#: Families and their consensus's elements that are broadcast rather than joined by a shuffle, at most.
-SMALL = 1 << 16
-SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("fam", "w", "size", "x"))])
+#: Sets that one task numbers.
+NUMBERED = 1 << 16
+#: What stands for the elements of a task's sets in a bucket, and the kinds of numbers in its columns.
+KINDS = {"fam": np.int64, "i": np.int32, "n": np.int32, "size": np.int32, "x": np.int64}
+SENT = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in KINDS)])
 
 
 def _class(u: Column) -> Column:
@@ -72,34 +75,47 @@ def _pairs(members: str, may: Callable[[Column, Column], Column], name: str) ->
     return F.flatten(F.transform(members, lambda p: F.transform(F.filter(members, lambda q: may(p, q)), lambda q: F.struct(p[name].alias("p"), q[name].alias("q")))))
 
 
-def shared_elements(level: DataFrame, buckets: int) -> DataFrame:
-    """(fam, x, w, k, lead): the elements that k > 1 sets of a family hold, a row a set; lead is true in one of these rows.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows (fam, key, ...), and i: places from 0 to n - 1 of the n keys of each fam; a key occurs once in it. Written tables, or what gives equal rows each time."""
+    slots = parts_for(rows.count(), NUMBERED, 1)
+    slotted = rows.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)))
+    fam = Window.partitionBy("fam")
+    before = fam.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slot = slotted.groupBy("fam", "slot").agg(F.count("*").alias("k"))
+    slot = slot.select("fam", "slot", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"), F.sum("k").over(fam).alias("n"))
+    place = F.row_number().over(Window.partitionBy("fam", "slot").orderBy(key)) - 1
+    return slotted.withColumn("place", place).join(slot, ["fam", "slot"]).withColumn("i", F.col("base") + F.col("place")).drop("slot", "place", "base")
+
+
+def differences(level: DataFrame, buckets: int) -> DataFrame:
+    """(fam, i, x, k): what parts set i of a family from its consensus, if k > 1 sets differ by it; a null x stands for k more that only this set differs by.
 
     An element goes to one bucket; the elements of a task's sets go to a bucket as one record."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            fam, w, size, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+            fam, i, n, size, x = (np.concatenate(c) for c in zip(*parts, strict=True))
             row = np.repeat(np.arange(len(fam)), size)
             bucket = ((K.mix(x.view(np.uint64) ^ K.mix(fam.view(np.uint64))[row]) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             bucket, row, x = bucket[by], row[by], x[by]
             out = []
-            for i, j in zip(*K.runs(bucket), strict=True):
-                start, end = K.runs(row[i:j])
-                own = row[i:j][start]
-                out.append((int(bucket[i]), *(c.tobytes() for c in (fam[own], w[own], end - start, x[i:j]))))
+            for s, e in zip(*K.runs(bucket), strict=True):
+                start, end = K.runs(row[s:e])
+                own = row[s:e][start]
+                cols = zip((fam[own], i[own], n[own], end - start, x[s:e]), KINDS.values(), strict=True)
+                out.append((int(bucket[s]), *(c.astype(kind).tobytes() for c, kind in cols)))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SENT, strict=True)], schema=SENT)
 
         parts, have = [], 0
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             off = lists.offsets.to_numpy().astype(np.int64)
             if off[-1] == off[0]:
                 continue
-            fam, w = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            parts.append((fam, w, np.diff(off), lists.values.to_numpy()[off[0] : off[-1]]))
-            have += len(parts[-1][3])
+            fam, i, n = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            parts.append((fam, i, n, np.diff(off), lists.values.to_numpy()[off[0] : off[-1]]))
+            have += len(parts[-1][4])
             if have >= BUCKET:
                 yield sent(parts)
                 parts, have = [], 0
@@ -107,76 +123,58 @@ def shared_elements(level: DataFrame, buckets: int) -> DataFrame:
             yield sent(parts)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        fam, w, size, x = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("fam", "w", "size", "x"))
+        fam, i, n, size, x = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in KINDS.items())
         row = np.repeat(np.arange(len(fam)), size)
         by = np.argsort(x) if (fam == fam[0]).all() else np.lexsort((x, fam[row]))
         row, x = row[by], x[by]
         turn = np.ones(len(x), bool)
         turn[1:] = (x[1:] != x[:-1]) | (fam[row[1:]] != fam[row[:-1]])
         start = np.flatnonzero(turn)
-        count = np.diff(np.append(start, len(x)))
-        k = np.repeat(count, count)
-        more = k > 1
-        return pa.table({"fam": fam[row[more]], "x": x[more], "w": w[row[more]], "k": k[more], "lead": turn[more]})
-
-    rows = level.select("fam", "w", "xs").mapInArrow(send, "bucket long, fam binary, w binary, size binary, x binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "fam long, x long, w long, k long, lead boolean")
-
-
-def _sent(families: DataFrame, size: Column) -> DataFrame:
-    """families, sent to all tasks if they are at most SMALL by the sum of size."""
-    return F.broadcast(families) if (families.agg(F.sum(size)).first()[0] or 0) <= SMALL else families
-
-
-def _apart(sets: DataFrame) -> DataFrame:
-    """(fam, w, id, c, s, alone, xs): what parts a set from the consensus of its family; xs, rarest first, has what others differ by too, alone counts the rest.
-
-    sets (fam, w, id, c, s, alone, n, held, common): held, the set's elements that others have; common, the consensus; both as (k, x)."""
-
-    def ends(column: pa.Array) -> tuple[np.ndarray, ...]:
-        values = column.values
-        return column.offsets.to_numpy(), *(values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            alone, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("alone", "n"))
-            (at, k, x), (rat, rk, rx) = (ends(b.column(c)) for c in ("held", "common"))
-            alone, lists = alone.copy(), []
-            for i in range(len(n)):
-                own, rare = x[at[i] : at[i + 1]], k[at[i] : at[i + 1]]
-                if rat[i] < rat[i + 1]:
-                    r, lacking = rx[rat[i] : rat[i + 1]], n[i] - rk[rat[i] : rat[i + 1]]
-                    mine, theirs = ~np.isin(own, r), ~np.isin(r, own)
-                    own, rare = np.concatenate([own[mine], r[theirs]]), np.concatenate([rare[mine], lacking[theirs]])
-                    others = rare > 1
-                    alone[i] += len(own) - others.sum()
-                    own, rare = own[others], rare[others]
-                lists.append(own[np.lexsort((own, rare))])
-            off = np.concatenate([[0], np.cumsum([len(y) for y in lists])])
-            xs = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists) if lists else x[:0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("fam", "w", "id", "c", "s")), pa.array(alone), xs], ["fam", "w", "id", "c", "s", "alone", "xs"])
-
-    return sets.mapInArrow(run, "fam long, w long, id long, c long, s long, alone long, xs array<long>")
+        k, total = np.diff(np.append(start, len(x))), n[row[start]].astype(np.int64)
+        most = 2 * k > total
+        own = np.repeat(~most & (k > 1), k)
+        alone = np.bincount(row[start[~most & (k == 1)]], minlength=len(fam))
+        alone = alone, np.flatnonzero(alone)
+        # a mark for each set of the family of an element of the consensus, of which those that have it are set
+        common = np.flatnonzero(most & (k < total))
+        first = np.cumsum(total[common]) - total[common]
+        place = np.full(len(start), -1)
+        place[common] = first
+        place = np.repeat(place, k)
+        has = np.zeros(total[common].sum(), bool)
+        has[place[place >= 0] + i[row[place >= 0]]] = True
+        lacking = np.flatnonzero(~has)
+        which = np.searchsorted(first, lacking, "right") - 1
+        lacked = common[which]
+        rare = (total - k)[lacked]
+        rows = (
+            (fam[row[own]], i[row[own]], x[own], np.repeat(k, k)[own]),
+            (fam[row[start[lacked]]], lacking - first[which], x[start[lacked]], rare),
+            (fam[alone[1]], i[alone[1]], np.zeros(len(alone[1]), np.int64), alone[0][alone[1]]),
+        )
+        fam, i, x, k = (np.concatenate(c).astype(np.int64) for c in zip(*rows, strict=True))
+        none = np.concatenate([np.zeros(own.sum(), bool), rare == 1, np.ones(len(alone[1]), bool)])
+        return pa.table({"fam": fam, "i": i, "x": pa.array(x, mask=none), "k": k})
+
+    rows = level.select("fam", "i", "n", "xs").mapInArrow(send, "bucket long, fam binary, i binary, n binary, size binary, x binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "fam long, i long, x long, k long")
 
 
 def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) to the sets of least u, other links, and the families of the next round."""
     unit = 2 * (100 + percent)
-    sized = cut(level.select("fam", "w", "id", "c", "s", "alone", F.size("xs").cast("long").alias("size")), "sized", LONG_ROWS)
-    held = cut(shared_elements(level, parts_for(sized.agg(F.sum("size")).first()[0], BUCKET, 48)), "held", LONG_ROWS)
+    sized = cut(level.select("fam", "i", "w", "id", "c", "s", "alone", F.size("xs").cast("long").alias("size")), "sized", LONG_ROWS)
+    held = cut(differences(level, parts_for(sized.agg(F.sum("size")).first()[0], BUCKET, 48)), "held", LONG_ROWS)
     discard(level)
-    counts = cut(sized.groupBy("fam").agg(F.count("*").alias("n")), "counts")
-    element = F.struct("k", "x")
-    common = held.where("lead").join(_sent(counts, F.lit(1)), "fam").where("2 * k > n").groupBy("fam").agg(F.collect_list(element).alias("common"))
-    common = cut(counts.join(common, "fam", "left").select("fam", "n", "common"), "common")
-    sets = sized.join(held.groupBy("fam", "w").agg(F.collect_list(element).alias("held")), ["fam", "w"], "left")
-    sets = sets.withColumn("alone", F.col("alone") + F.col("size") - F.coalesce(F.size("held"), F.lit(0)))
-    none = F.array().cast("array<struct<k:bigint,x:bigint>>")
-    sets = sets.join(_sent(common, F.greatest(F.lit(1), F.size("common"))), "fam").withColumns({c: F.coalesce(c, none) for c in ("held", "common")})
-    apart = _apart(sets.select("fam", "w", "id", "c", "s", "alone", "n", "held", "common")).withColumn("d", F.col("alone") + F.size("xs"))
+    # rarest first
+    rare = F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("k", "x"))))["x"]
+    own = held.groupBy("fam", "i").agg(rare.alias("xs"), F.sum(F.when(F.col("x").isNull(), F.col("k"))).alias("more"))
+    apart = sized.join(own, ["fam", "i"], "left").withColumn("alone", F.col("alone") + F.coalesce("more", F.lit(0)))
+    apart = apart.select("fam", "w", "id", "c", "s", "alone", F.coalesce("xs", F.array().cast("array<long>")).alias("xs"))
+    apart = apart.withColumn("d", F.col("alone") + F.size("xs"))
     apart = apart.withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
     apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart", LONG_ROWS)
-    discard(held, sized, counts, common)
+    discard(held, sized)
     family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m"), F.collect_set("own").alias("ks")), "family")
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
@@ -206,10 +204,10 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     both = pairs.join(side[0], ["fam", "wa"]).join(side[1], ["fam", "wb"])
     more = both.where(F.col("ga") + F.col("gb") <= unit * F.size(F.array_intersect("xa", "xb")).cast("long")).select("a", "b")
     many = groups.where(F.col("n") > FEW).groupBy("n", "h1", "h2").agg(F.min(F.struct(*keys)).alias("key")).select("key.*")
-    many = large.join(many, keys).select("fam", "w", F.xxhash64(*keys).alias("next")).distinct()
-    following = many.join(apart, ["fam", "w"]).select(F.col("next").alias("fam"), "w", "id", "c", "s", "alone", "xs")
+    many = cut(large.join(many, keys).select(F.col("fam").alias("of"), "w", F.xxhash64(*keys).alias("fam")).distinct(), "many")
+    following = numbered(many, "w").join(apart.withColumnRenamed("fam", "of"), ["of", "w"]).select("fam", "i", "n", "w", "id", "c", "s", "alone", "xs")
     links, following = cut(more, "links", LONG_ROWS), cut(following, "level", LONG_ROWS)
-    discard(apart, family, first, few, large, groups)
+    discard(apart, family, first, few, large, groups, many)
     return near.select("a", "b"), links, following
 
 
@@ -217,9 +215,13 @@ def delta_links(level: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join whatever components c the links within each family join.
 
     level (fam, w, id, c, s, xs): a row for each different set of a family, named w there, of s elements, of document id in
-    component c; xs: its difference from any one set of reference of its family, such as the empty one. A written table of cut, deleted by
-    the first round. Pairs already in one component need not be in the result; every pair in it links."""
+    component c; xs: its difference from any one set of reference of its family, such as the empty one. Columns i and n, where given:
+    the set's number in its family (see numbered) and how many sets it has. A written table of cut, deleted by the first round.
+    Pairs already in one component need not be in the result; every pair in it links."""
     found = level.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if "i" not in level.columns:
+        before, level = level, cut(level.join(numbered(level.select("fam", "w"), "w"), ["fam", "w"]), "level", LONG_ROWS)
+        discard(before)
     first, level = level, level.withColumn("alone", F.lit(0).cast("long"))
     level._cut_path = getattr(first, "_cut_path", None)
     while not level.isEmpty():

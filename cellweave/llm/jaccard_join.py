@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cellweave.llm import kernels as K
 from cellweave.llm.components import connected_components
 from cellweave.llm.delta_links import BUCKET as FAMILIES
-from cellweave.llm.delta_links import WHOLE_SETS, WHOLE_SIZE, delta_links, whole_links
+from cellweave.llm.delta_links import WHOLE_SETS, WHOLE_SIZE, delta_links, numbered, whole_links
 from cellweave.llm.shared import LONG_ROWS, cut, discard, lean_workers, parts_for, text_bytes, utf8
 
 U = np.uint64
@@ -376,18 +376,18 @@ def family_links(chains: DataFrame, keyed: DataFrame, size: DataFrame, n: int, p
     members = cut(members.groupBy("fam", "c1", "c2").agg(F.min("id").alias("id"), F.min("c").alias("c")).select("fam", "id", "c"), "members")
     sized = members.join(size.select("id", "s"), "id")
     families = cut(sized.groupBy("fam").agg(F.count("*").alias("n"), F.sum("s").alias("total")).where("n > 1"), "families")
-    wanted = members.join(families, "fam")
+    wanted = numbered(members, "id").drop("n").join(families, "fam")
     # what a family needs to know goes along with the texts, so that sets are not shuffled for it
-    sets = whole_sets(keyed.join(wanted, "id").select("id", "text", "fam", "n", "total", "c"), n)
-    # only rows of one id can give a family a set twice
+    sets = whole_sets(keyed.join(wanted, "id").select("id", "text", "fam", "i", "n", "total", "c"), n)
+    # only rows of one id can give a family a set twice; the sets are then numbered again
     if not keyed.groupBy("id").count().where("count > 1").join(wanted, "id", "left_semi").isEmpty():
-        sets = sets.dropDuplicates(["fam", "w"])
+        sets = sets.dropDuplicates(["fam", "w"]).drop("i")
     every = cut(sets, "sets")
     small = (F.col("n") <= WHOLE_SETS) & (F.col("total") <= WHOLE_SIZE)
     found = whole_links(every.where(small), percent, parts_for(families.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], FAMILIES, 48))
     # the empty set is the reference of larger families; their first round finds what most of their sets hold
     found = cut(found, "found", LONG_ROWS)
-    level = every.where(~small).select("fam", "w", "id", "c", "s", "xs")
+    level = every.where(~small).select("fam", *(("i", "n") if "i" in every.columns else ()), "w", "id", "c", "s", "xs")
     level._cut_path = every._cut_path  # deleted once the first round has its own
     more = delta_links(level, percent)
     discard(members, families)

@@ -159,3 +159,38 @@ def test_rounds_leave_behind_what_one_set_holds(spark, monkeypatch):
     assert {(min(r), max(r)) for r in links.collect()} == {(7, 99)}
     assert 0 < seen["apart"] < 400
     assert seen["first"] < 400
+
+
+@pytest.mark.parametrize("slot", [1 << 16, 4])
+def test_rounds_write_differences_only(spark, monkeypatch, slot):
+    """Nearly equal sets give a round their few differences; all that they hold was written, shuffled and joined with the consensus."""
+    from cellweave.llm import delta_links as D
+
+    rows, write = {}, D.cut
+
+    def noted(df, name="cut", *more):
+        out = write(df, name, *more)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(D, "cut", noted)
+    monkeypatch.setattr(D, "NUMBERED", slot)
+    base = list(range(1000, 1300))
+    # sets lack shared thirds of 90 elements, each with 30 own ones, so that few link; the last two differ by 2 of 300
+    sets = [[x for x in base if not (w % 3) * 90 <= x - 1000 < (w % 3) * 90 + 60 + w] + list(range(10**4 * (w + 1), 10**4 * (w + 1) + 30)) for w in range(30)]
+    sets += [base[:-1], base[1:]]
+    table = [(1, w, w, w, len(xs), xs) for w, xs in enumerate(sets)]
+    links = D.delta_links(spark.createDataFrame(table, "fam long, w long, id long, c long, s long, xs array<long>"), 90)
+    got = {(min(r), max(r)) for r in links.collect()}
+    linked = {(a, b) for b in range(32) for a in range(b) if 10 * len({*sets[a]} & {*sets[b]}) >= 9 * len({*sets[a]} | {*sets[b]})}
+    assert (30, 31) in linked and got <= linked
+
+    def parts(pairs):
+        root = list(range(32))
+        for a, b in [*pairs] * 32:
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert parts(got) == parts(linked)
+    away = sum(len({*base} ^ {*xs}) for xs in sets)
+    assert 0 < rows["held"] < away < sum(map(len, sets)) / 2
