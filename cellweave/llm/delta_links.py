@@ -175,7 +175,7 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     apart = apart.withColumn("g", (100 + percent) * F.col("d") - (100 - percent) * F.col("s"))
     apart = cut(apart.withColumn("own", _class(F.col("g") / unit)), "apart", LONG_ROWS)
     discard(held, sized)
-    family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m"), F.collect_set("own").alias("ks")), "family")
+    family = cut(apart.groupBy("fam").agg(F.min(F.struct("g", "id", "c")).alias("m")), "family")
     near = cut(apart.join(family, "fam").where("g + m.g <= 0 and c <> m.c").select(F.col("id").alias("a"), F.col("m.id").alias("b"), "c", F.col("m.c").alias("mc")), "near")
     if not near.isEmpty():
         joined = connected_components(near, "c", "mc").select(F.col("node").alias("c"), F.col("component").alias("to"))
@@ -188,14 +188,18 @@ def _round(level: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFr
     need = F.greatest(F.lit(1), F.ceil(u + least - 1e-6)).cast("int")
     # what a set alone differs by comes first and brings it to no other
     kept = F.greatest(F.lit(0), F.col("d") - need + 1 - F.col("alone")).cast("int")
-    first = apart.join(family, "fam").where(F.col("d") >= need).select(*who, "ks", "alone", F.posexplode(F.slice("xs", 1, kept)).alias("at", "x"))
+    first = apart.join(family, "fam").where(F.col("d") >= need).select(*who, "alone", F.posexplode(F.slice("xs", 1, kept)).alias("at", "x"))
     first = cut(first.withColumn("at", F.col("at") + F.col("alone")).drop("alone"), "first", LONG_ROWS)
     keys = ["fam", "x"]
-    groups = cut(_members(first, keys).select(*keys, "n"), "groups")
-    pairs = _listed(first.join(groups.where(F.col("n") <= FEW), keys), keys, unit)
-    large = first.join(groups.where(F.col("n") > FEW).drop("n"), keys).withColumn("other", F.explode("ks"))
-    met = F.greatest(F.lit(1), F.ceil(u + _least(F.col("other")) - 1e-6))
-    large = large.where((u + _least(F.col("other") + 1) > 0) & (F.col("at") <= F.col("d") - met)).drop("ks")
+    classes = first.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_set("own").alias("ks")).where(F.col("n") > FEW).drop("n")
+    groups = cut(_members(first, keys).select(*keys, "n").join(classes, keys, "left"), "groups")
+    pairs = _listed(first.join(groups.where(F.col("n") <= FEW).drop("ks"), keys), keys, unit)
+
+    def meets(k: Column) -> Column:
+        return (u + _least(k + 1) > 0) & (F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.ceil(u + _least(k) - 1e-6)))
+
+    # a set has a row for each class that its group holds and that it can link to, no more
+    large = first.join(groups.where(F.col("n") > FEW).drop("n"), keys).withColumn("other", F.explode(F.filter("ks", meets))).drop("ks")
     large = cut(large.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")), "large")
     keys = ["fam", "lo", "hi", "x"]
     few, groups = groups, cut(_members(large, keys, "own").where("lo = hi or min_own < max_own").select(*keys, "n", "h1", "h2"), "groups")

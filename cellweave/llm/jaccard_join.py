@@ -11,8 +11,10 @@ with 2 one a shingle besides, so the plan takes 2 where chance matches cost more
 
 Pairs within a signature's group are not listed. Each task links its members to local pivots, a bucket links
 local pivots to pivots of all, and each such pair is verified on the whole texts. Parity bitmaps of the sets rule
-out most pairs before texts are fetched. Where a pair fails, its group's sets may link to one another, so they are
-joined again on their differences from a consensus (delta_links), which lists no group's pairs either.
+out most pairs before texts are fetched. Where a pair fails, its group's sets may link to one another. Groups of at
+most GROUP sets are gone through by their bitmaps in a task, which lists what these leave open if that is few pairs a
+set (open_groups). The sets of other groups are joined again on their differences from a consensus (delta_links), which
+lists no group's pairs either.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ PIVOTS = 3
 MAP = 16
 #: Signatures that a pair of one task or bucket carries along; of pairs with more, they are found again from the texts.
 CARRIED = 8
+#: Sets of a group whose bitmaps one task compares, open pairs a set that it lists at most, and rows that a bucket of groups stands for.
+GROUP, OPEN, GROUPED = 1024, 4, 1 << 14
+#: Words of bitmaps that are compared at once.
+WORDS = 1 << 20
 
 #: (segments, how many of them have threshold 2, spare ones) of each band, by its place.
 Plans = tuple[tuple[int, int, int], ...]
@@ -221,6 +227,26 @@ def set_sizes(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, wide array<long>")
 
 
+def _maps(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each bitmap starts, its words, and the words of all."""
+    off = column.offsets.to_numpy()
+    return off[:-1], np.diff(off), column.values.to_numpy().view(np.uint64)
+
+
+def _can(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """Whether sizes and bitmaps of pairs allow a link; left and right: size, start and words of each pair's end, and the words of all."""
+    (sa, oa, wa, bits_a), (sb, ob, wb, bits_b) = left, right
+    can = (100 * sa >= percent * sb) & (100 * sb >= percent * sa)
+    for va, vb in {*zip(wa[can].tolist(), wb[can].tolist(), strict=True)}:
+        same, least = np.flatnonzero(can & (wa == va) & (wb == vb)), min(va, vb)
+        for k in range(0, len(same), each := max(1, WORDS // max(va, vb))):
+            rows = same[k : k + each]
+            fold = [np.bitwise_xor.reduce(bits[off[rows][:, None] + np.arange(w)].reshape(len(rows), -1, least), axis=1) for off, w, bits in ((oa, va, bits_a), (ob, vb, bits_b))]
+            differ = np.bitwise_count(fold[0] ^ fold[1]).sum(1).astype(np.int64)
+            can[rows] = differ * (100 + percent) <= (sa[rows] + sb[rows]) * (100 - percent)
+    return can
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b, ...) of unequal sets, and can: whether their sizes and bitmaps allow a link."""
     names = pairs.columns
@@ -230,17 +256,8 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sa, sb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sa", "sb"))
-            can = (100 * sa >= percent * sb) & (100 * sb >= percent * sa)
-            maps = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy().view(np.uint64)) for c in ("widea", "wideb")]
-            widths = [np.diff(off) for off, _ in maps]
-            for wa, wb in {*zip(*(w[can].tolist() for w in widths), strict=True)}:
-                rows = np.flatnonzero(can & (widths[0] == wa) & (widths[1] == wb))
-                least = min(wa, wb)
-                fold = [np.bitwise_xor.reduce(bits[off[rows][:, None] + np.arange(w)].reshape(len(rows), -1, least), axis=1) for (off, bits), w in zip(maps, (wa, wb), strict=True)]
-                differ = np.bitwise_count(fold[0] ^ fold[1]).sum(1).astype(np.int64)
-                can[rows] = differ * (100 + percent) <= (sa[rows] + sb[rows]) * (100 - percent)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(can)], [*names, "can"])
+            ends = [(b.column(s).to_numpy(zero_copy_only=False), *_maps(b.column(w))) for s, w in (("sa", "widea"), ("sb", "wideb"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(_can(*ends, percent))], [*names, "can"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*names).schema]
     return unequal.mapInArrow(run, ", ".join([*kinds, "can boolean"]))
@@ -305,8 +322,8 @@ def unpacked(pairs: DataFrame) -> DataFrame:
     return pairs.select("sigs").mapInArrow(run, "sig long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, plan_of: Plans) -> DataFrame:
-    """(a, b, linked, broken): whether the whole texts link, and, where not, the signatures that they share."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, plan_of: Plans | None) -> DataFrame:
+    """(a, b, linked, broken): whether the whole texts link, and, where not and there are plans, the signatures that they share."""
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
@@ -322,7 +339,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, plan_of: P
                 linked = (union > 0) & (100 * shared >= percent * union)
                 broken: list = [None] * (j - i)
                 lost = np.flatnonzero(~linked)
-                if len(lost):
+                if len(lost) and plan_of is not None:
                     keys = []
                     for c in (2, 3):
                         row, h = K.distinct(*K.shingles(*K.flat(part.column(c).take(pa.array(lost))), n))
@@ -350,6 +367,55 @@ def signature_rows(docs: DataFrame, n: int, percent: int, plan_of: Plans) -> Dat
     return docs.mapInArrow(run, "sig long, id long")
 
 
+def open_groups(of: DataFrame, size: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b) that may link, and (id, low, c), the members of groups whose pairs are not listed.
+
+    of: (sig, id, c), documents by signature and their components. Only pairs of one group and two components count."""
+    mixed = of.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("sig")
+    # copies are linked already: one document stands for each set; groups of equal sets are one
+    sets = of.join(mixed, "sig").join(size.select("id", "c1", "c2"), "id").groupBy("sig", "c1", "c2").agg(F.min("id").alias("id"), F.min("c").alias("c"))
+    sets, one = cut(sets.select("sig", "id", "c"), "alike"), F.xxhash64("id")
+    each = sets.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.sum(one.cast("decimal(20,0)")).alias("h1"), F.bit_xor(one).alias("h2"))
+    once = each.groupBy("n", "h1", "h2").agg(F.min(F.struct("sig", "low")).alias("of")).where("n > 1").select("of.*", "n")
+    rows = cut(sets.join(once, "sig"), "grouped")
+    discard(sets)
+    buckets, most_open = parts_for(rows.count(), GROUPED, 48), OPEN
+
+    def meet(table: pa.Table) -> pa.Table:
+        by = np.argsort(table["sig"].to_numpy(), kind="stable")
+        sig, ids, c, s = (table[k].to_numpy()[by] for k in ("sig", "id", "c", "s"))
+        at, width, bits = _maps(table["wide"].combine_chunks())
+        at, width = at[by], width[by]
+        start, end = K.runs(sig)
+        group = np.repeat(np.arange(len(start)), end - start)
+        here, step, left, right = np.arange(len(sig)), 1, [ids[:0]], [ids[:0]]
+        while len(here := here[here + step < end[group[here]]]):
+            i = here[c[here] != c[here + step]]
+            j = i + step
+            can = _can((s[i], at[i], width[i], bits), (s[j], at[j], width[j], bits), percent)
+            left.append(i[can])
+            right.append(j[can])
+            step += 1
+        i, j = np.concatenate(left), np.concatenate(right)
+        crowded = np.bincount(group[i], minlength=len(start)) > most_open * (end - start)
+        listed, all_of = ~crowded[group[i]], np.flatnonzero(crowded[group])
+        a, b = ids[i[listed]], ids[j[listed]]
+        low = np.minimum.reduceat(ids, start)[group]
+        none = np.arange(len(a) + len(all_of)) < len(a)
+        return pa.table({
+            "a": np.concatenate([np.maximum(a, b), ids[all_of]]),
+            "b": np.concatenate([np.minimum(a, b), low[all_of]]),
+            "c": pa.array(np.concatenate([np.zeros(len(a), np.int64), c[all_of]]), mask=none),
+        })
+
+    small = rows.where(F.col("n") <= GROUP).join(size.select("id", "s", "wide"), "id")
+    small = small.select(F.pmod(F.xxhash64("sig"), F.lit(buckets)).alias("bucket"), "sig", "id", "c", "s", "wide")
+    found = cut(small.groupBy("bucket").applyInArrow(meet, "a long, b long, c long"), "open")
+    crowded = found.where("c is not null").select(F.col("a").alias("id"), F.col("b").alias("low"), "c")
+    large = rows.where(F.col("n") > GROUP).select("id", "low", "c")
+    return found.where("c is null").select("a", "b").distinct(), cut(crowded.unionByName(large).distinct(), "chains")
+
+
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     """docs (id, text, ...) with the shingles of each text in place of it: w, a hash of them, s, their number, and xs. Empty sets are left out."""
     more = docs.columns[2:]
@@ -426,14 +492,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     members = signature_rows(keyed, n, percent, plan_of).join(broken, "sig")
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
     of = cut(of, "members")
-    mixed = of.groupBy("sig").agg(F.min("id").alias("low"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    chains = cut(of.join(mixed.select("sig", "low"), "sig").select("id", "low", "c").distinct(), "chains")
+    open_pairs, chains = open_groups(of, size, percent)
     discard(of, stars)
-    more = edges.limit(0)
+    more = cut(verified(open_pairs, keyed, n, percent, None), "verified").where("linked").select("a", "b")
     if not chains.isEmpty():
-        more = family_links(chains, keyed, size, n, percent)
-        if not more.isEmpty():
-            parts = cut(connected_components(edges.unionByName(more)), "components")
+        more = more.unionByName(family_links(chains, keyed, size, n, percent))
+    if not more.isEmpty():
+        parts = cut(connected_components(edges.unionByName(more)), "components")
     out = sizes.join(parts.withColumnRenamed("node", "id"), "id", "left")
     null = F.col("id") == none
     return out.select(F.when(~null, F.col("id")).alias(key), "n_shingles", F.when(~null, F.coalesce("component", "id")).alias("component_id"))

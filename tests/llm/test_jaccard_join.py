@@ -194,3 +194,67 @@ def test_rounds_write_differences_only(spark, monkeypatch, slot):
     assert parts(got) == parts(linked)
     away = sum(len({*base} ^ {*xs}) for xs in sets)
     assert 0 < rows["held"] < away < sum(map(len, sets)) / 2
+
+
+def near_misses(groups, seed):
+    """Texts of which three of a base share signatures but differ too much, and a fourth links to the third."""
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}b{i}" for i in range(120)]
+        for k in range(3):
+            words = list(base)
+            for at in (9 + 30 * k, 19 + 30 * k, 29 + 30 * k):
+                words[at] = f"x{rng.randrange(10**9)}"
+            out.append(" ".join(words))
+        out.append(out[-1].replace(f"g{g}b115", "y"))
+    return out
+
+
+def test_small_groups_make_no_family(spark, monkeypatch):
+    """Groups whose bitmaps leave few pairs open were chained to families, which grew faster than the input."""
+    from cellweave.llm import jaccard_join as J
+
+    def never(*_):
+        raise AssertionError("a family was made")
+
+    monkeypatch.setattr(J, "family_links", never)
+    texts = dict(enumerate(near_misses(30, 4)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts, 5, 80)
+
+
+@pytest.mark.parametrize(("name", "value"), [("GROUP", 2), ("OPEN", 0), ("OPEN", 10**6)])
+def test_groups_by_each_way(spark, monkeypatch, name, value):
+    """Groups too large for a task, groups with more open pairs than are listed, and all pairs listed."""
+    from cellweave.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, name, value)
+    texts = dict(enumerate(near_copies(60, 120, 1) + near_copies(30, 14, 3)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts, 5, 80)
+
+
+def test_rounds_part_groups_by_their_own_classes(spark, monkeypatch):
+    """A set of a large group had a row for each class of its family, of which its group holds few."""
+    import random
+
+    from cellweave.llm import delta_links as D
+
+    rows, write = {"first": [], "large": []}, D.cut
+
+    def noted(df, name="cut", *more):
+        out = write(df, name, *more)
+        rows.get(name, []).extend(out.collect() if name in rows else ())
+        return out
+
+    monkeypatch.setattr(D, "cut", noted)
+    monkeypatch.setattr(D, "FEW", 2)
+    rng = random.Random(8)
+    sets = [[*range(1000, 1060 + 9 * (w % 5)), *rng.sample(range(60), 4 + 7 * (w % 6))] for w in range(40)]
+    table = [(1, w, w, w, len(xs), xs) for w, xs in enumerate(sets)]
+    D.delta_links(spark.createDataFrame(table, "fam long, w long, id long, c long, s long, xs array<long>"), 90)
+    held = {(r.fam, r.x, r.own) for r in rows["first"]}
+    assert rows["large"] and all((r.fam, r.x, r.other) in held for r in rows["large"])
